@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reachlens.llm import media, quality, token_counts, toxicity
+from reachlens.llm import media, mixing, packing, quality, token_counts, toxicity, urls
 from reachlens.runtime import table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -27,9 +35,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.url_filter(pages, urls.crawled_twice(pages), urls.RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_media_columns, op5_toxicity, op7_token_counts, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_mixing, op4_media_columns, op5_toxicity, op6_packing, op7_token_counts, op9_quality_rules, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.sql(), "op10_url_filter": urls.SQL}
