@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reachlens.llm import media, mixing, packing, quality, token_counts, toxicity, urls
+from reachlens.llm import media, mixing, packing, quality, simhash, token_counts, toxicity, urls
 from reachlens.runtime import table
 
 
@@ -30,6 +30,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality_rules(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -41,7 +45,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op4_media_columns, op5_toxicity, op6_packing, op7_token_counts, op9_quality_rules, op10_url_filter)}
+    return {f.__name__: f for f in (op2_mixing, op4_media_columns, op5_toxicity, op6_packing, op7_token_counts, op8_simhash, op9_quality_rules, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
