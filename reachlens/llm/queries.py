@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reachlens.llm import media, mixing, packing, quality, simhash, token_counts, toxicity, urls
+from reachlens.llm import lm, media, mixing, packing, quality, simhash, token_counts, toxicity, urls
 from reachlens.runtime import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
@@ -45,7 +49,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op4_media_columns, op5_toxicity, op6_packing, op7_token_counts, op8_simhash, op9_quality_rules, op10_url_filter)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op4_media_columns, op5_toxicity, op6_packing, op7_token_counts, op8_simhash, op9_quality_rules, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
