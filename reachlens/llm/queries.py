@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reachlens.llm import lm, media, mixing, packing, quality, simhash, token_counts, toxicity, urls
+from reachlens.llm import lm, media, mixing, packing, quality, simhash, suffix_dedup, token_counts, toxicity, urls
 from reachlens.runtime import table
 
 
@@ -17,6 +17,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op4_media_columns, op5_toxicity, op6_packing, op7_token_counts, op8_simhash, op9_quality_rules, op10_url_filter)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_suffix_dedup, op4_media_columns, op5_toxicity, op6_packing, op7_token_counts, op8_simhash, op9_quality_rules, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
