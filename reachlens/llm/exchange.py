@@ -24,9 +24,9 @@ def count_blocks(docs: DataFrame, text_col: str = "text", block_bytes: int = BLO
     return max(1, math.ceil(total / block_bytes))
 
 
-def in_blocks(docs: DataFrame, blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_block, _id, _text of all documents; nothing else of ``docs`` is read."""
-    return docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("_block"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+def in_blocks(docs: DataFrame, blocks: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """_block, _id, _text of all documents, and the columns to ``carry`` as _carry0 and so on; nothing else of ``docs`` is read."""
+    return docs.select(*(F.col(c).alias(f"_carry{k}") for k, c in enumerate(carry)), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("_block"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from reachlens.llm import lm, media, mixing, packing, quality, simhash, suffix_dedup, token_counts, toxicity, urls
 from reachlens.runtime import table
 
@@ -53,7 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_suffix_dedup, op4_media_columns, op5_toxicity, op6_packing, op7_token_counts, op8_simhash, op9_quality_rules, op10_url_filter)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_suffix_dedup, op4_media_columns, op5_toxicity, op6_packing, op7_token_counts, op8_simhash, op9_quality_rules, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -116,6 +116,7 @@ class Block:
     def __init__(self, table: pa.Table, length: int, anchor: int):
         ids, texts = table.column("_id").to_pylist(), as_bytes(table.column("_text").combine_chunks()) if len(table) else []
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+        self.order = order
         self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
         self.length = length
         self.rank = ordered_ids(self.ids)
@@ -199,11 +200,12 @@ def removed_bytes(block: Block, flags: np.ndarray, least: np.ndarray) -> np.ndar
     return count[1:] > count[back]
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False, block_bytes: int = ex.BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False, carry: tuple[str, ...] = (), block_bytes: int = ex.BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_bytes, n_removed, n_spans, kept_sha256 of every whole text; ``with_text`` adds ``kept``, the remaining text
-    without cut characters (a character goes only if all its bytes do), and ``spans``, the removed (start, end) bytes."""
+    without cut characters (a character goes only if all its bytes do), and ``spans``, the removed (start, end) bytes;
+    ``carry`` names further columns of ``docs`` to come along."""
     blocks = ex.count_blocks(docs, text_col, block_bytes)
-    own = ex.in_blocks(docs, blocks, id_col, text_col)
+    own = ex.in_blocks(docs, blocks, id_col, text_col, carry)
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         number, block = table.column("_block")[0].as_py(), Block(table, length, anchor)
@@ -282,16 +284,27 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text
             if with_text:
                 row += [whole_characters(raw, mask) if n else text, [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()]]
             rows.append(row)
+        carried = [texts.column(f"_carry{k}").take(pa.array(block.order)) for k in range(len(carry))]
         types = [pa.int64()] * 4 + [pa.string()] + [pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] * with_text
         cols = list(zip(*rows, strict=True)) or [()] * len(types)
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types[: len(cols)], strict=True)], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] * with_text)])
+        return pa.table([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), *carried], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] * with_text), *(f"_carry{k}" for k in range(len(carry)))])
 
     questions = own.groupBy("_block").applyInArrow(ask_anchors, "_bucket int, _block int, keys binary, twice binary")
     shared = questions.groupBy("_bucket").applyInArrow(tell_shared, "_block int, _bucket int, flags binary")
     asked = own.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(ask_windows, "_bucket int, _block int, flags binary, anchor binary, whole binary, windows binary, doc binary, text binary")
     told = asked.groupBy("_bucket").applyInArrow(tell_windows, "_block int, _bucket int, flags binary, least binary, runs binary")
-    out = own.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(remove, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,end:long>>" * with_text)
-    return out.withColumn("kept", F.col("kept").cast("string")) if with_text else out
+    out = own.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(remove, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,end:long>>" * with_text + "".join(f", _carry{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry)))
+    out = out.withColumn("kept", F.col("kept").cast("string")) if with_text else out
+    return out
+
+
+def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` without the removed passages: ``text_col`` is what remains and ``chars_col`` its length. A document of which
+    nothing remains goes; one that was empty before stays."""
+    rest = tuple(c for c in docs.columns if c not in (id_col, text_col, chars_col))
+    out = dedup(docs, with_text=True, carry=rest, id_col=id_col, text_col=text_col).filter("n_bytes = 0 or n_removed < n_bytes")
+    made = {id_col: F.col(id_col), text_col: F.col("kept"), chars_col: F.length("kept").cast("long"), **{c: F.col(f"_carry{k}") for k, c in enumerate(rest)}}
+    return out.select(*(made[c].alias(c) for c in docs.columns))
 
 
 def whole_characters(raw: np.ndarray, mask: np.ndarray) -> bytes:
