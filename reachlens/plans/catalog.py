@@ -2,10 +2,403 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reachlens.functions import names
+from reachlens.operators import classify, closure, consensus, fingerprint, graph, lattice, resolve
+from reachlens.plans import synth
+from reachlens.runtime import table
+from reachlens.sources import render, text
+from reachlens.streaming import ingest
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name."""
+
+    def add(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# The closed world: graph, reachability, verdicts
+
+
+@query(synth.SQL_VERDICTS + " SELECT class, count(*) AS n FROM verdict WHERE class IS NOT NULL GROUP BY class")
+def verdict_counts(spark, sf_dir):
+    return classify.verdicts(synth.world(spark, sf_dir)).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query(synth.SQL_VERDICTS + " SELECT module_id, name::VARCHAR AS name, class FROM verdict WHERE class IS NOT NULL")
+def verdict_rows(spark, sf_dir):
+    return classify.verdicts(synth.world(spark, sf_dir)).select("module_id", "name", "class")
+
+
+@query(synth.SQL_VERDICTS + """ SELECT module_id, count(*) FILTER (class = 'ELIM') AS n_elim, count(*) FILTER (class = 'LOCAL') AS n_local, count(*) FILTER (class = 'HIDDEN') AS n_hidden,
+  count(*) FILTER (class = 'UNDEF') AS n_undef FROM (SELECT DISTINCT sk AS module_id FROM sec) m LEFT JOIN verdict USING (module_id) GROUP BY module_id""")
+def verdict_headers(spark, sf_dir):
+    world = synth.world(spark, sf_dir)
+    return classify.verdict_counts(world, classify.verdicts(world))
+
+
+def reached(spark, sf_dir):
+    world = synth.world(spark, sf_dir)
+    return closure.reach(graph.section_edges(world), graph.seeds(world, world.symbols))
+
+
+@query(synth.SQL_REACH + " SELECT node FROM hit WHERE node LIKE 's/%'")
+def reached_sections(spark, sf_dir):
+    return reached(spark, sf_dir).filter("node like 's/%'")
+
+
+@query(synth.SQL_REACH + " SELECT substr(node, 3) AS name FROM hit WHERE node LIKE 'n/%'")
+def reached_names(spark, sf_dir):
+    return reached(spark, sf_dir).filter("node like 'n/%'").select(F.substring("node", F.lit(3), F.length("node")).alias("name"))
+
+
+@query("WITH " + synth.SQL_SECTIONS + " SELECT sk, pk, ok, rf, size FROM def")
+def winner_definition(spark, sf_dir):
+    return synth.definitions(synth.sections(spark, sf_dir)).select("sk", "pk", "ok", "rf", "size")
+
+
+@query("WITH " + synth.SQL_EDGES + " SELECT src, dst, kind FROM edge")
+def edge_list(spark, sf_dir):
+    return graph.section_edges(synth.world(spark, sf_dir))
+
+
+@query("WITH " + synth.SQL_EDGES + " SELECT dst AS node, count(*) AS n_in FROM edge GROUP BY dst")
+def edge_degree(spark, sf_dir):
+    return graph.degrees(graph.section_edges(synth.world(spark, sf_dir)))
+
+
+@query("WITH " + synth.SQL_SECTIONS + " SELECT DISTINCT pk::VARCHAR AS name FROM und")
+def undef_names(spark, sf_dir):
+    return graph.undefined_names(synth.world(spark, sf_dir).symbols)
+
+
+@query("WITH " + synth.SQL_SECTIONS + " SELECT pk::VARCHAR AS name, sk AS module_id, ok || '-' || pk AS uid FROM expo WHERE pk IN (SELECT pk FROM und)")
+def undef_exporters(spark, sf_dir):
+    return graph.exporters(synth.world(spark, sf_dir).symbols)
+
+
+#: Up to this many sources the weights are exact for each; they are the roots with the smallest numbers.
+WEIGHT_SOURCES = 20
+
+
+@query(synth.SQL_REACH + f""",
+pick AS (SELECT node FROM root ORDER BY node LIMIT {WEIGHT_SOURCES}), far AS (SELECT node AS source, node FROM pick UNION SELECT f.source, e.dst FROM far f JOIN edge e ON e.src = f.node)
+SELECT source, sum(w.size)::BIGINT AS weight FROM far JOIN (SELECT 's/' || sk || '/' || ok || '-' || pk AS node, size FROM sec) w USING (node) GROUP BY source""")
+def retained_weight_top(spark, sf_dir):
+    """The feature is a report on a few sources: each one costs a traversal of its own."""
+    world = synth.world(spark, sf_dir)
+    weights = world.sections.select(graph.section_node("module_id", "uid").alias("node"), F.col("size").alias("weight"))
+    sources = graph.seeds(world, world.symbols).orderBy("node").limit(WEIGHT_SOURCES)
+    return closure.retained_weight(graph.section_edges(world).select("src", "dst"), sources, weights)
+
+
+@query()
+def scc_sizes(spark, sf_dir):
+    found = closure.strong_components(graph.section_edges(synth.world(spark, sf_dir)).select("src", "dst"))
+    return found.groupBy("component").agg(F.count("*").alias("n")).groupBy(F.col("n").alias("size")).agg(F.count("*").alias("components"))
+
+
+@query("SELECT name AS module_id, name AS node FROM (SELECT '' AS name) WHERE false")
+def unsound_marks(spark, sf_dir):
+    """The check that a needed undefined symbol's name is needed too: no rows."""
+    world = synth.world(spark, sf_dir)
+    hit = closure.reach(graph.section_edges(world), graph.seeds(world, world.symbols))
+    return classify.unmarked_names(world, None, hit).select(F.col("module_id").cast("string").alias("module_id"), F.col("name").alias("node"))
+
+
+# Lookups: events as call sites; the source is the user, the section the event type, the symbol the number in props
+
+LOOKUP_STATES = {"click": "CONSTANT", "view": "DYNAMIC", "purchase": "UNDEFINED"}
+SQL_LOOKUPS = """look AS (SELECT md5(user_id::VARCHAR) AS srcid, event_type AS section, 'k' || coalesce(nullif(regexp_extract(props, '"k": *([0-9]+)', 1), ''), '0') AS symbol,
+  CASE event_type WHEN 'click' THEN 'CONSTANT' WHEN 'view' THEN 'DYNAMIC' WHEN 'purchase' THEN 'UNDEFINED' ELSE 'PARTIALLY_CONSTANT' END AS status FROM events)"""
+
+
+def lookups(spark, sf_dir) -> DataFrame:
+    state = F.lit("PARTIALLY_CONSTANT")
+    for kind, name in LOOKUP_STATES.items():
+        state = F.when(F.col("event_type") == kind, name).otherwise(state)
+    symbol = F.concat(F.lit("k"), F.coalesce(F.nullif(F.regexp_extract("props", '"k": *([0-9]+)', 1), F.lit("")), F.lit("0")))
+    return table(spark, sf_dir, "events").select(F.lit("f.c").alias("file"), F.lit(1).alias("line"), F.md5(F.col("user_id").cast("string")).alias("srcid"), F.col("event_type").alias("section"), F.lit("f").alias("func"), state.alias("status"), F.array(symbol).alias("symbols"))
+
+
+def lookup_world(spark, sf_dir):
+    """Customers as modules; each has its user's source, with a section for each of its event types."""
+    from reachlens.schema import World
+
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("module_id"))
+    objects = customers.select("module_id", F.lit(0).alias("obj_ix"), F.md5((F.col("module_id") % 500).cast("string")).alias("srcid"))
+    named = lookups(spark, sf_dir).select("srcid", F.col("section").alias("name")).distinct()
+    sections = objects.join(named, "srcid").select("module_id", "obj_ix", "name", F.col("name").alias("uid"))
+    return World(None, objects, sections, None, None, None, lookups(spark, sf_dir))
+
+
+@query("WITH " + SQL_LOOKUPS + """ SELECT DISTINCT c_custkey AS module_id, l.section AS uid, l.symbol AS name FROM customer JOIN look l ON l.srcid = md5((c_custkey % 500)::VARCHAR)""")
+def dyn_edges(spark, sf_dir):
+    return graph.lookup_targets(lookup_world(spark, sf_dir))
+
+
+@query("WITH " + SQL_LOOKUPS + """ SELECT srcid, CASE bit_or(CASE status WHEN 'UNDEFINED' THEN 0 WHEN 'DYNAMIC' THEN 1 WHEN 'CONSTANT' THEN 2 ELSE 3 END)
+  WHEN 0 THEN 'UNDEFINED' WHEN 1 THEN 'DYNAMIC' WHEN 2 THEN 'CONSTANT' ELSE 'PARTIALLY_CONSTANT' END AS status FROM look GROUP BY srcid""")
+def lattice_meet(spark, sf_dir):
+    own = lookups(spark, sf_dir).groupBy("srcid").agg(lattice.meet(lattice.state_code(F.col("status"))).alias("c"))
+    return own.select("srcid", lattice.state_name(F.col("c")).alias("status"))
+
+
+@query("WITH " + SQL_LOOKUPS + " SELECT srcid, array_to_string(list_sort(list(DISTINCT symbol)), ',') AS symbols FROM look GROUP BY srcid")
+def lookup_symbol_set(spark, sf_dir):
+    return lattice.looked_up(lookups(spark, sf_dir), ["srcid"]).select("srcid", F.array_join("symbols", ",").alias("symbols"))
+
+
+@query("WITH " + SQL_LOOKUPS + " SELECT section, status, count(*) AS n FROM look WHERE status <> 'CONSTANT' GROUP BY ALL")
+def unresolved_lookups(spark, sf_dir):
+    return lattice.unresolved(lookups(spark, sf_dir)).groupBy("section", "status").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + SQL_LOOKUPS + " SELECT 'f.c:1:' || srcid || ':' || section || ':f:' || status || ':' || symbol AS value FROM look")
+def lookup_text(spark, sf_dir):
+    """Lookups written in their text form, read back, and written again."""
+    return render.lookup_lines(text.parse_lookups(render.lookup_lines(lookups(spark, sf_dir))))
+
+
+# Section names: orders as text sections and exception tables
+
+SQL_NAMES = """scn AS (SELECT o_custkey AS module_id, (o_custkey % 3)::INT AS obj_ix, o_orderkey AS uid, CASE o_orderkey % 4 WHEN 0 THEN '.text.f' || (o_orderkey % 12) WHEN 1 THEN '.gcc_except_table.f' || ((o_orderkey - 1) % 12)
+  WHEN 2 THEN '.ARM.exidx.text.f' || ((o_orderkey - 2) % 12) ELSE 'data' || (o_orderkey % 5) END AS name, (o_orderkey % 7)::BIGINT AS size FROM orders)"""
+
+
+def named_sections(spark, sf_dir) -> DataFrame:
+    key = F.col("o_orderkey")
+    fn = lambda prefix, less: F.concat(F.lit(prefix), ((key - less) % 12).cast("string"))
+    name = F.when(key % 4 == 0, fn(".text.f", 0)).when(key % 4 == 1, fn(".gcc_except_table.f", 1)).when(key % 4 == 2, fn(".ARM.exidx.text.f", 2)).otherwise(F.concat(F.lit("data"), (key % 5).cast("string")))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("module_id"), (F.col("o_custkey") % 3).cast("int").alias("obj_ix"), key.alias("uid"), name.alias("name"), (key % 7).cast("bigint").alias("size"))
+
+
+@query("WITH " + SQL_NAMES + """ SELECT module_id, uid, to_uid FROM (SELECT t.module_id, t.uid, x.uid AS to_uid, row_number() OVER (PARTITION BY t.module_id, t.uid ORDER BY x.uid DESC) AS k FROM scn t JOIN scn x USING (module_id, obj_ix)
+  WHERE regexp_matches(t.name, '^\\.text(\\.|$)') AND (replace(x.name, '.gcc_except_table', '') IN (t.name, substr(t.name, 6)) AND starts_with(x.name, '.gcc_except_table') OR starts_with(x.name, '.ARM.exidx') AND substr(x.name, 11) IN (t.name, substr(t.name, 6)))) WHERE k <= 2""")
+def extab_last_two(spark, sf_dir):
+    return graph.table_sections(named_sections(spark, sf_dir))
+
+
+@query("WITH " + SQL_NAMES + """, asked AS (SELECT c_custkey AS module_id, (c_custkey % 5)::BIGINT AS sym_ix, CASE WHEN c_custkey % 2 = 0 THEN '__start_data' ELSE '__stop_data' END || (c_custkey % 5) AS name FROM customer)
+ SELECT a.module_id, a.sym_ix, s.uid FROM asked a JOIN scn s ON s.module_id = a.module_id AND s.name = regexp_extract(a.name, '^__(start|stop)_(.+)$', 2)""")
+def start_stop_sections(spark, sf_dir):
+    from reachlens.schema import World
+
+    key = F.col("c_custkey")
+    asked = table(spark, sf_dir, "customer").select(key.alias("module_id"), (key % 5).cast("bigint").alias("sym_ix"), F.concat(F.when(key % 2 == 0, "__start_data").otherwise("__stop_data"), (key % 5).cast("string")).alias("name"), F.lit("U").alias("weak"))
+    return graph.edge_symbol_sections(World(None, None, named_sections(spark, sf_dir), None, asked, None))
+
+
+@query("WITH " + SQL_NAMES + """ SELECT uid, regexp_matches(name, '^\\.text(\\.|$)') AS is_text, regexp_matches(name, '^\\.gcc_except_table(\\.|$)') AS is_table, (uid % 9 = 0 OR name IN ('.ctors', '.dtors', '.init', '.fini') AND size > 0) AS is_root FROM scn""")
+def keep_section(spark, sf_dir):
+    kind = names.checked_type(F.when(F.col("uid") % 9 == 0, "INIT_ARRAY").otherwise("PROGBITS"))
+    own = named_sections(spark, sf_dir)
+    return own.select("uid", names.is_text(F.col("name")).alias("is_text"), names.is_unused_table(F.col("name")).alias("is_table"), names.is_root_section(F.col("name"), kind, F.col("size")).alias("is_root"))
+
+
+# Consensus: parts are sources, a line item is an object of one, with up to three symbols
+
+SQL_VOTES = """obj AS (SELECT DISTINCT l_partkey, l_orderkey, l_returnflag FROM lineitem),
+vote AS (SELECT md5(l_partkey::VARCHAR) AS srcid, 'f' || k AS name, CASE l_returnflag WHEN 'N' THEN 'ELIM' WHEN 'A' THEN 'LOCAL' ELSE 'HIDDEN' END AS class FROM obj, (VALUES (0), (1), (2)) t(k) WHERE k = 0 OR (l_orderkey + l_partkey) % (k * 5 + 15) <> 0),
+tot AS (SELECT md5(l_partkey::VARCHAR) AS srcid, count(*) AS total FROM obj GROUP BY 1),
+cons AS (SELECT srcid, name, count(*) AS cnt, max(CASE class WHEN 'ELIM' THEN 0 WHEN 'LOCAL' THEN 1 ELSE 2 END) AS rank FROM vote JOIN tot USING (srcid) GROUP BY srcid, name, total HAVING count(*) = total)"""
+
+
+def votes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    objects = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_returnflag").distinct().withColumn("srcid", F.md5(F.col("l_partkey").cast("string")))
+    kind = F.when(F.col("l_returnflag") == "N", "ELIM").when(F.col("l_returnflag") == "A", "LOCAL").otherwise("HIDDEN")
+    cast = objects.withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).filter((F.col("k") == 0) | ((F.col("l_orderkey") + F.col("l_partkey")) % (F.col("k") * 5 + 15) != 0))
+    return cast.select("srcid", F.concat(F.lit("f"), F.col("k").cast("string")).alias("name"), kind.alias("class")), consensus.source_totals(objects)
+
+
+_CLASS = "CASE rank WHEN 0 THEN 'ELIM' WHEN 1 THEN 'LOCAL' ELSE 'HIDDEN' END"
+
+
+@query("WITH " + SQL_VOTES + f" SELECT srcid, name, {_CLASS} AS class, cnt FROM cons")
+def consensus_strict(spark, sf_dir):
+    return consensus.consensus(*votes(spark, sf_dir), hidden_only=False)
+
+
+@query("WITH " + SQL_VOTES + " SELECT srcid, name, 'HIDDEN' AS class, cnt FROM cons")
+def consensus_hidden_only(spark, sf_dir):
+    return consensus.consensus(*votes(spark, sf_dir))
+
+
+@query("WITH " + SQL_VOTES + f" SELECT srcid, name, {_CLASS} AS class, cnt FROM cons")
+def consensus_pivot(spark, sf_dir):
+    return consensus.consensus_by_pivot(*votes(spark, sf_dir))
+
+
+@query("WITH " + SQL_VOTES + " SELECT srcid, count(*) FILTER (rank = 0) AS n_elim, count(*) FILTER (rank = 1) AS n_local, count(*) FILTER (rank = 2) AS n_hidden FROM cons GROUP BY srcid")
+def consensus_counts(spark, sf_dir):
+    return consensus.class_counts(consensus.consensus(*votes(spark, sf_dir), hidden_only=False))
+
+
+# Ids
+
+_XOR = "printf('%016x', bit_xor(('0x' || substr({0}, 1, 16))::UBIGINT)) || printf('%016x', bit_xor(('0x' || substr({0}, 17, 16))::UBIGINT))"
+
+
+@query(f"""WITH x AS (SELECT l_suppkey AS module_id, {_XOR.format("md5(l_orderkey::VARCHAR)")} AS x, count(*) AS n FROM lineitem GROUP BY l_suppkey)
+ SELECT module_id, CASE WHEN n = 1 THEN substr(x, 1, 30) || printf('%02x', (('0x' || substr(x, 31, 2))::INT + 1) % 256) ELSE x END AS linkid FROM x""")
+def module_fingerprint(spark, sf_dir):
+    inputs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("module_id"), F.md5(F.col("l_orderkey").cast("string")).alias("srcid"))
+    return fingerprint.link_ids(inputs)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md5('marker' || doc_id) ELSE md5(coalesce(text, '')) END AS srcid FROM documents")
+def object_ids(spark, sf_dir):
+    marker = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(names.MARKER_PREFIX), F.md5(F.concat(F.lit("marker"), F.col("doc_id").cast("string"))))).otherwise(".text")
+    return table(spark, sf_dir, "documents").select("doc_id", names.object_id(marker, F.coalesce("text", F.lit(""))).alias("srcid"))
+
+
+@query("SELECT md5((c_custkey % 100)::VARCHAR) AS linkid, min(c_custkey) AS module_id, count(*) AS copies FROM customer GROUP BY 1")
+def duplicate_modules(spark, sf_dir):
+    modules = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("module_id"), F.md5((F.col("c_custkey") % 100).cast("string")).alias("linkid"))
+    return resolve.first_modules(modules)
+
+
+@query("SELECT o_orderkey AS seq, o_orderpriority AS path, o_custkey % 50 AS \"offset\" FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_custkey % 50 ORDER BY o_orderkey) AS k FROM orders) WHERE o_custkey % 50 = 0 OR k = 1")
+def archive_members(spark, sf_dir):
+    members = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("path"), (F.col("o_custkey") % 50).alias("offset"))
+    return resolve.unclaimed(members, "seq")
+
+
+# Signatures: nations and suppliers as functions that forward arguments
+
+SQL_JUMPS = """jump AS (SELECT 'f' || s_suppkey AS from_name, (s_suppkey % 2)::INT AS from_arg, 'f' || (s_suppkey * 7 % 400) AS to_name, (s_suppkey // 3 % 2)::INT AS to_arg FROM supplier
+  UNION ALL SELECT 'g' || c_custkey, 0, 'f' || (c_custkey % 300), (c_custkey % 2)::INT FROM customer),
+base AS (SELECT 'f' || n_nationkey AS func, 1 AS arg_pos FROM nation UNION ALL SELECT 'f' || n_nationkey, 0 FROM nation WHERE n_nationkey % 5 = 0)"""
+
+
+def jumps(spark, sf_dir) -> DataFrame:
+    f = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    first = table(spark, sf_dir, "supplier").select(f("f", s).alias("from_name"), (s % 2).cast("int").alias("from_arg"), f("f", s * 7 % 400).alias("to_name"), (F.floor(s / 3) % 2).cast("int").alias("to_arg"))
+    return first.unionByName(table(spark, sf_dir, "customer").select(f("g", c).alias("from_name"), F.lit(0).alias("from_arg"), f("f", c % 300).alias("to_name"), (c % 2).cast("int").alias("to_arg")))
+
+
+def base_signatures(spark, sf_dir) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    name = F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("func")
+    return nation.select(name, F.lit(1).alias("arg_pos")).unionByName(nation.filter("n_nationkey % 5 = 0").select(name, F.lit(0).alias("arg_pos")))
+
+
+@query("WITH RECURSIVE " + SQL_JUMPS + ", sig AS (SELECT func, arg_pos FROM base UNION SELECT j.from_name, j.from_arg FROM sig s JOIN jump j ON j.to_name = s.func AND j.to_arg = s.arg_pos) SELECT func, arg_pos FROM sig")
+def signature_closure(spark, sf_dir):
+    return closure.signature_closure(base_signatures(spark, sf_dir), jumps(spark, sf_dir))
+
+
+@query("WITH " + SQL_JUMPS + " SELECT from_name || ' ' || from_arg || ' ' || to_name || ' ' || to_arg AS value FROM jump")
+def jump_text(spark, sf_dir):
+    """Jump functions written in their text form, read back, and written again."""
+    return render.jump_lines(text.parse_jumps(render.jump_lines(jumps(spark, sf_dir))))
+
+
+SQL_CALLS = SQL_JUMPS + """, call AS (SELECT 'c' || l_orderkey AS caller, 'f' || (l_partkey % 40) AS callee, l_linenumber % 3 AS n_args FROM lineitem UNION ALL SELECT func, 'f1', 2 FROM base),
+met AS (SELECT c.caller, c.callee, b.arg_pos, c.n_args, c.n_args > b.arg_pos AS fits FROM call c JOIN base b ON b.func = c.callee WHERE c.caller NOT IN (SELECT func FROM base))"""
+
+
+def calls(spark, sf_dir) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("caller"), F.concat(F.lit("f"), (F.col("l_partkey") % 40).cast("string")).alias("callee"), (F.col("l_linenumber") % 3).cast("int").alias("n_args"))
+    return items.unionByName(base_signatures(spark, sf_dir).select(F.col("func").alias("caller"), F.lit("f1").alias("callee"), F.lit(2).alias("n_args")))
+
+
+@query("WITH " + SQL_CALLS + " SELECT caller, callee, arg_pos FROM met WHERE fits")
+def signature_calls(spark, sf_dir):
+    return resolve.signature_calls(calls(spark, sf_dir), base_signatures(spark, sf_dir)).filter("fits").select("caller", "callee", "arg_pos")
+
+
+@query("WITH " + SQL_CALLS + " SELECT caller, callee, arg_pos, n_args FROM met WHERE NOT fits")
+def arity_violations(spark, sf_dir):
+    return resolve.signature_calls(calls(spark, sf_dir), base_signatures(spark, sf_dir)).filter("not fits").select("caller", "callee", "arg_pos", "n_args")
+
+
+@query("WITH " + SQL_CALLS + " SELECT caller AS user, callee AS func FROM call WHERE n_args = 0 AND callee IN (SELECT func FROM base)")
+def address_taken(spark, sf_dir):
+    refs = calls(spark, sf_dir).select(F.col("caller").alias("user"), F.col("callee").alias("func"), F.when(F.col("n_args") == 0, "ADDR").otherwise("CALL").alias("use"))
+    return resolve.address_taken(refs, base_signatures(spark, sf_dir)).select("user", "func")
+
+
+# Applying verdicts
+
+SQL_UNIT = """own AS (SELECT l_orderkey AS unit, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS name, CASE l_returnflag WHEN 'N' THEN 'ELIM' WHEN 'A' THEN 'LOCAL' END AS class, l_suppkey % 5 = 0 AS weak, CASE WHEN l_partkey % 3 = 0 THEN l_linestatus END AS comdat, l_orderkey % 11 = 0 AS toplevel FROM lineitem),
+eff AS (SELECT *, coalesce(class IS NOT NULL AND NOT (toplevel AND class <> 'ELIM'), false) AS gone FROM own),
+grp AS (SELECT unit, comdat, count(*) FILTER (NOT gone) AS kept, count(*) FILTER (gone AND NOT weak) AS tried FROM eff WHERE comdat IS NOT NULL GROUP BY ALL)"""
+
+
+def unit_symbols(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("unit"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("name"), F.when(F.col("l_returnflag") == "N", "ELIM").when(F.col("l_returnflag") == "A", "LOCAL").alias("class"),
+        F.lit(True).alias("public"), (F.col("l_suppkey") % 5 == 0).alias("weak"), F.when(F.col("l_partkey") % 3 == 0, F.col("l_linestatus")).alias("comdat"), (F.col("l_orderkey") % 11 == 0).alias("toplevel_asm"))
+
+
+@query("WITH " + SQL_UNIT + """ SELECT e.unit, e.name, CASE WHEN e.comdat IS NULL AND gone AND NOT weak OR e.comdat IS NOT NULL AND tried > 0 AND kept = 0 THEN 'local' WHEN gone THEN 'hidden' ELSE 'keep' END AS action FROM eff e LEFT JOIN grp g ON g.unit = e.unit AND g.comdat = e.comdat""")
+def comdat_all_or_nothing(spark, sf_dir):
+    return classify.applied(unit_symbols(spark, sf_dir)).select("unit", "name", "action")
+
+
+@query("SELECT p_partkey, split_part(p_name || CASE p_partkey % 3 WHEN 0 THEN '@@V1' WHEN 1 THEN '@V0' ELSE '' END, '@@', 1) AS name FROM part")
+def strip_version(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.concat("p_name", F.when(k % 3 == 0, "@@V1").when(k % 3 == 1, "@V0").otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", names.strip_version(name).alias("name"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '__privplug_f' || p_partkey || '_@V1' WHEN p_partkey % 3 = 1 THEN '__privplug_f' || p_partkey || '_V0' ELSE 'f' || p_partkey END AS alias FROM part")
+def version_alias(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("f"), k.cast("string"), F.when(k % 3 == 0, "@@V1").when(k % 3 == 1, "@V0").otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", names.alias_of(name).alias("alias"))
+
+
+@query("SELECT page_id, split_part(url, '/', -1) AS base FROM pages")
+def basename(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", names.basename(F.col("url")).alias("base"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_suppkey % 7 = 0 THEN 'U' WHEN l_suppkey % 7 IN (1, 2) THEN 'C' WHEN l_returnflag IN ('N', 'A') THEN 'W' ELSE 'D' END AS weak FROM lineitem""")
+def binding_rank(spark, sf_dir):
+    binding = F.when(F.col("l_returnflag") == "N", "GNU_UNIQUE").when(F.col("l_returnflag") == "A", "WEAK").otherwise("GLOBAL")
+    place = F.when(F.col("l_suppkey") % 7 == 0, "UNDEF").when(F.col("l_suppkey") % 7 == 1, "COMMON").when(F.col("l_suppkey") % 7 == 2, "ABS").otherwise("1")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", names.code(names.binding_rank(binding, place), "DCWU").alias("weak"))
+
+
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'd' WHEN '2-HIGH' THEN 'p' ELSE 'h' END AS vis FROM orders")
+def visibility_map(spark, sf_dir):
+    level = F.when(F.col("o_orderpriority") == "1-URGENT", "DEFAULT").when(F.col("o_orderpriority") == "2-HIGH", "PROTECTED").otherwise("INTERNAL")
+    return table(spark, sf_dir, "orders").select("o_orderkey", names.code(names.visibility_rank(level), "dph").alias("vis"))
+
+
+@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(substr(text, 1, length(text) - 1), '\\\\.', '\\\\', 'gs'), '((?:[^''"]+|''[^'']*(?:''|\\z))*)"[^"]*("|\\z)', '\\1"\\2', 'gs')) AS erased FROM documents""")
+def erase_strings(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(names.erase_strings(F.col("text"))).alias("erased"))
+
+
+# Ingest
+
+
+@query("SELECT CASE WHEN ts <= TIMESTAMP '2024-01-15' THEN 1 ELSE 2 END AS snapshot, count(*) AS n FROM events GROUP BY 1")
+def late_rows_next_snapshot(spark, sf_dir):
+    return ingest.snapshots(table(spark, sf_dir, "events"), "ts", ["2024-01-15 00:00:00"]).groupBy("snapshot").agg(F.count("*").alias("n"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
