@@ -96,7 +96,7 @@ def erase_strings(text: Column) -> Column:
     """Without the contents of double-quoted strings. The last character goes, a backslash takes the next character with it,
     and double quotes between single quotes open no string."""
     cut = F.substring(text, F.lit(1), F.length(text) - 1)
-    plain = F.regexp_replace(cut, r"(?s)\\.", r"\\\\")
+    plain = F.regexp_replace(cut, r"(?s)\\.", r"\\")
     return F.regexp_replace(plain, r"""(?s)\G((?:[^'"]++|'[^']*+(?:'|\z))*+)"[^"]*+("|\z)""", r"""$1"$2""")
 
 
