@@ -36,7 +36,9 @@ LENGTH, ANCHOR = 50, 20
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes hashed at once (arrays of eight times the size stay in the cache); suffixes sorted at once.
-CHUNK, SORT = 1 << 18, 1 << 20
+CHUNK, SORT = 1 << 18, 1 << 18
+#: Bytes of text in a block, about, and buckets a block: what a task holds at once is a multiple of them.
+BLOCK_BYTES, SPREAD = 8 << 20, 2
 NO_ID = np.uint64((1 << 64) - 1)
 
 _powers: dict[int, np.ndarray] = {}
@@ -195,23 +197,25 @@ def removed_bytes(block: Block, flags: np.ndarray, least: np.ndarray) -> np.ndar
     upto = np.cumsum(own.windows[one]) - own.windows[one]
     earlier = least[ragged(upto[place], own.windows)] < np.repeat(block.own_rank[own.doc], own.windows)
     hit[ragged(own.start, own.windows)[earlier] + 1] = 1
-    count = np.cumsum(hit, dtype=np.int32)
-    back = np.maximum(np.arange(total) - block.length + 1, 0)
-    return count[1:] > count[back]
+    count = np.cumsum(hit, dtype=np.int32, out=hit)
+    gone = count[1:] > 0  # does a window start among the last ``length`` bytes?
+    gone[block.length :] = count[block.length + 1 :] > count[1 : -block.length]
+    return gone
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False, carry: tuple[str, ...] = (), block_bytes: int = ex.BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False, carry: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_bytes, n_removed, n_spans, kept_sha256 of every whole text; ``with_text`` adds ``kept``, the remaining text
     without cut characters (a character goes only if all its bytes do), and ``spans``, the removed (start, end) bytes;
     ``carry`` names further columns of ``docs`` to come along."""
     blocks = ex.count_blocks(docs, text_col, block_bytes)
     own = ex.in_blocks(docs, blocks, id_col, text_col, carry)
+    buckets = SPREAD * blocks
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         number, block = table.column("_block")[0].as_py(), Block(table, length, anchor)
-        cut, twice = ex.bounds(block.anchors, blocks), block.twice()
-        parts = [slice(cut[b], cut[b + 1]) for b in range(blocks)]
-        return pa.table([pa.array(range(blocks), pa.int32()), pa.array([number] * blocks, pa.int32()), pa.array([ex.pack_keys(block.anchors[s]) for s in parts], pa.binary()), pa.array([np.packbits(twice[s]).tobytes() for s in parts], pa.binary())], ["_bucket", "_block", "keys", "twice"])
+        cut, twice = ex.bounds(block.anchors, buckets), block.twice()
+        parts = [slice(cut[b], cut[b + 1]) for b in range(buckets)]
+        return pa.table([pa.array(range(buckets), pa.int32()), pa.array([number] * buckets, pa.int32()), pa.array([ex.pack_keys(block.anchors[s]) for s in parts], pa.binary()), pa.array([np.packbits(twice[s]).tobytes() for s in parts], pa.binary())], ["_bucket", "_block", "keys", "twice"])
 
     def tell_shared(batch: pa.Table) -> pa.Table:
         keys = [ex.unpack_keys(x) for x in batch.column("keys").to_pylist()]
@@ -223,8 +227,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text
 
     def flags_of(block: Block, answers: pa.Table) -> tuple[np.ndarray, list[slice], list[bytes]]:
         answers = answers.sort_by("_bucket")
-        cut, packed = ex.bounds(block.anchors, blocks), answers.column("flags").to_pylist()
-        parts = [slice(cut[b], cut[b + 1]) for b in range(blocks)]
+        cut, packed = ex.bounds(block.anchors, buckets), answers.column("flags").to_pylist()
+        parts = [slice(cut[b], cut[b + 1]) for b in range(buckets)]
         return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=s.stop - s.start) for x, s in zip(packed, parts, strict=True)]).astype(bool), parts, packed
 
     def ask_windows(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -232,15 +236,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text
         flags, _, packed = flags_of(block, answers)
         shared, one, _ = block.shared(flags)
         one = shared.where(one)
-        raw, cut = np.frombuffer(b"".join(block.own), np.uint8), ex.bounds(one.anchor, blocks)
+        raw, cut = np.frombuffer(b"".join(block.own), np.uint8), ex.bounds(one.anchor, buckets)
         cols: list[list] = [[] for _ in range(5)]
-        for b in range(blocks):
+        for b in range(buckets):
             s = slice(cut[b], cut[b + 1])
             text = raw[ragged(one.start[s], one.windows[s] + length - 1)].tobytes()
             row = (ex.pack_keys(one.anchor[s]), pack_wide(one.whole[s]), ex.pack_numbers(one.windows[s]), pack_wide(block.own_rank[one.doc[s]]), ex.squeeze(text))
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
-        return pa.table([pa.array(range(blocks), pa.int32()), pa.array([number] * blocks, pa.int32()), *(pa.array(x, pa.binary()) for x in (packed, *cols))], ["_bucket", "_block", "flags", "anchor", "whole", "windows", "doc", "text"])
+        return pa.table([pa.array(range(buckets), pa.int32()), pa.array([number] * buckets, pa.int32()), *(pa.array(x, pa.binary()) for x in (packed, *cols))], ["_bucket", "_block", "flags", "anchor", "whole", "windows", "doc", "text"])
 
     def tell_windows(batch: pa.Table) -> pa.Table:
         col = {c: batch.column(c).to_pylist() for c in ("anchor", "whole", "windows", "doc", "text")}
