@@ -109,6 +109,22 @@ def no_lto(option: Column) -> Column:
     return F.regexp_replace(option, r"^-flto(=.*)?$", "-fno-lto")
 
 
+#: Beginnings of options that don't change what is compiled: fixed values.
+SILENT_OPTIONS = ("-o", "-fplugin", "-flto", "-fno-lto", "-ffunction-sections", "-fdata-sections", "-dumpbase", "-dumpdir", "-auxbase", "-I", "-iquote", "-isystem")
+
+
+def hashed_options(options: Column) -> Column:
+    """The options (an array) that go into an object's hash."""
+    return F.filter(options, lambda x: ~_any_prefix(x))
+
+
+def _any_prefix(x: Column) -> Column:
+    out = F.lit(False)
+    for p in SILENT_OPTIONS:
+        out = out | F.startswith(x, F.lit(p))
+    return out
+
+
 def hex_halves(digits: Column) -> tuple[Column, Column]:
     """32 hex digits as two signed 64-bit numbers."""
     return tuple(F.conv(F.substring(digits, at, 16), 16, -10).cast("bigint") for at in (1, 17))

@@ -23,6 +23,11 @@ def kept_by(table: DataFrame, keys: list[str], rows: int | None = None) -> DataF
     return table.sparkSession.table(name)
 
 
+def typed(keys: list[str], to: list[str], steps: DataFrame) -> list:
+    """The seeds' columns in the types of what the steps lead to, so that all rounds' files have one schema."""
+    return [F.col(k).cast(steps.schema[t].dataType).alias(k) for k, t in zip(keys, to, strict=True)]
+
+
 def closure(steps: DataFrame, seeds: DataFrame, keys: list[str], to: list[str]) -> DataFrame:
     """All key tuples (columns ``keys``) that ``seeds`` reach over ``steps``, whose columns ``to`` name the next tuple. Seeds count.
 
@@ -33,7 +38,7 @@ def closure(steps: DataFrame, seeds: DataFrame, keys: list[str], to: list[str])
     root = f"{shared_dir(spark)}/reachlens-{uuid.uuid4().hex}"
     edge_keys = [f"_k{i}" for i in range(len(keys))]
     edges = kept_by(steps.select(*(F.col(k).alias(e) for k, e in zip(keys, edge_keys, strict=True)), *(F.col(t).alias(k) for t, k in zip(to, keys, strict=True))).distinct(), edge_keys)
-    first = seeds.select(*keys).dropna().distinct()
+    first = seeds.select(*typed(keys, to, steps)).dropna().distinct()
     paths = [f"{root}/0"]
     first.write.parquet(paths[0])
     read = lambda *p: spark.read.schema(first.schema).parquet(*p)
@@ -100,23 +105,29 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def retained_weight(edges: DataFrame, sources: DataFrame, weights: DataFrame) -> DataFrame:
-    """(source, weight): the summed weights (node, weight) of all nodes that each source (column node) reaches, itself included."""
-    steps = edges.select(F.col("src").alias("node"), "dst")
-    # the pair (source, node) is the tuple; the source goes along unchanged, so the loop is written out here
-    spark = edges.sparkSession
+def closure_by_source(sources: DataFrame, steps: DataFrame, keys: list[str], to: list[str]) -> DataFrame:
+    """(source, keys): what each source reaches, itself included. sources: source and ``keys``; steps: ``keys`` and ``to``.
+
+    One loop for all sources: the source goes along with each tuple, and the steps don't know it.
+    """
+    spark = steps.sparkSession
     root = f"{shared_dir(spark)}/reachlens-{uuid.uuid4().hex}"
-    steps = kept_by(steps.distinct(), ["node"])
-    first = sources.select(F.col("node").alias("source"), "node").distinct()
+    edges = kept_by(steps.select(*keys, *(F.col(t).alias(f"_to{i}") for i, t in enumerate(to))).dropna().distinct(), keys)
+    first = sources.select("source", *typed(keys, to, steps)).dropna().distinct()
     paths = [f"{root}/0"]
     first.write.parquet(paths[0])
     read = lambda *p: spark.read.schema(first.schema).parquet(*p)
     while True:
         seen = read(*paths)
-        new = read(paths[-1]).join(steps, "node").select("source", F.col("dst").alias("node")).distinct().join(seen, ["source", "node"], "left_anti")
+        new = read(paths[-1]).join(edges, keys).select("source", *(F.col(f"_to{i}").alias(k) for i, k in enumerate(keys))).distinct().join(seen, ["source", *keys], "left_anti")
         path = f"{root}/{len(paths)}"
         new.write.parquet(path)
         if read(path).isEmpty():
-            break
+            return seen
         paths.append(path)
-    return seen.join(weights, "node").groupBy("source").agg(F.sum("weight").alias("weight"))
+
+
+def retained_weight(edges: DataFrame, sources: DataFrame, weights: DataFrame) -> DataFrame:
+    """(source, weight): the summed weights (node, weight) of all nodes that each source (column node) reaches, itself included."""
+    own = closure_by_source(sources.select(F.col("node").alias("source"), "node"), edges.select(F.col("src").alias("node"), "dst"), ["node"], ["dst"])
+    return own.join(weights, "node").groupBy("source").agg(F.sum("weight").alias("weight"))

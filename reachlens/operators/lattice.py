@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reachlens.operators.closure import closure_by_source
+
 #: Fixed values, in the order of their codes 0 to 3.
 STATES = ("UNDEFINED", "DYNAMIC", "CONSTANT", "PARTIALLY_CONSTANT")
 
@@ -31,3 +33,16 @@ def looked_up(lookups: DataFrame, keys: list[str]) -> DataFrame:
 def unresolved(lookups: DataFrame) -> DataFrame:
     """Call sites whose names aren't all known: they need force modules."""
     return lookups.filter(F.col("status").isin("DYNAMIC", "PARTIALLY_CONSTANT", "UNDEFINED"))
+
+
+def resolve_values(sites: DataFrame, flows: DataFrame, facts: DataFrame) -> DataFrame:
+    """(source, status, symbols) of each lookup site: the meet of all values that can flow into its argument.
+
+    sites: source, func, arg. flows: func, arg, from_func, from_arg (a caller hands its own argument on). facts: func, arg,
+    status, symbol (a caller hands a value over; symbol is null unless the value is constant). Cycles of callers add nothing;
+    a site that no value reaches is UNDEFINED.
+    """
+    reached = closure_by_source(sites, flows, ["func", "arg"], ["from_func", "from_arg"])
+    values = reached.join(facts.withColumn("_c", state_code(F.col("status"))), ["func", "arg"]).groupBy("source").agg(meet(F.col("_c")).alias("c"), F.sort_array(F.collect_set("symbol")).alias("symbols"))
+    every = sites.select("source").distinct().join(values, "source", "left")
+    return every.select("source", state_name(F.coalesce("c", F.lit(0))).alias("status"), F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"))

@@ -56,3 +56,21 @@ def stamped(objects: DataFrame, modules: DataFrame) -> DataFrame:
     """Objects made by incremental links carry the link's id as their source id, so ids compose over levels."""
     made = modules.filter("kind = 'R'").select(F.col("name").alias("path"), F.col("linkid").alias("_link")).distinct()
     return objects.join(made, "path", "left").withColumn("srcid", F.coalesce("_link", "srcid")).drop("_link")
+
+
+def relocation_refs(relocations: DataFrame, symbols: DataFrame, sections: DataFrame) -> DataFrame:
+    """(module_id, uid, sym_ix, def_uid): which section refers to which symbol, for named sections; the relocations (module_id, uid,
+    sym_ix) of a section to a symbol count once."""
+    own = relocations.select("module_id", "uid", "sym_ix").distinct()
+    named = sections.filter("name is not null").select("module_id", "uid")
+    return own.join(named, ["module_id", "uid"], "left_semi").join(symbols.select("module_id", "sym_ix", "def_uid"), ["module_id", "sym_ix"]).select("module_id", "uid", "sym_ix", "def_uid")
+
+
+def jump_functions(calls: DataFrame, params: DataFrame) -> DataFrame:
+    """(from_name, from_arg, to_name, to_arg): calls (caller, callee, args: array) that hand a parameter of the caller on.
+
+    params: func, params (array of the names of its parameters).
+    """
+    given = calls.select("caller", "callee", F.posexplode("args").alias("to_arg", "value"))
+    own = params.select(F.col("func").alias("caller"), F.posexplode("params").alias("from_arg", "value"))
+    return given.join(own, ["caller", "value"]).select(F.col("caller").alias("from_name"), "from_arg", F.col("callee").alias("to_name"), "to_arg").distinct()

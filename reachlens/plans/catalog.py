@@ -333,6 +333,38 @@ def address_taken(spark, sf_dir):
     return resolve.address_taken(refs, base_signatures(spark, sf_dir)).select("user", "func")
 
 
+@query("""WITH call AS (SELECT DISTINCT 'f' || l_suppkey AS caller, 'f' || (l_partkey % 50) AS callee, 'p' || (l_linenumber % 3) AS a0, 'p' || (l_partkey % 4) AS a1 FROM lineitem)
+ SELECT DISTINCT caller AS from_name, substr(v, 2)::INT AS from_arg, callee AS to_name, k::INT AS to_arg FROM (SELECT caller, callee, 0 AS k, a0 AS v FROM call UNION ALL SELECT caller, callee, 1, a1 FROM call) WHERE v <> 'p3'""")
+def jump_functions(spark, sf_dir):
+    """Calls hand on p0, p1, p2, which are the caller's parameters, and p3, which is none."""
+    arg = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    items = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("caller"), F.concat(F.lit("f"), (F.col("l_partkey") % 50).cast("string")).alias("callee"), F.array(arg(F.col("l_linenumber") % 3), arg(F.col("l_partkey") % 4)).alias("args"))
+    params = items.select(F.col("caller").alias("func")).distinct().withColumn("params", F.array(*(F.lit(f"p{k}") for k in range(3))))
+    return resolve.jump_functions(items.distinct(), params)
+
+
+@query("""WITH RECURSIVE flow AS (SELECT DISTINCT s_suppkey % 60 AS func, 0 AS arg, s_suppkey * 7 % 60 AS from_func, 0 AS from_arg FROM supplier WHERE s_suppkey % 3 <> 0),
+fact AS (SELECT DISTINCT c_custkey % 60 AS func, 0 AS arg, CASE WHEN c_custkey % 7 = 0 THEN 'DYNAMIC' ELSE 'CONSTANT' END AS status, CASE WHEN c_custkey % 7 <> 0 THEN 's' || (c_custkey % 5) END AS symbol FROM customer WHERE c_custkey % 4 = 0),
+hit AS (SELECT n_nationkey AS source, n_nationkey AS func, 0 AS arg FROM nation UNION SELECT h.source, f.from_func, f.from_arg FROM hit h JOIN flow f ON f.func = h.func AND f.arg = h.arg),
+val AS (SELECT source, bit_or(CASE status WHEN 'DYNAMIC' THEN 1 ELSE 2 END) AS c, array_to_string(list_sort(list(DISTINCT symbol) FILTER (symbol IS NOT NULL)), ',') AS symbols FROM hit JOIN fact USING (func, arg) GROUP BY source)
+SELECT n_nationkey AS source, CASE coalesce(c, 0) WHEN 0 THEN 'UNDEFINED' WHEN 1 THEN 'DYNAMIC' WHEN 2 THEN 'CONSTANT' ELSE 'PARTIALLY_CONSTANT' END AS status, coalesce(symbols, '') AS symbols FROM nation LEFT JOIN val ON source = n_nationkey""")
+def resolved_values(spark, sf_dir):
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    flows = table(spark, sf_dir, "supplier").filter(s % 3 != 0).select((s % 60).alias("func"), F.lit(0).alias("arg"), (s * 7 % 60).alias("from_func"), F.lit(0).alias("from_arg")).distinct()
+    constant = c % 7 != 0
+    facts = table(spark, sf_dir, "customer").filter(c % 4 == 0).select((c % 60).alias("func"), F.lit(0).alias("arg"), F.when(constant, "CONSTANT").otherwise("DYNAMIC").alias("status"), F.when(constant, F.concat(F.lit("s"), (c % 5).cast("string"))).alias("symbol"))
+    sites = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("source"), F.col("n_nationkey").alias("func"), F.lit(0).alias("arg"))
+    return lattice.resolve_values(sites, flows, facts).select("source", "status", F.array_join("symbols", ",").alias("symbols"))
+
+
+@query("""WITH rel AS (SELECT DISTINCT l_suppkey AS module_id, l_orderkey AS uid, l_partkey AS sym_ix FROM lineitem) SELECT r.module_id, r.uid, r.sym_ix, CASE WHEN r.sym_ix % 2 = 0 THEN r.sym_ix * 10 END AS def_uid FROM rel r WHERE r.uid % 5 <> 0""")
+def relocation_refs(spark, sf_dir):
+    rel = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("module_id"), F.col("l_orderkey").alias("uid"), F.col("l_partkey").alias("sym_ix"))
+    symbols = rel.select("module_id", "sym_ix").distinct().withColumn("def_uid", F.when(F.col("sym_ix") % 2 == 0, F.col("sym_ix") * 10))
+    sections = rel.select("module_id", "uid").distinct().withColumn("name", F.when(F.col("uid") % 5 != 0, F.lit(".text")))
+    return resolve.relocation_refs(rel, symbols, sections)
+
+
 # Applying verdicts
 
 SQL_UNIT = """own AS (SELECT l_orderkey AS unit, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS name, CASE l_returnflag WHEN 'N' THEN 'ELIM' WHEN 'A' THEN 'LOCAL' END AS class, l_suppkey % 5 = 0 AS weak, CASE WHEN l_partkey % 3 = 0 THEN l_linestatus END AS comdat, l_orderkey % 11 = 0 AS toplevel FROM lineitem),
@@ -388,6 +420,31 @@ def erase_strings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(names.erase_strings(F.col("text"))).alias("erased"))
 
 
+@query("SELECT o_orderkey, '[' || CASE WHEN o_custkey % 2 = 0 THEN '-O2,' ELSE '' END || '-g]' AS kept, CASE WHEN o_custkey % 2 = 0 THEN '-fno-lto' ELSE '-flto-x' END AS lto FROM orders")
+def option_rewrites(spark, sf_dir):
+    even = F.col("o_custkey") % 2 == 0
+    options = F.filter(F.array(F.when(even, "-O2"), F.lit("-o"), F.lit("-Iinclude"), F.lit("-fplugin=x"), F.lit("-g")), lambda x: x.isNotNull())
+    kept = F.concat(F.lit("["), F.array_join(names.hashed_options(options), ","), F.lit("]"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", kept.alias("kept"), names.no_lto(F.when(even, "-flto=8").otherwise("-flto-x")).alias("lto"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderkey % 3 = 0) AND o_custkey % 4 > 0")
+def analysed_links(spark, sf_dir):
+    links = table(spark, sf_dir, "orders").select("o_orderkey", F.array(F.lit("-o"), F.when(F.col("o_orderkey") % 3 == 0, "-r").otherwise("x")).alias("options"), (F.col("o_custkey") % 4).alias("n_objects"))
+    return resolve.analysed_links(links).select("o_orderkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 6 <> 0")
+def kept_packages(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    return resolve.kept_packages(part, part.filter("p_partkey % 6 = 0"), "p_partkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def unknown_ids(spark, sf_dir):
+    return resolve.unknown_ids(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+
+
 # Ingest
 
 

@@ -120,3 +120,23 @@ def test_order_of_modules_does_not_matter(spark, tmp_path):
     first = world(spark, tmp_path, {"deps-1": w.APP, "deps-2": w.LIB, "deps-3": w.APP2})
     second = world(spark, tmp_path, {"deps-9": w.APP, "deps-5": w.LIB, "deps-4": w.APP2})
     assert classes(classify.verdicts(first), first.modules) == classes(classify.verdicts(second), second.modules)
+
+
+def test_batch_jobs(spark, tmp_path):
+    from reachlens.plans import batch
+
+    for name, body in {"deps-1": w.APP, "deps-2": w.LIB, "jfunc-0": "wrap 1 dlsym 1\n", "base": "dlsym 1\n"}.items():
+        (tmp_path / name).write_text(body)
+    batch.main(["merge", str(tmp_path / "out"), "--deps", str(tmp_path / "deps-1"), str(tmp_path / "deps-2"), "--class-mode"])
+    assert {r.linkid for r in text.read_verdicts(spark, str(tmp_path / "out/merged.vis/*.txt")).collect()} == {w.A, w.B}
+    assert {(r.name, r["class"]) for r in text.read_consensus(spark, str(tmp_path / "out/merged.vis.gcc/*.txt"), w.S3).collect()} == {("inner", "HIDDEN")}
+    batch.main(["signatures", str(tmp_path / "sign"), "--base", str(tmp_path / "base"), "--jfunc", str(tmp_path / "jfunc-0")])
+    assert {tuple(r) for r in text.read_signatures(spark, str(tmp_path / "sign")).collect()} == {("dlsym", 1), ("wrap", 1)}
+
+
+def test_force_module_from_names(spark, tmp_path):
+    (tmp_path / "deps-1").write_text(w.APP)
+    (tmp_path / "deps-2").write_text(w.LIB)
+    read = text.read_modules(spark, [str(tmp_path / "deps-1"), str(tmp_path / "deps-2")])
+    own = text.world_of(read, text.force_module(spark, "mine", ["api_close"]))
+    assert classes(classify.verdicts(own), own.modules) == W2
