@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachlens.runtime import materialize, shared_dir
+from reachlens.runtime import discard, materialize, shared_dir
 
 #: Rows from which a round's unchanging side is kept bucketed by the join key, so that rounds shuffle the frontier alone.
 BUCKET_ROWS, BUCKETS = 20_000_000, 256
 
 
-def kept_by(table: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
-    """``table`` written once for many joins on ``keys``: bucketed by them if it is large."""
-    table = materialize(table)
-    if (rows if rows is not None else table.count()) < BUCKET_ROWS:
-        return table
-    name = f"reachlens_{uuid.uuid4().hex}"
-    table.write.bucketBy(BUCKETS, *keys).sortBy(*keys).saveAsTable(name)
-    return table.sparkSession.table(name)
+@contextmanager
+def kept_by(table: DataFrame, keys: list[str]) -> Iterator[DataFrame]:
+    """``table`` written once for many joins on ``keys``, bucketed by them if it is large; gone afterwards."""
+    spark, plain = table.sparkSession, materialize(table)
+    name = f"reachlens_{uuid.uuid4().hex}" if plain.count() >= BUCKET_ROWS else None
+    if name:
+        plain.write.bucketBy(BUCKETS, *keys).sortBy(*keys).saveAsTable(name)
+    try:
+        yield spark.table(name) if name else plain
+    finally:
+        if name:
+            spark.sql(f"DROP TABLE {name}")
+        discard(plain)
 
 
 def typed(keys: list[str], to: list[str], steps: DataFrame) -> list:
@@ -34,24 +41,31 @@ def closure(steps: DataFrame, seeds: DataFrame, keys: list[str], to: list[str])
     Each round joins the frontier with ``steps``, drops what was seen, and writes the rest into the shared folder; the
     driver sees one count a round.
     """
-    spark = steps.sparkSession
-    root = f"{shared_dir(spark)}/reachlens-{uuid.uuid4().hex}"
     edge_keys = [f"_k{i}" for i in range(len(keys))]
-    edges = kept_by(steps.select(*(F.col(k).alias(e) for k, e in zip(keys, edge_keys, strict=True)), *(F.col(t).alias(k) for t, k in zip(to, keys, strict=True))).distinct(), edge_keys)
+    edges = steps.select(*(F.col(k).alias(e) for k, e in zip(keys, edge_keys, strict=True)), *(F.col(t).alias(k) for t, k in zip(to, keys, strict=True)))
     first = seeds.select(*typed(keys, to, steps)).dropna().distinct()
-    paths = [f"{root}/0"]
-    first.write.parquet(paths[0])
-    read = lambda *p: spark.read.schema(first.schema).parquet(*p)
-    while True:
-        frontier, seen = read(paths[-1]), read(*paths)
+
+    def step(frontier: DataFrame, edges: DataFrame) -> DataFrame:
         met = frontier.select(*(F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)))
-        on = [met[f"_f{i}"] == edges[e] for i, e in enumerate(edge_keys)]
-        new = edges.join(met, on).select(*keys).dropna().distinct().join(seen, keys, "left_anti")
-        path = f"{root}/{len(paths)}"
-        new.write.parquet(path)
-        if read(path).isEmpty():
-            return seen
-        paths.append(path)
+        return edges.join(met, [met[f"_f{i}"] == edges[e] for i, e in enumerate(edge_keys)]).select(*keys).dropna()
+
+    return rounds(first, edges, edge_keys, step)
+
+
+def rounds(first: DataFrame, edges: DataFrame, edge_keys: list[str], step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``first`` and all that repeated steps give; each round's new rows are a folder of their own in the shared folder."""
+    spark = first.sparkSession
+    root, paths = f"{shared_dir(spark)}/reachlens-{uuid.uuid4().hex}", []
+    read = lambda p: spark.read.schema(first.schema).parquet(*p)
+    with kept_by(edges, edge_keys) as kept:
+        new = first
+        while True:
+            path = f"{root}/{len(paths)}"
+            new.write.parquet(path)
+            if paths and read([path]).isEmpty():
+                return read(paths)
+            paths.append(path)
+            new = step(read(paths[-1:]), kept).distinct().join(read(paths), first.columns, "left_anti")
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -110,21 +124,10 @@ def closure_by_source(sources: DataFrame, steps: DataFrame, keys: list[str], to:
 
     One loop for all sources: the source goes along with each tuple, and the steps don't know it.
     """
-    spark = steps.sparkSession
-    root = f"{shared_dir(spark)}/reachlens-{uuid.uuid4().hex}"
-    edges = kept_by(steps.select(*keys, *(F.col(t).alias(f"_to{i}") for i, t in enumerate(to))).dropna().distinct(), keys)
+    edges = steps.select(*keys, *(F.col(t).alias(f"_to{i}") for i, t in enumerate(to))).dropna()
     first = sources.select("source", *typed(keys, to, steps)).dropna().distinct()
-    paths = [f"{root}/0"]
-    first.write.parquet(paths[0])
-    read = lambda *p: spark.read.schema(first.schema).parquet(*p)
-    while True:
-        seen = read(*paths)
-        new = read(paths[-1]).join(edges, keys).select("source", *(F.col(f"_to{i}").alias(k) for i, k in enumerate(keys))).distinct().join(seen, ["source", *keys], "left_anti")
-        path = f"{root}/{len(paths)}"
-        new.write.parquet(path)
-        if read(path).isEmpty():
-            return seen
-        paths.append(path)
+    onward = ["source", *(F.col(f"_to{i}").alias(k) for i, k in enumerate(keys))]
+    return rounds(first, edges, keys, lambda frontier, edges: frontier.join(edges, keys).select(*onward))
 
 
 def retained_weight(edges: DataFrame, sources: DataFrame, weights: DataFrame) -> DataFrame:

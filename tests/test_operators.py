@@ -35,6 +35,15 @@ def test_reach_grows_with_roots(spark):
     assert closure.reach(edges.limit(0), spark.createDataFrame([], "node long")).count() == 0
 
 
+def test_large_edge_tables_are_bucketed(spark, monkeypatch):
+    monkeypatch.setattr(closure, "BUCKET_ROWS", 1)
+    monkeypatch.setattr(closure, "BUCKETS", 2)
+    before = spark.catalog.listTables()
+    edges = spark.createDataFrame([(1, 2), (2, 3), (2, 3), (9, 1)], "src long, dst long")
+    assert pairs(closure.reach(edges, spark.createDataFrame([(1,)], "node long")), "node") == {(1,), (2,), (3,)}
+    assert spark.catalog.listTables() == before
+
+
 def test_strong_components(spark):
     edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (7, 7), (6, 8), (2, 9), (9, 10), (10, 9), (9, 2)]
     got = pairs(closure.strong_components(spark.createDataFrame(edges, "src long, dst long")), "node", "component")
