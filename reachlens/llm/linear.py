@@ -21,17 +21,19 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_sparse(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, dim: int, steps: int = 80, rate: float = 0.5, l2: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on sparse rows, by Adam on the whole batch."""
-    w, m, v, b, mb, vb = np.zeros(dim), np.zeros(dim), np.zeros(dim), 0.0, 0.0, 0.0
-    balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+def fit_sparse(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, dim: int, inside: np.ndarray | None = None, steps: int = 50, rate: float = 0.5, l2: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on sparse rows, by Adam on the whole batch; only rows ``inside`` count."""
+    w, m, v, b, mb, vb = np.zeros(dim, np.float32), np.zeros(dim), np.zeros(dim), 0.0, 0.0, 0.0
+    use = np.ones(len(y)) if inside is None else inside.astype(float)
+    share = float((y * use).sum() / use.sum())
+    balance = use * np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / use.sum()
     for t in range(1, steps + 1):
         z = np.bincount(rows, vals * w[cols], len(y)) + b
-        err = (sigmoid(z) - y) * balance / len(y)
-        g, gb = np.bincount(cols, vals * err[rows], dim) + l2 * w, err.sum()
+        err = ((sigmoid(z) - y) * balance).astype(np.float32)
+        g, gb = np.bincount(cols, vals * err[rows], dim) + l2 * w, float(err.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         fix = np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
-        w -= rate * fix * m / (np.sqrt(v) + 1e-9)
+        w -= (rate * fix * m / (np.sqrt(v) + 1e-9)).astype(np.float32)
         b -= rate * fix * mb / (np.sqrt(vb) + 1e-9)
     return w, b
 

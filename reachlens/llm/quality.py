@@ -31,7 +31,7 @@ CHAR_SIZES = (3, 4)
 KINDS = 2 + len(CHAR_SIZES)
 #: Fixed odd multipliers of the hashes.
 MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
-SAMPLE, MIN_DOCS, FOLDS, THRESHOLD = 3000, 5, 3, 0.5
+SAMPLE, MIN_DOCS, FOLDS, THRESHOLD = 1500, 5, 3, 0.5
 MIN_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: Characters counted as symbols, and the white space that parts words: fixed values.
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\v\f\r"
@@ -87,8 +87,9 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(cols), np.concatenate(vals)) if cols else (np.zeros(0, np.int32), np.zeros(0, np.float32))
 
 
-def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """rows, cols, vals, y of the sample; its texts stay on the executors."""
+def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """rows, cols, vals, y of the sample, and the slots that MIN_DOCS documents have, which ``cols`` number. Texts stay on
+    the executors; the slots of rarer n-grams go before the documents' features are put together."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,31 +97,36 @@ def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.tobytes() for c, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], ["_id", "_y", "cols", "vals"])
 
     kind = sample.schema["_id"].dataType.simpleString()
-    got = sorted(sample.select("_id", "_text", "_y").mapInArrow(run, f"_id {kind}, _y int, cols binary, vals binary").collect())
-    cols = [np.frombuffer(r["cols"], np.int32) for r in got]
-    vals = [np.frombuffer(r["vals"], np.float32) for r in got]
-    rows = np.repeat(np.arange(len(got)), [len(c) for c in cols])
-    return rows, np.concatenate(cols) if cols else np.zeros(0, np.int32), np.concatenate(vals) if vals else np.zeros(0, np.float32), np.array([r["_y"] > 0 for r in got], float)
+    got = sample.select("_id", "_text", "_y").mapInArrow(run, f"_id {kind}, _y int, cols binary, vals binary").toArrow()
+    got = got.take(np.lexsort((got["_y"].to_numpy(), got["_id"].to_numpy())))
+    y, seen = got["_y"].to_numpy() > 0, np.zeros(KINDS << BITS, np.int32)
+    for x in got["cols"]:
+        seen[np.frombuffer(x.as_buffer(), np.int32)] += 1  # a slot occurs once a document
+    slots = np.flatnonzero(seen >= MIN_DOCS)
+    small = np.full(KINDS << BITS, -1, np.int32)
+    small[slots] = np.arange(len(slots))
+    rows, cols, vals = [], [], []
+    for i, (c, v) in enumerate(zip(got["cols"], got["vals"], strict=True)):
+        own = small[np.frombuffer(c.as_buffer(), np.int32)]
+        keep = own >= 0
+        cols.append(own[keep])
+        vals.append(np.frombuffer(v.as_buffer(), np.float32)[keep])
+        rows.append(np.full(len(cols[-1]), i, np.int32))
+    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    return join(rows, np.int32), join(cols, np.int32), join(vals, np.float32), y.astype(float), slots
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """The model, or None without labels of both kinds."""
-    rows, cols, vals, y = sample_features(linear.labelled_sample(docs, labels, label, sample, id_col, text_col))
+    rows, cols, vals, y, slots = sample_features(linear.labelled_sample(docs, labels, label, sample, id_col, text_col))
     if len(y) < 2 * FOLDS or not 0 < y.mean() < 1:
         return None
-    known = np.bincount(cols, minlength=KINDS << BITS) >= MIN_DOCS  # a slot occurs once a row
-    keep = known[cols]
-    slots = np.flatnonzero(known)
-    small = np.zeros(KINDS << BITS, np.int64)
-    small[slots] = np.arange(len(slots))
-    rows, cols, vals = rows[keep], small[cols[keep]], vals[keep].astype(float)
     fold, out = linear.folds(len(y), FOLDS), np.zeros(len(y))
     for k in range(FOLDS):
-        at, inside = fold[rows] != k, fold != k
+        inside = fold != k
         if not 0 < y[inside].mean() < 1:
             return None
-        place = np.cumsum(inside) - 1
-        w, b = linear.fit_sparse(place[rows[at]], cols[at], vals[at], y[inside], len(slots))
+        w, b = linear.fit_sparse(rows, cols, vals, y, len(slots), inside)
         out += np.where(inside, 0, np.bincount(rows, vals * w[cols], len(y)) + b)
     w, b = linear.fit_sparse(rows, cols, vals, y, len(slots))
     weights = np.zeros(KINDS << BITS, np.float32)
