@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text in a block, about.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def count_blocks(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> int:

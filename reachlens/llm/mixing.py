@@ -59,22 +59,24 @@ def even_targets(cells: DataFrame, exponents: dict[str, float]) -> dict[str, Dat
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` with factors under which the token shares of every class column meet their targets."""
-    targets = {k: materialize(t) for k, t in targets.items()}
+    """``cells`` with factors under which the token shares of every class column meet their targets.
+
+    Each scaling is written, so plans stay as small as one grouping and one join, however many rounds there are.
+    """
     total = float(cells.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0)
-    last = None
+    own = cells.columns
+    for name, target in targets.items():
+        cells = cells.join(target.select(name, F.col("share").alias(f"_share_{name}")), name, "left")
+    cells = materialize(cells)
     for _ in range(rounds):
-        for name, target in targets.items():
+        for name in targets:
             now = cells.groupBy(name).agg(F.sum(F.col("n_tokens") * F.col("factor")).alias("_now"))
-            scale = now.join(target, name, "left").select(name, F.when(F.col("share").isNull() | (F.col("_now") == 0), 1.0).otherwise(F.col("share") * F.lit(total) / F.col("_now")).alias("_scale"))
-            cells = cells.join(scale, name).select("source", "lang", "topic", "n_tokens", (F.col("factor") * F.col("_scale")).alias("factor"))
-        cells = materialize(cells)
-        if last is not None:
-            discard(last)
-        last = cells
-    for t in targets.values():
-        discard(t)
-    return cells
+            share = F.col(f"_share_{name}")
+            scale = F.when(share.isNull() | (F.col("_now") == 0), F.col("factor")).otherwise(F.col("factor") * (share * F.lit(total) / F.col("_now")))
+            new = materialize(cells.join(now, name).withColumn("factor", scale).select(*cells.columns))
+            discard(cells)
+            cells = new
+    return cells.select(*own)
 
 
 def chance(doc_id: Column) -> Column:

@@ -38,7 +38,7 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes hashed at once (arrays of eight times the size stay in the cache); suffixes sorted at once.
 CHUNK, SORT = 1 << 18, 1 << 18
 #: Bytes of text in a block, about, and buckets a block: what a task holds at once is a multiple of them.
-BLOCK_BYTES, SPREAD = 8 << 20, 2
+BLOCK_BYTES, SPREAD = 5 << 20, 2
 NO_ID = np.uint64((1 << 64) - 1)
 
 _powers: dict[int, np.ndarray] = {}
