@@ -195,8 +195,12 @@ def removed_bytes(block: Block, flags: np.ndarray, least: np.ndarray) -> np.ndar
     total = sum(map(len, block.own))
     hit = np.zeros(total + 1, np.int32)
     upto = np.cumsum(own.windows[one]) - own.windows[one]
-    earlier = least[ragged(upto[place], own.windows)] < np.repeat(block.own_rank[own.doc], own.windows)
-    hit[ragged(own.start, own.windows)[earlier] + 1] = 1
+    load = np.cumsum(own.windows)
+    edges = np.unique(np.searchsorted(load, np.arange(0, int(load[-1]) if len(load) else 0, CHUNK), "right").tolist() + [0, len(load)])
+    for a, b in zip(edges, edges[1:]):  # some stretches at a time
+        n = own.windows[a:b]
+        earlier = least[ragged(upto[place[a:b]], n)] < np.repeat(block.own_rank[own.doc[a:b]], n)
+        hit[ragged(own.start[a:b], n)[earlier] + 1] = 1
     count = np.cumsum(hit, dtype=np.int32, out=hit)
     gone = count[1:] > 0  # does a window start among the last ``length`` bytes?
     gone[block.length :] = count[block.length + 1 :] > count[1 : -block.length]
