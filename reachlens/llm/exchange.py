@@ -1,7 +1,7 @@
 """Blocks of documents and buckets of keys, and the packed messages that go between them.
 
 Statistics over all documents are too many rows to shuffle one by one. So documents are dealt into blocks of bounded
-size by a hash of their id; a block sends each bucket (a range of 64-bit hashes) one packed message with its own distinct
+size by a hash of their id and text; a block sends each bucket (a range of 64-bit hashes) one packed message with its own distinct
 keys, the bucket merges the messages of all blocks, and answers each block about the keys it asked for. A frequent key
 comes once from each block, so no bucket grows with its frequency, and messages are numpy arrays all the way.
 """
@@ -25,8 +25,11 @@ def count_blocks(docs: DataFrame, text_col: str = "text", block_bytes: int = BLO
 
 
 def in_blocks(docs: DataFrame, blocks: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """_block, _id, _text of all documents, and the columns to ``carry`` as _carry0 and so on; nothing else of ``docs`` is read."""
-    return docs.select(*(F.col(c).alias(f"_carry{k}") for k, c in enumerate(carry)), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("_block"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    """_block, _id, _text of all documents, and the columns to ``carry`` as _carry0 and so on; nothing else of ``docs`` is read.
+
+    Ids are hashed with their texts, so that many rows with one id, or none, don't make one large block.
+    """
+    return docs.select(*(F.col(c).alias(f"_carry{k}") for k, c in enumerate(carry)), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).cast("int").alias("_block"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -42,6 +45,15 @@ def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def parts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[slice]]:
+    """The buckets that hold some of the keys (sorted), and the keys of each. Empty buckets get no message, so there are never
+    more messages than keys, however many blocks and buckets."""
+    at = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    edges = [*first.tolist(), len(keys)]
+    return at[first], [slice(a, b) for a, b in zip(edges, edges[1:])]
+
+
 def squeeze(raw: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(raw)
 

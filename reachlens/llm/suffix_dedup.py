@@ -217,9 +217,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         number, block = table.column("_block")[0].as_py(), Block(table, length, anchor)
-        cut, twice = ex.bounds(block.anchors, buckets), block.twice()
-        parts = [slice(cut[b], cut[b + 1]) for b in range(buckets)]
-        return pa.table([pa.array(range(buckets), pa.int32()), pa.array([number] * buckets, pa.int32()), pa.array([ex.pack_keys(block.anchors[s]) for s in parts], pa.binary()), pa.array([np.packbits(twice[s]).tobytes() for s in parts], pa.binary())], ["_bucket", "_block", "keys", "twice"])
+        (filled, parts), twice = ex.parts(block.anchors, buckets), block.twice()
+        return pa.table([pa.array(filled, pa.int32()), pa.array([number] * len(filled), pa.int32()), pa.array([ex.pack_keys(block.anchors[s]) for s in parts], pa.binary()), pa.array([np.packbits(twice[s]).tobytes() for s in parts], pa.binary())], ["_bucket", "_block", "keys", "twice"])
 
     def tell_shared(batch: pa.Table) -> pa.Table:
         keys = [ex.unpack_keys(x) for x in batch.column("keys").to_pylist()]
@@ -229,26 +228,26 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text
         edges = np.cumsum([len(k) for k in keys])[:-1]
         return pa.table([batch.column("_block"), batch.column("_bucket"), pa.array([np.packbits(x).tobytes() for x in np.split(many[place], edges)], pa.binary())], ["_block", "_bucket", "flags"])
 
-    def flags_of(block: Block, answers: pa.Table) -> tuple[np.ndarray, list[slice], list[bytes]]:
-        answers = answers.sort_by("_bucket")
-        cut, packed = ex.bounds(block.anchors, buckets), answers.column("flags").to_pylist()
-        parts = [slice(cut[b], cut[b + 1]) for b in range(buckets)]
-        return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=s.stop - s.start) for x, s in zip(packed, parts, strict=True)]).astype(bool), parts, packed
+    def flags_of(block: Block, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Of each anchor: do several documents have it? And the buckets with their packed flags. ``answers``: by bucket."""
+        (filled, parts), packed = ex.parts(block.anchors, buckets), answers.column("flags").to_pylist()
+        flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=s.stop - s.start) for x, s in zip(packed, parts, strict=True)]
+        return np.concatenate([np.zeros(0, np.uint8), *flags]).astype(bool), filled, packed
 
     def ask_windows(texts: pa.Table, answers: pa.Table) -> pa.Table:
         number, block = texts.column("_block")[0].as_py(), Block(texts, length, anchor)
-        flags, _, packed = flags_of(block, answers)
+        flags, filled, packed = flags_of(block, answers.sort_by("_bucket"))
         shared, one, _ = block.shared(flags)
         one = shared.where(one)
-        raw, cut = np.frombuffer(b"".join(block.own), np.uint8), ex.bounds(one.anchor, buckets)
+        raw, some = np.frombuffer(b"".join(block.own), np.uint8), dict(zip(*ex.parts(one.anchor, buckets), strict=True))
         cols: list[list] = [[] for _ in range(5)]
-        for b in range(buckets):
-            s = slice(cut[b], cut[b + 1])
+        for b in filled:
+            s = some.get(b, slice(0, 0))
             text = raw[ragged(one.start[s], one.windows[s] + length - 1)].tobytes()
             row = (ex.pack_keys(one.anchor[s]), pack_wide(one.whole[s]), ex.pack_numbers(one.windows[s]), pack_wide(block.own_rank[one.doc[s]]), ex.squeeze(text))
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
-        return pa.table([pa.array(range(buckets), pa.int32()), pa.array([number] * buckets, pa.int32()), *(pa.array(x, pa.binary()) for x in (packed, *cols))], ["_bucket", "_block", "flags", "anchor", "whole", "windows", "doc", "text"])
+        return pa.table([pa.array(filled, pa.int32()), pa.array([number] * len(filled), pa.int32()), *(pa.array(x, pa.binary()) for x in (packed, *cols))], ["_bucket", "_block", "flags", "anchor", "whole", "windows", "doc", "text"])
 
     def tell_windows(batch: pa.Table) -> pa.Table:
         col = {c: batch.column(c).to_pylist() for c in ("anchor", "whole", "windows", "doc", "text")}
@@ -275,9 +274,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text
 
     def remove(texts: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(texts, length, anchor)
-        flags, _, _ = flags_of(block, answers)
         answers = answers.sort_by("_bucket")
-        least = np.concatenate([np.repeat(unpack_wide(v), ex.unpack_numbers(n)) for v, n in zip(answers.column("least").to_pylist(), answers.column("runs").to_pylist(), strict=True)])
+        flags, _, _ = flags_of(block, answers)
+        least = np.concatenate([np.zeros(0, np.uint64), *(np.repeat(unpack_wide(v), ex.unpack_numbers(n)) for v, n in zip(answers.column("least").to_pylist(), answers.column("runs").to_pylist(), strict=True))])
         gone, at, rows = removed_bytes(block, flags, least), 0, []
         for i, text in enumerate(block.texts):
             if block.copy[i]:

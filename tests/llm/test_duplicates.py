@@ -134,6 +134,17 @@ def test_deduped_documents_keep_their_columns(spark):
     assert gone and all(i % 3 == 0 for i in gone if i is not None)
 
 
+def test_suffix_dedup_of_texts_without_windows(spark):
+    rows = [(i, t) for i, t in enumerate(["", None, "short", "x" * 49])]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=16)
+    assert sorted(map(tuple, got.collect()), key=str) == plain_dedup(rows, 50)
+
+
+def test_rows_with_one_id_are_in_many_blocks(spark):
+    own = exchange.in_blocks(spark.createDataFrame([(None, f"text {i}") for i in range(64)], "doc_id long, text string"), 8)
+    assert own.select("_block").distinct().count() > 4
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=60), st.integers(1, 9))
 def test_packed_messages(numbers, buckets):
@@ -141,6 +152,9 @@ def test_packed_messages(numbers, buckets):
     assert (exchange.unpack_keys(exchange.pack_keys(keys)) == keys).all()
     cut = exchange.bounds(keys, buckets)
     assert all((int(k) * buckets) >> 64 == b for b in range(buckets) for k in keys[cut[b] : cut[b + 1]])
+    filled, parts = exchange.parts(keys, buckets)
+    assert [k for s in parts for k in keys[s].tolist()] == keys.tolist() and (np.diff(filled) > 0).all() and len(filled) <= len(keys)
+    assert all((int(k) * buckets) >> 64 in (b, b + 1) for b, s in zip(filled.tolist(), parts, strict=True) for k in keys[s])
     small = (keys & np.uint64(0x7FFF_FFFF)).astype(np.int64)
     assert (exchange.unpack_numbers(exchange.pack_numbers(small)) == small).all()
     own, place, n = exchange.distinct(np.array(numbers, np.uint64))
