@@ -16,8 +16,9 @@ empty table gives an empty one.
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ TIERS = (128, 256, 512, 1024)
 #: Ids waiting in the tiers before a round of packing, and ids in a step group.
 POOL, STEP = 1 << 16, 1 << 13
 #: Words remembered by a worker at most; beyond, it starts anew.
-MEMO = 400_000
+MEMO = 1_000_000
 END_ID = 0
 
 
@@ -51,7 +52,7 @@ class Ids:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[str, int] = defaultdict(itertools.count().__next__)  # a word looked up first gets the next number
         self.ends, self.flat, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -60,7 +61,6 @@ class Ids:
     def learn(self, words: list[str]) -> None:
         # many words in one call; the ids that open a word (they hold its space) tell them apart
         got = np.concatenate(self.encode([" " + " ".join(words[i : i + 500]) for i in range(0, len(words), 500)]))
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         ends = self.used + np.append(np.flatnonzero(self.opens[got])[1:], len(got))
         while len(self.flat) < ends[-1]:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -78,14 +78,17 @@ class Ids:
         out = dict(zip(whole, self.encode([texts[i] for i in whole]), strict=True))
         if len(self.place) > MEMO:
             self.forget()
-        if rest := list({w for words in split.values() for w in words[1:] if w not in self.place}):
-            self.learn(rest)
-        for (i, words), head in zip(split.items(), self.encode([w[0] for w in split.values()]), strict=True):
-            at = np.fromiter(map(self.place.__getitem__, words[1:]), np.int64, len(words) - 1)
-            lo, n = self.ends[at], self.ends[at + 1] - self.ends[at]
-            upto = np.cumsum(n)
-            rest = self.flat[np.repeat(lo - upto + n, n) + np.arange(upto[-1])] if len(n) else head[:0]
-            out[i] = np.concatenate([head, rest])
+        before, many = len(self.place), np.array([len(w) - 1 for w in split.values()], np.int64)
+        at = np.fromiter(map(self.place.__getitem__, itertools.chain.from_iterable(w[1:] for w in split.values())), np.int64, int(many.sum()))
+        if len(self.place) > before:
+            self.learn(list(itertools.islice(self.place, before, None)))
+        lo = self.ends[at]
+        n = self.ends[at + 1] - lo
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(lo - upto[:-1], n) + np.arange(upto[-1])]
+        cut = upto[np.concatenate([[0], np.cumsum(many)])].tolist()
+        for k, (i, head) in enumerate(zip(split, self.encode([w[0] for w in split.values()]), strict=True)):
+            out[i] = np.concatenate([head, ids[cut[k] : cut[k + 1]]])
         end = np.array([END_ID], np.uint32)
         return [np.concatenate([out[i], end]) for i in range(len(texts))]
 
