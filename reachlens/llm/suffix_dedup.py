@@ -12,7 +12,10 @@ with the same anchor. The steps, each a grouping in blocks of documents or in bu
    answer with the smallest document of each window;
 4. blocks remove what windows of smaller documents cover.
 
-A passage of many documents comes once from each block, whatever their number, and copies within a block come once.
+The inner stretches of a passage of many documents come once from each block. Those at its edges take in the surroundings, so
+they differ in every document though their anchor is the passage's. So anchors with more than CROWD windows in all are crowded:
+their windows don't go as stretches to the anchor's bucket, but one by one to buckets of their own hashes (96 bits), each distinct one
+once from each block with the block's smallest document; the answer is whether another block has a smaller one.
 
 Defined results: a null text is empty; texts under LENGTH bytes lose nothing; rows with equal ids are never matched with each
 other; a null id counts as larger than all others; repeated rows repeat; an empty table gives an empty one.
@@ -39,6 +42,8 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK, SORT = 1 << 18, 1 << 18
 #: Bytes of text in a block, about, and buckets a block: what a task holds at once is a multiple of them.
 BLOCK_BYTES, SPREAD = 5 << 20, 2
+#: Windows of one anchor that are sorted together at most, and the unit in which blocks count them (rounded up).
+CROWD, UNIT = 1 << 16, 64
 NO_ID = np.uint64((1 << 64) - 1)
 
 _powers: dict[int, np.ndarray] = {}
@@ -137,16 +142,32 @@ class Block:
         pairs = np.unique(self.at * max(1, len(self.own)) + self.found.doc)
         return np.bincount(pairs // max(1, len(self.own)), minlength=len(self.anchors)) > 1
 
+    def loads(self) -> np.ndarray:
+        """Windows of each anchor in the block, in whole units."""
+        return np.bincount(self.at, self.found.windows, len(self.anchors)).astype(np.int64) // UNIT
+
+    def crowded(self, flags: np.ndarray) -> tuple[Stretches, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The stretches with flagged anchors; of each of their windows its place among the distinct ones; of those, by key: key, check, smallest document."""
+        own = self.found.where(flags[self.at])
+        key, check = window_hashes(np.frombuffer(b"".join(self.own) if len(own.doc) else b"", np.uint8), own.start, own.windows, self.length)
+        doc = np.repeat(self.own_rank[own.doc], own.windows)
+        one, place = firsts(key, check, doc)
+        return own, place, key[one], check[one], doc[one]
+
     def shared(self, flags: np.ndarray) -> tuple[Stretches, np.ndarray, np.ndarray]:
         """The stretches with flagged anchors; their distinct ones by anchor and hash (as places among them); each one's distinct one."""
         own = self.found.where(flags[self.at])
-        order = np.lexsort((self.own_rank[own.doc], own.whole, own.anchor))
-        a, w = own.anchor[order], own.whole[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        return own, order[new], place
+        return own, *firsts(own.anchor, own.whole, self.own_rank[own.doc])
+
+
+def firsts(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct pair of ``a`` and ``b``, in order, the entry with the smallest document; each entry's pair."""
+    order = np.lexsort((doc, b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -154,6 +175,31 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
+def some_at_a_time(windows: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of stretches with about CHUNK windows each."""
+    load = np.cumsum(windows)
+    edges = np.unique(np.searchsorted(load, np.arange(0, int(load[-1]) if len(load) else 0, CHUNK), "right").tolist() + [0, len(load)])
+    return list(zip(edges.tolist(), edges[1:].tolist()))
+
+
+def window_hashes(raw: np.ndarray, starts: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key of 64 bits and a check of 32 bits of each window of the stretches, end to end: polynomials up and down."""
+    keys, checks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    for a, b in some_at_a_time(windows):
+        n, size = windows[a:b], windows[a:b] + length - 1
+        text = raw[ragged(starts[a:b], size)] + np.uint64(1)
+        at = ragged(np.cumsum(size) - size, n)
+        up, down = powers(BASE, len(text) + 1), powers(BASE_INVERSE, len(text) + 1)
+        got = []
+        for there, back in ((up, down), (down, up)):
+            sums = np.zeros(len(text) + 1, np.uint64)
+            np.cumsum(text * there[: len(text)], out=sums[1:])
+            got.append(ex.mixed((sums[at + length] - sums[at]) * back[at]))
+        keys.append(got[0])
+        checks.append((got[1] >> np.uint64(32)).astype(np.uint32))
+    return np.concatenate(keys), np.concatenate(checks)
+
+
 def pack_wide(x: np.ndarray) -> bytes:
     return ex.squeeze(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes())
 
@@ -170,7 +216,7 @@ def smallest_documents(raw: np.ndarray, starts: np.ndarray, windows: np.ndarray,
     alone[:-1] &= anchor[1:] != anchor[:-1]
     upto = np.cumsum(windows) - windows
     some = np.flatnonzero(~alone)
-    # stretches with equal anchors are sorted together; a group of them is never parted
+    # stretches with equal anchors are sorted together; a group of them is never parted, and has CROWD windows at most
     group = np.cumsum(np.append(True, anchor[some][1:] != anchor[some][:-1])) if len(some) else some
     load = np.cumsum(windows[some])
     part = np.zeros(len(some), np.int64)
@@ -189,25 +235,28 @@ def smallest_documents(raw: np.ndarray, starts: np.ndarray, windows: np.ndarray,
     return out
 
 
-def removed_bytes(block: Block, flags: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Of each byte of the block's own texts: is it removed? least: by window of the distinct shared stretches."""
+def removed_bytes(block: Block, flags: np.ndarray, least: np.ndarray, crowd: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """Of each byte of the block's own texts: is it removed? least: by window of the distinct shared stretches; earlier: by
+    distinct window of the crowded anchors, does another block have it in a smaller document?"""
     own, one, place = block.shared(flags)
     total = sum(map(len, block.own))
     hit = np.zeros(total + 1, np.int32)
     upto = np.cumsum(own.windows[one]) - own.windows[one]
-    load = np.cumsum(own.windows)
-    edges = np.unique(np.searchsorted(load, np.arange(0, int(load[-1]) if len(load) else 0, CHUNK), "right").tolist() + [0, len(load)])
-    for a, b in zip(edges, edges[1:]):  # some stretches at a time
+    for a, b in some_at_a_time(own.windows):
         n = own.windows[a:b]
-        earlier = least[ragged(upto[place[a:b]], n)] < np.repeat(block.own_rank[own.doc[a:b]], n)
-        hit[ragged(own.start[a:b], n)[earlier] + 1] = 1
+        before = least[ragged(upto[place[a:b]], n)] < np.repeat(block.own_rank[own.doc[a:b]], n)
+        hit[ragged(own.start[a:b], n)[before] + 1] = 1
+    if crowd.any():
+        own, place, _, _, first = block.crowded(crowd)
+        before = earlier[place] | (first[place] < np.repeat(block.own_rank[own.doc], own.windows))
+        hit[ragged(own.start, own.windows)[before] + 1] = 1
     count = np.cumsum(hit, dtype=np.int32, out=hit)
     gone = count[1:] > 0  # does a window start among the last ``length`` bytes?
     gone[block.length :] = count[block.length + 1 :] > count[1 : -block.length]
     return gone
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False, carry: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False, carry: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """``id_col``, n_bytes, n_removed, n_spans, kept_sha256 of every whole text; ``with_text`` adds ``kept``, the remaining text
     without cut characters (a character goes only if all its bytes do), and ``spans``, the removed (start, end) bytes;
     ``carry`` names further columns of ``docs`` to come along."""
@@ -217,50 +266,55 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         number, block = table.column("_block")[0].as_py(), Block(table, length, anchor)
-        (filled, parts), twice = ex.parts(block.anchors, buckets), block.twice()
-        return pa.table([pa.array(filled, pa.int32()), pa.array([number] * len(filled), pa.int32()), pa.array([ex.pack_keys(block.anchors[s]) for s in parts], pa.binary()), pa.array([np.packbits(twice[s]).tobytes() for s in parts], pa.binary())], ["_bucket", "_block", "keys", "twice"])
+        (filled, parts), twice, loads = ex.parts(block.anchors, buckets), block.twice(), block.loads()
+        cols = ([ex.pack_keys(block.anchors[s]) for s in parts], [np.packbits(twice[s]).tobytes() for s in parts], [ex.pack_numbers(loads[s]) for s in parts])
+        return pa.table([pa.array(filled, pa.int32()), pa.array([number] * len(filled), pa.int32()), *(pa.array(x, pa.binary()) for x in cols)], ["_bucket", "_block", "keys", "twice", "loads"])
 
     def tell_shared(batch: pa.Table) -> pa.Table:
         keys = [ex.unpack_keys(x) for x in batch.column("keys").to_pylist()]
         flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(batch.column("twice").to_pylist(), keys, strict=True)]
+        loads = [ex.unpack_numbers(x) + 1 for x in batch.column("loads").to_pylist()]
         _, place, n = ex.distinct(np.concatenate(keys))
         many = (n > 1) | (np.bincount(place, np.concatenate(flags), len(n)) > 0)
+        full = many & (np.bincount(place, np.concatenate(loads), len(n)) * UNIT > crowd)
         edges = np.cumsum([len(k) for k in keys])[:-1]
-        return pa.table([batch.column("_block"), batch.column("_bucket"), pa.array([np.packbits(x).tobytes() for x in np.split(many[place], edges)], pa.binary())], ["_block", "_bucket", "flags"])
-
-    def flags_of(block: Block, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Of each anchor: do several documents have it? And the buckets with their packed flags. ``answers``: by bucket."""
-        (filled, parts), packed = ex.parts(block.anchors, buckets), answers.column("flags").to_pylist()
-        flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=s.stop - s.start) for x, s in zip(packed, parts, strict=True)]
-        return np.concatenate([np.zeros(0, np.uint8), *flags]).astype(bool), filled, packed
+        cols = ([np.packbits(x).tobytes() for x in np.split(many[place], edges)], [np.flatnonzero(x).astype("<u4").tobytes() for x in np.split(full[place], edges)])
+        return pa.table([batch.column("_block"), batch.column("_bucket"), *(pa.array(x, pa.binary()) for x in cols)], ["_block", "_bucket", "flags", "full"])
+
+    def flags_of(block: Block, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[bytes, bytes]]]:
+        """Of each anchor: do several documents have it, and isn't it crowded? Is it crowded? And the packed flags by bucket. ``answers``: by bucket."""
+        (filled, parts), answers = ex.parts(block.anchors, buckets), answers.filter(answers.column("flags").is_valid())
+        packed = list(zip(answers.column("flags").to_pylist(), answers.column("full").to_pylist(), strict=True))
+        many, full = np.zeros(len(block.anchors), bool), np.zeros(len(block.anchors), bool)
+        for (x, y), s in zip(packed, parts, strict=True):
+            many[s] = np.unpackbits(np.frombuffer(x, np.uint8), count=s.stop - s.start)
+            full[s.start + np.frombuffer(y, "<u4").astype(np.int64)] = True
+        return many & ~full, full, dict(zip(filled.tolist(), packed, strict=True))
 
     def ask_windows(texts: pa.Table, answers: pa.Table) -> pa.Table:
         number, block = texts.column("_block")[0].as_py(), Block(texts, length, anchor)
-        flags, filled, packed = flags_of(block, answers.sort_by("_bucket"))
+        flags, full, packed = flags_of(block, answers.sort_by("_bucket"))
         shared, one, _ = block.shared(flags)
         one = shared.where(one)
-        raw, some = np.frombuffer(b"".join(block.own), np.uint8), dict(zip(*ex.parts(one.anchor, buckets), strict=True))
-        cols: list[list] = [[] for _ in range(5)]
+        _, _, key, check, first = block.crowded(full)
+        raw, some, singly = np.frombuffer(b"".join(block.own), np.uint8), dict(zip(*ex.parts(one.anchor, buckets), strict=True)), dict(zip(*ex.parts(key, buckets), strict=True))
+        filled = sorted({*packed, *map(int, singly)})
+        cols: list[list] = [[] for _ in range(10)]
         for b in filled:
-            s = some.get(b, slice(0, 0))
+            s, t = some.get(b, slice(0, 0)), singly.get(b, slice(0, 0))
             text = raw[ragged(one.start[s], one.windows[s] + length - 1)].tobytes()
-            row = (ex.pack_keys(one.anchor[s]), pack_wide(one.whole[s]), ex.pack_numbers(one.windows[s]), pack_wide(block.own_rank[one.doc[s]]), ex.squeeze(text))
+            row = (*packed.get(b, (None, None)), ex.pack_keys(one.anchor[s]), pack_wide(one.whole[s]), ex.pack_numbers(one.windows[s]), pack_wide(block.own_rank[one.doc[s]]), ex.squeeze(text), ex.pack_keys(key[t]), check[t].tobytes(), pack_wide(first[t]))
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
-        return pa.table([pa.array(filled, pa.int32()), pa.array([number] * len(filled), pa.int32()), *(pa.array(x, pa.binary()) for x in (packed, *cols))], ["_bucket", "_block", "flags", "anchor", "whole", "windows", "doc", "text"])
+        return pa.table([pa.array(filled, pa.int32()), pa.array([number] * len(filled), pa.int32()), *(pa.array(x, pa.binary()) for x in cols)], ["_bucket", "_block", "flags", "full", "anchor", "whole", "windows", "doc", "text", "key", "check", "first"])
 
     def tell_windows(batch: pa.Table) -> pa.Table:
-        col = {c: batch.column(c).to_pylist() for c in ("anchor", "whole", "windows", "doc", "text")}
+        col = {c: batch.column(c).to_pylist() for c in ("anchor", "whole", "windows", "doc", "text", "key", "check", "first")}
         anchors, sizes = [ex.unpack_keys(x) for x in col["anchor"]], [ex.unpack_numbers(x) for x in col["windows"]]
         a, w, n, d = np.concatenate(anchors), np.concatenate([unpack_wide(x) for x in col["whole"]]), np.concatenate(sizes), np.concatenate([unpack_wide(x) for x in col["doc"]])
         raw = np.frombuffer(b"".join(map(ex.expand, col["text"])), np.uint8)
         start = np.cumsum(n + length - 1) - (n + length - 1)
-        order = np.lexsort((d, w, a))
-        new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (w[order][1:] != w[order][:-1])
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        one = order[new]  # each distinct stretch with its smallest document
+        one, place = firsts(a, w, d)  # each distinct stretch with its smallest document
         least = smallest_documents(raw, start[one], n[one], a[one], d[one], length)
         upto = np.cumsum(n[one]) - n[one]
         rows, at = [], 0
@@ -270,14 +324,19 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text
             own_least = least[ragged(upto[mine], size)]
             change = np.flatnonzero(np.append(True, own_least[1:] != own_least[:-1])) if len(own_least) else np.zeros(0, np.int64)
             rows.append((pack_wide(own_least[change]), ex.pack_numbers(np.diff(np.append(change, len(own_least))))))
-        return pa.table([batch.column("_block"), batch.column("_bucket"), batch.column("flags"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["_block", "_bucket", "flags", "least", "runs"])
+        keys, first = [ex.unpack_keys(x) for x in col["key"]], np.concatenate([unpack_wide(x) for x in col["first"]])
+        one, place = firsts(np.concatenate(keys), np.frombuffer(b"".join(col["check"]), np.uint32), first)
+        earlier = np.split(first[one][place] < first, np.cumsum([len(k) for k in keys])[:-1])
+        cols = ([r[0] for r in rows], [r[1] for r in rows], [np.packbits(x).tobytes() for x in earlier], [len(k) for k in keys])
+        return pa.table([*(batch.column(c) for c in ("_block", "_bucket", "flags", "full")), *(pa.array(x, pa.binary()) for x in cols[:3]), pa.array(cols[3], pa.int64())], ["_block", "_bucket", "flags", "full", "least", "runs", "earlier", "keys"])
 
     def remove(texts: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(texts, length, anchor)
         answers = answers.sort_by("_bucket")
-        flags, _, _ = flags_of(block, answers)
+        flags, full, _ = flags_of(block, answers)
         least = np.concatenate([np.zeros(0, np.uint64), *(np.repeat(unpack_wide(v), ex.unpack_numbers(n)) for v, n in zip(answers.column("least").to_pylist(), answers.column("runs").to_pylist(), strict=True))])
-        gone, at, rows = removed_bytes(block, flags, least), 0, []
+        earlier = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(x, np.uint8), count=k).astype(bool) for x, k in zip(answers.column("earlier").to_pylist(), answers.column("keys").to_pylist(), strict=True))])
+        gone, at, rows = removed_bytes(block, flags, least, full, earlier), 0, []
         for i, text in enumerate(block.texts):
             if block.copy[i]:
                 mask = np.full(len(text), len(text) >= length)
@@ -296,10 +355,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text
         cols = list(zip(*rows, strict=True)) or [()] * len(types)
         return pa.table([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), *carried], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] * with_text), *(f"_carry{k}" for k in range(len(carry)))])
 
-    questions = own.groupBy("_block").applyInArrow(ask_anchors, "_bucket int, _block int, keys binary, twice binary")
-    shared = questions.groupBy("_bucket").applyInArrow(tell_shared, "_block int, _bucket int, flags binary")
-    asked = own.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(ask_windows, "_bucket int, _block int, flags binary, anchor binary, whole binary, windows binary, doc binary, text binary")
-    told = asked.groupBy("_bucket").applyInArrow(tell_windows, "_block int, _bucket int, flags binary, least binary, runs binary")
+    questions = own.groupBy("_block").applyInArrow(ask_anchors, "_bucket int, _block int, keys binary, twice binary, loads binary")
+    shared = questions.groupBy("_bucket").applyInArrow(tell_shared, "_block int, _bucket int, flags binary, full binary")
+    asked = own.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(ask_windows, "_bucket int, _block int, flags binary, full binary, anchor binary, whole binary, windows binary, doc binary, text binary, key binary, check binary, first binary")
+    told = asked.groupBy("_bucket").applyInArrow(tell_windows, "_block int, _bucket int, flags binary, full binary, least binary, runs binary, earlier binary, keys long")
     out = own.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(remove, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,end:long>>" * with_text + "".join(f", _carry{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry)))
     out = out.withColumn("kept", F.col("kept").cast("string")) if with_text else out
     return out

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -121,6 +122,34 @@ def test_suffix_dedup(spark, block, length, anchor):
     assert sorted(map(tuple, got.collect()), key=str) == plain_dedup([r[:2] for r in rows], length)
 
 
+def hot_rows(n):
+    """Documents with one common line amid surroundings of their own."""
+    rng = np.random.default_rng(8)
+    own = lambda: rng.bytes(60).hex()
+    return [(i, f"{own()} all of them have this long line, and what stands around it is another text in each of them {own()}") for i in range(n)]
+
+
+@pytest.mark.parametrize(("block", "crowd"), [(1 << 20, 300), (3000, 300), (3000, 0)])
+def test_suffix_dedup_of_a_crowded_anchor(spark, block, crowd):
+    rows = [r[:2] for r in data.rows()] + [(1000 + i, t) for i, t in hot_rows(60)]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=block, crowd=crowd)
+    assert sorted(map(tuple, got.collect()), key=str) == plain_dedup(rows, 50)
+
+
+def test_windows_of_a_crowded_anchor_spread():
+    rows = hot_rows(500)
+    table = pa.table({"_id": pa.array([i for i, _ in rows]), "_text": pa.array([t for _, t in rows])})
+    block = suffix_dedup.Block(table, 50, 20)
+    top = int(np.argmax(block.loads()))
+    assert block.loads()[top] * suffix_dedup.UNIT > 5000  # the edges: distinct windows in each document
+    own, place, key, check, first = block.crowded(np.arange(len(block.anchors)) == top)
+    texts = b"".join(t.encode() for _, t in rows)
+    windows = [texts[a + k : a + k + 50] for a, n in zip(own.start.tolist(), own.windows.tolist(), strict=True) for k in range(n)]
+    assert len(key) == len(set(windows)) == len(set(zip(windows, place.tolist(), strict=True))) > 5000
+    sizes = [s.stop - s.start for s in exchange.parts(key, 50)[1]]
+    assert len(sizes) == 50 and max(sizes) < 2 * len(key) / 50
+
+
 def test_deduped_documents_keep_their_columns(spark):
     frame = data.frame(spark).withColumnRenamed("lang", "kept")
     got = suffix_dedup.deduped(frame)
