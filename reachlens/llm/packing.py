@@ -39,8 +39,8 @@ END_ID = 0
 
 
 class Ids:
-    """Ids as the library gives them. Byte-level BPE never merges across a single space before a word, so the words of a
-    text are encoded alone, each once while it is remembered."""
+    """Ids as the library gives them. Merges across a single space end in a token that holds a space after its first
+    character; where no such token can be in a text, its words are encoded alone, each once while it is remembered."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,6 +49,12 @@ class Ids:
         parts = [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("a b\n c")] if self.tokenizer.pre_tokenizer else []
         self.by_word = self.tokenizer.normalizer is None and [x[:1] for x in parts] == ["a", "Ġ", "Ċ", "Ġ"]
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "")[:1] == "Ġ" for i in range(self.tokenizer.get_vocab_size())])
+        # a merge across a space gives one of these tokens (here: spaces and no-break spaces in turn), so texts that hold one are encoded whole
+        tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        spell = {c: b for b, c in byte_characters().items()}
+        inner = [bytes(spell[c] for c in x) for x in tokens if "Ġ" in x[1:] and set(x) <= spell.keys()]
+        self.across = sorted({x.decode("utf-8", "ignore") for x in inner if b"  " not in x} - {""})
+        self.by_word = self.by_word and all(x.encode() in inner and " " in x[1:] for x in self.across)
         self.forget()
 
     def forget(self) -> None:
@@ -59,9 +65,20 @@ class Ids:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        # many words in one call; the ids that open a word (they hold its space) tell them apart
-        got = np.concatenate(self.encode([" " + " ".join(words[i : i + 500]) for i in range(0, len(words), 500)]))
-        ends = self.used + np.append(np.flatnonzero(self.opens[got])[1:], len(got))
+        # many words in one call; the ids that open a word (they hold its space) tell them apart, unless neighbours have merged
+        got, ends, used = [], [], self.used
+        for i in range(0, len(words), 500):
+            some = words[i : i + 500]
+            own = self.encode([" " + " ".join(some)])
+            starts = np.flatnonzero(self.opens[own[0]])
+            if len(starts) == len(some):
+                ends.append(used + np.append(starts[1:], len(own[0])))
+            else:
+                own = self.encode([" " + w for w in some])
+                ends.append(used + np.cumsum([len(x) for x in own]))
+            got += own
+            used = int(ends[-1][-1])
+        got, ends = np.concatenate(got), np.concatenate(ends)
         while len(self.flat) < ends[-1]:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : ends[-1]] = got
@@ -71,7 +88,7 @@ class Ids:
         """The ids of each text, and the end id."""
         split, whole = {}, []
         for i, x in enumerate(texts):
-            if x and (not self.by_word or "  " in x or x[0] == " " or x[-1] == " " or any(s in x for s in self.special)):
+            if x and (not self.by_word or "  " in x or x[0] == " " or x[-1] == " " or any(s in x for s in self.special) or any(s in x for s in self.across)):
                 whole.append(i)
             else:
                 split[i] = x.split(" ")
@@ -93,6 +110,13 @@ class Ids:
         return [np.concatenate([out[i], end]) for i in range(len(texts))]
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies spell bytes: printable ones stand for themselves."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 @functools.lru_cache(2)
 def ids_of(path: str) -> Ids:
     return Ids(path)

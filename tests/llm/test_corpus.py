@@ -49,6 +49,20 @@ def test_ids_are_the_library_s(text):
     assert packing.ids_of(PATH).of([text])[0].tolist() == all_ids([text])[0].tolist()
 
 
+def test_ids_of_no_break_spaces_between_spaces():
+    texts = ["price \u00a0 \u00a0 per unit", "a \u00a0 \u00a0b", "x \u00a0 \u00a0 \u00a0 \u00a0 y", "a \u00a0 b \u00a0 c", "a \n\u00a0 \u00a0 \n b", "a\u00a0 \u00a0 b"]
+    for text in texts:
+        assert packing.Ids(PATH).of([text])[0].tolist() == all_ids([text])[0].tolist()
+    # new words side by side, that merge when they are learned together
+    apart = ["one \u00a0 two", "three \u00a0\u00a0 four", "five \u00a0\n six later words"]
+    ids = packing.Ids(PATH)
+    ids.learn(["\u00a0", "\u00a0\u00a0", "\u00a0", "word"])
+    assert len(ids.ends) == 5
+    for some in (apart, texts + apart):
+        for mine, whole in zip(packing.Ids(PATH).of(some), all_ids(some), strict=True):
+            assert mine.tolist() == whole.tolist()
+
+
 def test_packer_cuts_and_fills():
     packer, sizes = packing.Packer((4, 8, 16)), [3, 5, 16, 9, 1, 2, 40, 7, 4]
     got = [s for i, n in enumerate(sizes) for s in packer.add(i, n)]
