@@ -29,8 +29,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled so that sources, languages and topics meet their target shares."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Documents are sampled so that sources, languages and topics meet their target shares, as far as KEEP of the tokens can."""
+    return mixing.mix(docs, keep=mixing.KEEP).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

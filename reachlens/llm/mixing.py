@@ -3,7 +3,9 @@
 Token weights are summed by cell (source, language, topic) in one aggregation of the documents; raking then scales
 the cells' factors to each marginal's target in turn, ROUNDS times over, with groupings and joins of the small cell table. A
 document stays with probability factor / largest factor, decided by a hash of its id, so the kept tokens follow the
-targets in expectation and a rerun decides alike. All DataFrame functions.
+targets in expectation and a rerun decides alike. There the smallest cell can decide how much stays. With a budget (``keep``, a share of
+all tokens) factors are held to 1 while raking, so that the other cells take over what a clipped one can't give, and then scaled
+until the expected tokens meet the budget: cells too small for their target stay whole. All DataFrame functions.
 
 Defined results: null classes and null texts are classes '' and texts of no words; a document without words weighs nothing but
 stays with its cell's probability; classes without a target share keep theirs at 0 only if the target says so, missing
@@ -20,6 +22,8 @@ from reachlens.runtime import discard, materialize
 ROUNDS = 10
 #: Exponents by which the production query evens out the natural shares of the classes.
 EVEN = {"source": 0.7, "lang": 0.7, "topic": 0.85}
+#: Share of the tokens that the pipeline keeps.
+KEEP = 0.8
 #: Cells up to which their factors are broadcast (under 10 MB).
 BROADCAST_CELLS = 50_000
 
@@ -58,12 +62,13 @@ def even_targets(cells: DataFrame, exponents: dict[str, float]) -> dict[str, Dat
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` with factors under which the token shares of every class column meet their targets.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, keep: float | None = None) -> DataFrame:
+    """``cells`` with factors under which the token shares of every class column meet their targets; with ``keep``, factors of 1
+    at most, which sum to that share of the tokens as far as the targets can be met.
 
     Each scaling is written, so plans stay as small as one grouping and one join, however many rounds there are.
     """
-    total = float(cells.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0)
+    total = float(cells.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0) * (1.0 if keep is None else keep)
     own = cells.columns
     for name, target in targets.items():
         cells = cells.join(target.select(name, F.col("share").alias(f"_share_{name}")), name, "left")
@@ -73,25 +78,41 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
             now = cells.groupBy(name).agg(F.sum(F.col("n_tokens") * F.col("factor")).alias("_now"))
             share = F.col(f"_share_{name}")
             scale = F.when(share.isNull() | (F.col("_now") == 0), F.col("factor")).otherwise(F.col("factor") * (share * F.lit(total) / F.col("_now")))
+            scale = scale if keep is None else F.least(F.lit(1.0), scale)
             new = materialize(cells.join(now, name).withColumn("factor", scale).select(*cells.columns))
             discard(cells)
             cells = new
     return cells.select(*own)
 
 
+def divisor(raked: DataFrame, keep: float | None = None) -> float:
+    """What factors are divided by, and clipped at 1, to be probabilities: the largest, or one that keeps a share of the tokens."""
+    if keep is None:
+        return raked.filter("n_tokens > 0").agg(F.max("factor").alias("f")).first()["f"] or 1.0
+    budget, scale = keep * float(raked.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0), 0.0
+    while True:  # the kept tokens are concave in the scale, so these steps only rise, and each but the last clips further cells
+        clipped = F.col("factor") * F.lit(scale) >= 1
+        got = raked.agg(F.sum(F.when(clipped, F.col("n_tokens"))).alias("whole"), F.sum(F.when(~clipped, F.col("n_tokens") * F.col("factor"))).alias("free")).first()
+        new = (budget - (got["whole"] or 0)) / got["free"] if got["free"] else scale
+        if new <= scale * (1 + 1e-9):
+            return 1.0 / scale if scale else 1.0
+        scale = new
+
+
 def chance(doc_id: Column) -> Column:
     """A number in [0, 1) by the id alone."""
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", keep: float | None = None) -> DataFrame:
     """The rows of ``docs`` that are sampled, with a struct ``_mix``: classes, n_tokens, weight (the raked factor) and probability.
 
-    targets: by class column (source, lang, topic) a table (class, share); by default EVEN's.
+    targets: by class column (source, lang, topic) a table (class, share); by default EVEN's. keep: the share of
+    the tokens to keep; by default what the largest factor leaves.
     """
     cells = materialize(cells_of(docs))
-    raked = rake(cells, targets or even_targets(cells, EVEN))
-    top = raked.filter("n_tokens > 0").agg(F.max("factor").alias("f")).first()["f"] or 1.0
+    raked = rake(cells, targets or even_targets(cells, EVEN), keep=keep)
+    top = divisor(raked, keep)
     factors = raked.select(F.struct("source", "lang", "topic").alias("_cell"), F.col("factor").alias("_f"))
     if raked.count() <= BROADCAST_CELLS:
         factors = F.broadcast(factors)

@@ -111,6 +111,17 @@ def test_raking_meets_its_targets(spark):
             assert abs(sum(r.n_tokens * r.factor for r in raked if r[name] == value) / total - s) < 1e-5
 
 
+def test_one_small_cell_does_not_decide_what_stays(spark):
+    rows = [(s, lang, t, 1000 * (i + 1), 1.0) for i, (s, lang, t) in enumerate((s, lang, t) for s in "ab" for lang in ("x", "y", "z") for t in "pq")]
+    for more in ([], [("new", "x", "p", 60, 1.0)], [("new", "w", "p", 60, 1.0)]):
+        cells = spark.createDataFrame(rows + more, "source string, lang string, topic string, n_tokens long, factor double")
+        raked = mixing.rake(cells, mixing.even_targets(cells, mixing.EVEN), rounds=3, keep=0.8)
+        top, got = mixing.divisor(raked, 0.8), raked.collect()
+        chance = {(r.source, r.lang, r.topic): min(1.0, r.factor / top) for r in got}
+        assert abs(sum(r.n_tokens * chance[r.source, r.lang, r.topic] for r in got) / sum(r.n_tokens for r in got) - 0.8) < 1e-6
+        assert all(chance[r[:3]] == 1 for r in more)
+
+
 def test_mixing_keeps_columns_and_repeats(spark):
     docs = data.frame(spark).withColumn("weight", F.lit("mine")).withColumn("topic", F.lit(1))
     first, again = (sorted(map(str, mixing.mix(docs).select(*docs.columns).collect())) for _ in range(2))
