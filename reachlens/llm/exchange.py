@@ -27,9 +27,11 @@ def count_blocks(docs: DataFrame, text_col: str = "text", block_bytes: int = BLO
 def in_blocks(docs: DataFrame, blocks: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """_block, _id, _text of all documents, and the columns to ``carry`` as _carry0 and so on; nothing else of ``docs`` is read.
 
-    Ids are hashed with their texts, so that many rows with one id, or none, don't make one large block.
+    Ids are hashed with their texts, so that many rows with one id, or none, don't make one large block, and with the number of
+    the input partition, so that of rows equal in both a block gets those of a partition at most. That number doesn't depend on
+    the order of rows, so a partition that is read again is dealt alike.
     """
-    return docs.select(*(F.col(c).alias(f"_carry{k}") for k, c in enumerate(carry)), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).cast("int").alias("_block"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    return docs.select(*(F.col(c).alias(f"_carry{k}") for k, c in enumerate(carry)), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(blocks)).cast("int").alias("_block"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

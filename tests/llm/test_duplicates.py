@@ -142,14 +142,59 @@ def test_windows_of_a_crowded_anchor_spread():
     block = suffix_dedup.Block(table, 50, 20)
     top = int(np.argmax(block.loads()))
     assert block.loads()[top] * suffix_dedup.UNIT > 5000  # the edges: distinct windows in each document
-    own, place, key, check, first = block.crowded(np.arange(len(block.anchors)) == top)
+    own, key, check, first = block.crowded(np.arange(len(block.anchors)) == top)
     texts = b"".join(t.encode() for _, t in rows)
     windows = [texts[a + k : a + k + 50] for a, n in zip(own.start.tolist(), own.windows.tolist(), strict=True) for k in range(n)]
+    place = np.concatenate([suffix_dedup.places(key, check, k, c) for _, k, c in block.hashed(own)])
     assert len(key) == len(set(windows)) == len(set(zip(windows, place.tolist(), strict=True))) > 5000
     sizes = [s.stop - s.start for s in exchange.parts(key, 50)[1]]
     assert len(sizes) == 50 and max(sizes) < 2 * len(key) / 50
 
 
+def common_prefix(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", min_size=12, max_size=70), min_size=1, max_size=8), st.sampled_from([8, 12, 19]), st.randoms())
+def test_suffix_arrays_and_previous_factors(texts, length, rng):
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    texts = [x for x in texts if len(x) >= length]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    docs = np.array([rng.randint(0, 3) for _ in texts], np.uint64)
+    windows = np.array([len(x) - length + 1 for x in texts], np.int64)
+    starts = np.cumsum([0, *(len(x) for x in texts)])[:-1]
+    at, doc = suffix_dedup.ragged(starts, windows), np.repeat(docs, windows)
+    if not len(at):
+        return
+    word = [bytes(raw[a : a + length]) for a in at]
+    order, common = suffix_dedup.suffix_array(raw, at, length)
+    assert [word[i] for i in order] == sorted(word)
+    assert common.tolist() == [0, *(common_prefix(word[i], word[j]) for i, j in zip(order, order[1:], strict=False))]
+    factor = suffix_dedup.longest_previous(doc[order], common, 1)  # followed to the end: exact from one byte on
+    want = [max((common_prefix(word[i], word[j]) for j in order if doc[j] < doc[i]), default=0) for i in order]
+    assert factor.tolist() == want
+    earlier = suffix_dedup.found_earlier(raw, starts, windows, docs, length)
+    assert earlier.tolist() == [any(doc[j] < doc[i] and word[j] == word[i] for j in range(len(at))) for i in range(len(at))]
+
+
+def test_suffix_dedup_of_long_repetitive_texts(spark):
+    unit = b"all work and no play makes a dull text, "
+    long_ = (unit * (3_000_000 // len(unit))).decode()
+    rows = [(1, "x" * 400_000 + long_), (2, long_[7:] + "#the end of its own"), (3, "y" + long_[:100] + "z"), (4, "x" * 700_000)]
+    got = {r.doc_id: r for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = [rows[0][1], "#the end of its own", "yz", ""]
+    assert [got[i].n_removed for i in (1, 2, 3, 4)] == [0, len(long_) - 7, 100, 700_000]
+    assert [got[i].kept_sha256 for i in (1, 2, 3, 4)] == [hashlib.sha256(x.encode()).hexdigest() for x in own]
+    assert all(got[i].n_spans == 1 for i in (2, 3, 4))
+
+
+def test_equal_rows_are_dealt_over_many_blocks(spark):
+    rows = spark.createDataFrame([(5, "one text in all rows")] * 4000, "doc_id long, text string").repartition(16)
+    sizes = [r["count"] for r in exchange.in_blocks(rows, 64).groupBy("_block").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 1500
+
+
 def test_deduped_documents_keep_their_columns(spark):
     frame = data.frame(spark).withColumnRenamed("lang", "kept")
     got = suffix_dedup.deduped(frame)
