@@ -8,10 +8,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
 from reachlens.llm import jpeg, lm, media, quality, token_counts, toxicity
+from reachlens.llm.text import words_of
 from tests.llm import data
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -25,10 +27,10 @@ def by_key(df, key="doc_id"):
     return sorted(df.collect(), key=lambda r: (r[key] is None, r[key] or 0))
 
 
-@pytest.mark.parametrize(("order", "block"), [(1, 1 << 20), (2, 2000), (3, 2000)])
+@pytest.mark.parametrize(("order", "block"), [(1, 1 << 20), (2, 2000), (3, 2000), (3, 1 << 20), (4, 9000)])
 def test_lm_scores(spark, order, block):
     rows = data.rows()
-    got = by_key(lm.score_texts(data.frame(spark), order=order, prior=7.0, block_bytes=block))
+    got = by_key(lm.score_texts(data.frame(spark), order=order, priors=(7.0, 3.0, 2.0), block_bytes=block))
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
     count = collections.Counter()
     for i, text, *_ in rows:
@@ -43,7 +45,8 @@ def test_lm_scores(spark, order, block):
         if not history:
             return (count[(word,)] + 0.1) / (total + 0.1 * (size + 1))
         below = p(word, history[1:])
-        return (count[(*history, word)] + 7 * below) / (count[history] + 7) if count[history] else below
+        prior = (7, 3, 2)[len(history) - 1]
+        return (count[(*history, word)] + prior * below) / (count[history] + prior) if count[history] else below
 
     for r, (i, text, *_) in zip(got, sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)), strict=True):
         words = [None, *WORD.findall(lower(text)), None]
@@ -53,18 +56,47 @@ def test_lm_scores(spark, order, block):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("texts", [[], [None], ["", " \t", "A bé\v\f\r\nÉ \x1f\x1cx\0y  ", "\u00a0 \u2003 z"], ["one"]])
+def test_words_are_those_of_the_contract(texts):
+    words, sizes = words_of(pa.array(["cut", *texts], pa.string())[1:])
+    want = [WORD.findall(lower(t)) for t in texts]
+    assert words.to_pylist() == [w for own in want for w in own] and sizes.tolist() == [len(w) for w in want]
+
+
 def test_lm_states_are_normalized():
-    block = lm.Block([1, 2, 3], [b"a b a c", b"b a b", b"c c a"], 2)
-    total, size = int(block.counts[0].sum()), int((block.counts[0] > 0).sum())
-    count = collections.Counter()
-    for words in (["", "a", "b", "a", "c", ""], ["", "b", "a", "b", ""], ["", "c", "c", "a", ""]):
-        count.update((w,) for w in words[1:])
-        count.update(zip(words, words[1:], strict=False))
-    assert total == sum(c for g, c in count.items() if len(g) == 1)
-    single = {w: (count[(w,)] + 0.1) / (total + 0.1 * (size + 1)) for w in ("", "a", "b", "c", "unknown")}
-    assert math.isclose(sum(single.values()), 1)
-    for h in ("", "a", "b", "c"):
-        assert math.isclose(sum((count[(h, w)] + lm.PRIOR * p) / (count[(h,)] + lm.PRIOR) for w, p in single.items()), 1)
+    texts = [b"a b a c", b"b a b a", b"c c a b", b"a b a"]
+    block = lm.Block([1, 2, 3, 4], pa.array(texts).cast(pa.string()), 3)
+    counts = [g.counts for g in block.grams]
+    auto = lm.Automaton(block, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), (9.0, 2.0))
+    assert len(auto.fail) > len(counts[0]) + 1 and auto.start
+    arcs = collections.defaultdict(dict)
+    for k, g in enumerate(block.grams):
+        for i in np.flatnonzero(auto.seen[k]):
+            arcs[int(auto.source[k][i])][int(g.token[i])] = float(auto.weight[k][i])
+    unknown = math.log10(0.1 / (counts[0].sum() + 0.1 * (len(counts[0]) + 1)))
+
+    def weight(state, token):
+        if token in arcs[state]:
+            return arcs[state][token]
+        return auto.fail_weight[state] + weight(int(auto.fail[state]), token) if state else unknown
+
+    for state in range(len(auto.fail)):
+        assert math.isclose(sum(10 ** weight(state, token) for token in [*range(len(counts[0])), "unknown"]), 1)
+
+
+def test_lm_pieces_carry_their_state():
+    rng = np.random.default_rng(3)
+    texts = [b" ".join(rng.choice([b"a", b"b", b"c", b"d"], n)) for n in (0, 1, 2, 255, 256, 257, 511, 1500)]
+    block = lm.Block(list(range(1, 9)), pa.array(texts).cast(pa.string()), 3)
+    counts = [g.counts for g in block.grams]
+    auto = lm.Automaton(block, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), (9.0, 2.0))
+    want = []
+    for first, n in zip(block.first.tolist(), block.sizes.tolist(), strict=True):
+        state, score = np.array([auto.start]), 0.0
+        for at in range(first, first + n):
+            score += float(auto.read(state, np.array([at]))[0])
+        want.append(score)
+    assert np.allclose(lm.traverse(block, auto), want)
 
 
 def test_empty_tables(spark):
