@@ -66,4 +66,4 @@ def text_media(docs: DataFrame, with_media: bool = False, id_col: str = "doc_id"
 
     schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int" + ", media binary" * with_media
     typed = {"width": pa.int32(), "height": pa.int32()}
-    return map_texts(docs, lambda t: {k: pa.array(v, typed.get(k)) for k, v in work(t).items()}, schema, id_col, text_col)
+    return map_texts(docs, lambda t: {k: pa.array(v, typed.get(k)) for k, v in work(t).items()}, schema, "media", id_col, text_col)

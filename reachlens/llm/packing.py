@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from reachlens.llm.text import as_bytes, slices
+from reachlens.llm import memo
+from reachlens.llm.text import runs
 
 TIERS = (128, 256, 512, 1024)
 #: Ids waiting in the tiers before a round of packing, and ids in a step group.
@@ -122,6 +123,9 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
+memo.remembers("packing", ids_of.cache_clear)
+
+
 class Packer:
     """Takes documents, gives sequences: (size, [(document, start, length), ...]), every size a power of two."""
 
@@ -218,6 +222,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, w
     window = tiers[-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.only("packing")
         base = TaskContext.get().partitionId() << 36
         ids, packer = ids_of(tokenizer_path), Packer(tiers)
         open_docs: dict[int, tuple] = {}  # number: (id, ids, ids not yet placed)
@@ -249,9 +254,9 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, w
 
         for batch in batches:
             kind = batch.column(0).type
-            keys, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for lo, hi in slices(texts):
-                for key, own in zip(keys[lo:hi], ids.of([x.decode("utf-8", "replace") for x in texts[lo:hi]]), strict=True):
+            for lo, hi in runs(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                for key, own in zip(part.column(0).to_pylist(), ids.of([x or "" for x in part.column(1).to_pylist()]), strict=True):
                     open_docs[number] = (key, own, len(own))
                     full += packer.add(number, len(own))
                     number += 1

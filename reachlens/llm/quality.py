@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachlens.llm import linear
-from reachlens.llm.text import as_bytes, slices
+from reachlens.llm import linear, memo
+from reachlens.llm.text import as_bytes, runs
 
 BITS = 17
 CHAR_SIZES = (3, 4)
@@ -194,11 +194,11 @@ def judge(texts: list[bytes], model: Model | None) -> dict:
     p = linear.sigmoid(model.slope * score + model.offset) if model else np.full(len(texts), np.nan)
     return {
         "n_words": n, "word_chars": points - spaces, "n_symbols": symbols, "n_dup_lines": np.array(lines, np.int64), "n_repeat_words": rep,
-        "base_failed": failed, "quality_probability": pa.array(p, from_pandas=True), "kept": ~failed & ((p >= THRESHOLD) if model else True),
+        "base_failed": failed, "kept": ~failed & ((p >= THRESHOLD) if model else True), "quality_probability": pa.array(p, from_pandas=True),
     }
 
 
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality_probability double, kept boolean"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality_probability double"
 
 
 def quality_rules(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -209,11 +209,11 @@ def quality_rules(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     at = names.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.only("quality")
         for batch in batches:
-            texts = as_bytes(batch.column(at))
-            for lo, hi in slices(texts):
-                made = judge(texts[lo:hi], held.value)
+            for lo, hi in runs(batch.column(at)):
                 part = batch.slice(lo, hi - lo)
+                made = judge(as_bytes(part.column(at)), held.value)
                 if keep:
                     yield part.filter(pa.array(made["kept"]))
                 else:

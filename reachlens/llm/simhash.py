@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reachlens.llm import memo
 from reachlens.llm.components import connected
 from reachlens.llm.text import map_texts
 from reachlens.runtime import discard, materialize
@@ -57,7 +58,7 @@ def fingerprint(text: bytes) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``fp``, the fingerprint as a signed 64-bit number."""
-    return map_texts(docs, lambda texts: {"fp": np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)}, "fp long", id_col, text_col)
+    return map_texts(docs, lambda texts: {"fp": np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)}, "fp long", "simhash", id_col, text_col)
 
 
 @functools.lru_cache(1)
@@ -74,6 +75,9 @@ def golay() -> np.ndarray:
     return nearest
 
 
+memo.remembers("simhash", golay.cache_clear)
+
+
 def segments(fps: np.ndarray) -> list[np.ndarray]:
     at = np.cumsum((0, *WIDTHS[:-1]))
     return [(fps.view(np.uint64) >> np.uint64(lo) & np.uint64((1 << w) - 1)).astype(np.int64) for lo, w in zip(at.tolist(), WIDTHS, strict=True)]
@@ -115,6 +119,7 @@ def keyed(nodes: DataFrame, look_up: bool) -> DataFrame:
     """(key, fp, comp) rows of a (fp, comp) table."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.only("simhash")
         for batch in batches:
             for lo in range(0, len(batch), 4096):
                 fps, comp = (np.asarray(batch.column(c).slice(lo, 4096)) for c in (0, 1))

@@ -18,6 +18,7 @@ import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from reachlens.llm import memo
 from reachlens.llm.text import map_texts
 
 MARK = "▁"
@@ -50,6 +51,9 @@ def memory(path: str) -> dict[str, int]:
     return dict.fromkeys(prove(path) or (), 1)
 
 
+memo.remembers("token_counts", memory.cache_clear)
+
+
 @functools.lru_cache(2)
 def openers(path: str) -> np.ndarray:
     """By id: does the piece open a pre-token?"""
@@ -98,4 +102,4 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
         n = count_texts([x.decode("utf-8", "replace") for x in texts], model_path)
         return {"n_bytes": [len(x) for x in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
-    return map_texts(docs, work, "n_bytes long, n_tokens long, over_limit boolean", id_col, text_col)
+    return map_texts(docs, work, "n_bytes long, n_tokens long, over_limit boolean", "token_counts", id_col, text_col)

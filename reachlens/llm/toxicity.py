@@ -13,6 +13,7 @@ a category that no sampled document has gets probability 0; an empty table gives
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from reachlens.llm import linear
+from reachlens.llm import linear, memo
 from reachlens.llm.text import as_bytes, map_texts
 
 CATEGORIES = ("toxic", "repeated", "dense")
@@ -104,10 +105,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     return Chain({int(h): i for i, h in enumerate(every[picked])}, weights, tuple(present))
 
 
-_memo: dict[int, dict] = {}
+_memo: dict[str, dict] = {}
+memo.remembers("toxicity", _memo.clear)
 
 
-def chain_scores(texts: list[bytes], chain: Chain, key: int) -> np.ndarray:
+def chain_scores(texts: list[bytes], chain: Chain, key: str) -> np.ndarray:
     """Texts x categories: probabilities."""
     if key not in _memo:
         _memo.clear()
@@ -133,10 +135,10 @@ def chain_scores(texts: list[bytes], chain: Chain, key: int) -> np.ndarray:
 def toxicity(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, a probability for each category, and ``is_toxic``."""
     held = docs.sparkSession.sparkContext.broadcast(chain)  # of a fixed size: FEATURES words
-    key = id(chain)
+    key = uuid.uuid4().hex  # an object's address could be that of a chain before it
 
     def work(texts: list[bytes]) -> dict:
         p = chain_scores(texts, held.value, key) if held.value else np.zeros((len(texts), len(CATEGORIES)))
         return {**{f"p_{c}": p[:, k] for k, c in enumerate(CATEGORIES)}, "is_toxic": p[:, 0] >= THRESHOLD}
 
-    return map_texts(docs, work, "".join(f"p_{c} double, " for c in CATEGORIES) + "is_toxic boolean", id_col, text_col)
+    return map_texts(docs, work, "".join(f"p_{c} double, " for c in CATEGORIES) + "is_toxic boolean", "toxicity", id_col, text_col)
