@@ -46,6 +46,8 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK = 1 << 18
 #: Bytes of text in a block, about, and buckets a block: what a task holds at once is a multiple of them.
 BLOCK_BYTES, SPREAD = 5 << 20, 2
+#: Parts of a bucket's range of anchors, which are worked off one after the other: each is a suffix array of its own.
+PORTIONS = 16
 #: Windows of one anchor that are sorted together at most, and the unit in which blocks count them (rounded up).
 CROWD, UNIT = 1 << 16, 64
 NO_ID = np.uint64((1 << 64) - 1)
@@ -236,16 +238,17 @@ def suffix_array(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarr
     def ranks(key: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
         run = key[order]
-        out = np.empty(len(key), np.uint64)
-        out[order] = np.cumsum(np.append(False, run[1:] != run[:-1]) if len(run) else run, dtype=np.uint64)
+        out = np.empty(len(key), np.uint32)
+        out[order] = np.cumsum(np.append(False, run[1:] != run[:-1]) if len(run) else run, dtype=np.uint32)
         return out
 
-    word, half = words_at(raw), np.uint64(32)
+    pair = lambda a, b: a.astype(np.uint64) << np.uint64(32) | b
+    word = words_at(raw)
     levels = [(8, ranks(word))]  # of the strings of 8, 16, 32 ... bytes from each position on
     while (size := levels[-1][0]) * 2 <= length:
         r = levels[-1][1]
-        levels.append((2 * size, ranks(r[:-size] << half | r[size:])))
-    key = levels[-1][1][at] << half | levels[-1][1][at + (length - size)]
+        levels.append((2 * size, ranks(pair(r[:-size], r[size:]))))
+    key = pair(levels[-1][1][at], levels[-1][1][at + (length - size)])
     order = np.argsort(key, kind="stable")
     a, b = at[order[:-1]], at[order[1:]]
     common = np.zeros(len(a), np.int64)
@@ -365,6 +368,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text
     blocks = ex.count_blocks(docs, text_col, block_bytes)
     own = ex.in_blocks(docs, blocks, id_col, text_col, carry).repartition(blocks, "_block")
     buckets = SPREAD * blocks
+    portion = lambda anchors: ((anchors >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(28) & np.uint64(PORTIONS - 1)).astype(np.uint8)
     deal = lambda df, key: df.repartition(blocks, key).groupBy(key)  # noqa: E731 as many partitions as blocks, whatever the session's setting
 
     def ask_anchors(table: pa.Table) -> pa.Table:
@@ -402,31 +406,33 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text
         _, key, check, first = block.crowded(full)
         some, singly = dict(zip(*ex.parts(one.anchor, buckets), strict=True)), dict(zip(*ex.parts(key, buckets), strict=True))
         filled = sorted({*packed, *map(int, singly)})
-        cols: list[list] = [[] for _ in range(8)]
+        cols: list[list] = [[] for _ in range(9)]
         for b in filled:
             s, t = some.get(b, slice(0, 0)), singly.get(b, slice(0, 0))
             text = b"".join(block.joined[a : a + n] for a, n in zip(one.start[s].tolist(), (one.windows[s] + length - 1).tolist(), strict=True))
-            row = (*packed.get(b, (None, None)), ex.pack_numbers(one.windows[s]), pack_wide(block.rank[one.doc[s]]), ex.squeeze(text), ex.pack_keys(key[t]), pack_wide(check[t]), pack_wide(first[t]))
+            row = (*packed.get(b, (None, None)), ex.squeeze(portion(one.anchor[s]).tobytes()), ex.pack_numbers(one.windows[s]), pack_wide(block.rank[one.doc[s]]), ex.squeeze(text), ex.pack_keys(key[t]), pack_wide(check[t]), pack_wide(first[t]))
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
-        return pa.table([pa.array(filled, pa.int32()), pa.array([number] * len(filled), pa.int32()), *(pa.array(x, pa.binary()) for x in cols)], ["_bucket", "_block", "flags", "full", "windows", "doc", "text", "key", "check", "first"])
+        return pa.table([pa.array(filled, pa.int32()), pa.array([number] * len(filled), pa.int32()), *(pa.array(x, pa.binary()) for x in cols)], ["_bucket", "_block", "flags", "full", "portion", "windows", "doc", "text", "key", "check", "first"])
 
     def tell_windows(batch: pa.Table) -> pa.Table:
-        col = {c: batch.column(c).to_pylist() for c in ("windows", "doc", "text", "key", "check", "first")}
+        col = {c: batch.column(c).to_pylist() for c in ("portion", "windows", "doc", "text", "key", "check", "first")}
         sizes = [ex.unpack_numbers(x) for x in col["windows"]]
         n, doc, joined = np.concatenate(sizes), np.concatenate([unpack_wide(x) for x in col["doc"]]), b"".join(map(ex.expand, col["text"]))
-        size = n + length - 1
-        start, number = np.cumsum(size) - size, {}
-        place = np.array([number.setdefault(joined[a : a + k], len(number)) for a, k in zip(start.tolist(), size.tolist(), strict=True)], np.int64)
-        del number
-        by = np.lexsort((doc, place))  # each distinct stretch with its smallest document
-        one = by[np.diff(place[by], prepend=-1) > 0]
-        earlier = found_earlier(np.frombuffer(joined, np.uint8), start[one], n[one], doc[one], length)
-        upto, rows, at = np.cumsum(n[one]) - n[one], [], 0
-        for own in sizes:
-            mine = place[at : at + len(own)]
-            rows.append(earlier[ragged(upto[mine], own)] | np.repeat(doc[at : at + len(own)] > doc[one[mine]], own))
-            at += len(own)
+        size, which = n + length - 1, np.frombuffer(b"".join(map(ex.expand, col["portion"])), np.uint8)
+        start, upto = np.cumsum(size) - size, np.cumsum(n) - n
+        earlier = np.zeros(int(n.sum()), bool)
+        for p in range(PORTIONS):
+            mine, number = np.flatnonzero(which == p), {}
+            place = np.array([number.setdefault(joined[a : a + k], len(number)) for a, k in zip(start[mine].tolist(), size[mine].tolist(), strict=True)], np.int64)
+            by = np.lexsort((doc[mine], place))  # each distinct stretch with its smallest document
+            one = mine[by[np.diff(place[by], prepend=-1) > 0]]
+            raw, at = np.frombuffer(b"".join(number), np.uint8), np.cumsum(size[one]) - size[one]
+            del number
+            found = found_earlier(raw, at, n[one], doc[one], length)
+            first = np.cumsum(n[one]) - n[one]
+            earlier[ragged(upto[mine], n[mine])] = found[ragged(first[place], n[mine])] | np.repeat(doc[mine] > doc[one[place]], n[mine])
+        rows = np.split(earlier, np.cumsum([int(own.sum()) for own in sizes])[:-1])
         keys = [ex.unpack_keys(x) for x in col["key"]]
         known = hashes_earlier(np.concatenate(keys), np.concatenate([unpack_wide(x) for x in col["check"]]), np.concatenate([unpack_wide(x) for x in col["first"]]), length)
         packed = lambda flags: pa.array([ex.squeeze(np.packbits(x).tobytes()) for x in flags], pa.binary())
@@ -459,7 +465,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text
 
     questions = own.groupBy("_block").applyInArrow(ask_anchors, "_bucket int, _block int, keys binary, twice binary, loads binary")
     shared = deal(questions, "_bucket").applyInArrow(tell_shared, "_block int, _bucket int, flags binary, full binary")
-    asked = own.groupBy("_block").cogroup(deal(shared, "_block")).applyInArrow(ask_windows, "_bucket int, _block int, flags binary, full binary, windows binary, doc binary, text binary, key binary, check binary, first binary")
+    asked = own.groupBy("_block").cogroup(deal(shared, "_block")).applyInArrow(ask_windows, "_bucket int, _block int, flags binary, full binary, portion binary, windows binary, doc binary, text binary, key binary, check binary, first binary")
     told = deal(asked, "_bucket").applyInArrow(tell_windows, "_block int, _bucket int, flags binary, full binary, earlier binary, n_earlier long, known binary, n_known long")
     out = own.groupBy("_block").cogroup(deal(told, "_block")).applyInArrow(remove, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,end:long>>" * with_text + "".join(f", _carry{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry)))
     return out.withColumn("kept", F.col("kept").cast("string")) if with_text else out
