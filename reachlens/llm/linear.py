@@ -7,14 +7,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most ``most`` documents with a label, those with the smallest hashes of their id: _id, _text, _y.
+#: Bytes of a labelled document that models are fitted on at most; longer ones are only scored. With ``most`` it bounds a sample.
+LONGEST = 1 << 14
 
-    Rows without an id or a label don't take part; of several labels for an id the largest counts.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """At most ``most`` documents of at most LONGEST bytes with all labels ``names``, those with the smallest hashes of their
+    id: _id, _text, and _y0, _y1 ... for the labels.
+
+    Rows without an id or a label don't take part; of several labels for an id the largest counts, of several texts the first.
     """
-    by_id = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
+    whole = labels.filter(F.col(id_col).isNotNull())
+    for name in names:
+        whole = whole.filter(F.col(name).isNotNull())
+    by_id = whole.groupBy(F.col(id_col).alias("_id")).agg(*(F.max(name).cast("int").alias(f"_y{k}") for k, name in enumerate(names)))
     picked = by_id.orderBy(F.xxhash64(F.lit("sample"), "_id"), "_id").limit(most)  # at most ``most`` rows: small enough to broadcast
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).filter(F.octet_length("_text") <= LONGEST)
+    return texts.join(F.broadcast(picked), "_id").groupBy("_id", *(f"_y{k}" for k in range(len(names)))).agg(F.min("_text").alias("_text"))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -5,8 +5,9 @@ fitted on at most ``sample`` labelled documents (a bounded sample, see ``linear.
 out-of-fold scores, and scored in Arrow batches against a fixed threshold.
 
 Defined results: a null text has no words and fails the base rules; without labels of both kinds there is no model
-and what passes the base rules is kept, with a null probability; repeated rows give repeated results; an empty table
-gives an empty one.
+and what passes the base rules is kept, with a null probability; a probability equal to the threshold is kept; repeated
+rows give repeated results, and a repeated labelled id is fitted on once; long texts are judged whole, but only labelled ones of
+up to ``linear.LONGEST`` bytes are fitted on; further columns aren't read (``keep`` hands them on untouched); an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.tobytes() for c, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], ["_id", "_y", "cols", "vals"])
 
     kind = sample.schema["_id"].dataType.simpleString()
-    got = sample.select("_id", "_text", "_y").mapInArrow(run, f"_id {kind}, _y int, cols binary, vals binary").toArrow()
+    got = sample.select("_id", "_text", F.col("_y0").alias("_y")).mapInArrow(run, f"_id {kind}, _y int, cols binary, vals binary").toArrow()
     got = got.take(np.lexsort((got["_y"].to_numpy(), got["_id"].to_numpy())))
     y, seen = got["_y"].to_numpy() > 0, np.zeros(KINDS << BITS, np.int32)
     for x in got["cols"]:
@@ -118,7 +119,7 @@ def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """The model, or None without labels of both kinds."""
-    rows, cols, vals, y, slots = sample_features(linear.labelled_sample(docs, labels, label, sample, id_col, text_col))
+    rows, cols, vals, y, slots = sample_features(linear.labelled_sample(docs, labels, [label], sample, id_col, text_col))
     if len(y) < 2 * FOLDS or not 0 < y.mean() < 1:
         return None
     fold, out = linear.folds(len(y), FOLDS), np.zeros(len(y))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
-from reachlens.llm import jpeg, lm, media, quality, token_counts, toxicity
+from reachlens.llm import jpeg, linear, lm, media, quality, token_counts, toxicity
 from reachlens.llm.text import words_of
 from tests.llm import data
 
@@ -211,6 +211,7 @@ def junk_world(spark, n=400):
         text = data.prose(rng, 80)
         if i % 4 == 0:
             text = " ".join(w + rng.choice(["###", "&&&", "%%%"]) for w in text.split())
+            text += " buy now, click here"
         if i % 5 == 1:
             words = text.split()
             for k in range(0, 80, 20):
@@ -230,7 +231,37 @@ def test_models_on_held_out_documents(spark):
     chain = toxicity.fit(docs, train)
     flagged = toxicity.toxicity(docs, chain).join(labels, "doc_id").filter("doc_id >= 250").collect()
     assert sum(r.is_toxic == (r.toxic == 1) for r in flagged) >= 0.97 * len(flagged)
-    assert any(r.p_repeated > 0.5 or r.p_dense > 0.5 for r in flagged if r.toxic) and all(r.p_dense < 0.5 for r in flagged if not r.toxic)
+    junk = [(r.p_junk > 0.5) == (r.quality == 0) for r in flagged]
+    assert sum(junk) >= 0.9 * len(junk) and any(r.p_toxic_junk > 0.5 for r in flagged if r.toxic and not r.quality)
+
+
+def test_chain_scores_are_the_sums_of_its_models():
+    rng = np.random.default_rng(6)
+    words = [f"word{i}".encode() for i in range(40)] + [b"Moron", b"scum!bag"]
+    texts = [b" ".join(rng.choice(words, 30)) for _ in range(60)] + [b"", b"MORON scum,bag new"]
+    marks = np.array([(b"Moron" in t, i % 3 > 0) for i, t in enumerate(texts[:60])], bool)
+    held = [np.unique(np.array([h for w in set(toxicity.words_of(t)) for h in toxicity.hashes(w)], np.uint32)) for t in texts[:60]]
+    chain = toxicity.fit_rows(held, marks)
+    for text, p in zip(texts, toxicity.chain_scores(texts, chain, "test"), strict=True):
+        mine = {chain.index[h] for w in toxicity.words_of(text) for h in toxicity.hashes(w) if h in chain.index}
+        before = []
+        for k in range(3):
+            z = chain.weights[k][-1] + sum(chain.weights[k][f] for f in mine) + sum(q * chain.weights[k][len(chain.index) + j] for j, q in enumerate(before))
+            before.append(1 / (1 + math.exp(-z)))
+        assert np.allclose(p, before)
+    # a fold picks features without looking at the documents it scores
+    sample, inside = toxicity.Sample(held), np.arange(60) % 3 > 0
+    wanted = np.column_stack([~marks[:, 1], marks[:, 0], marks[:, 0] & ~marks[:, 1]]).astype(float)
+    other = wanted.copy()
+    other[~inside] = 1 - other[~inside]
+    assert (sample.pick(wanted, inside) == sample.pick(other, inside)).all()
+
+
+def test_samples_take_each_id_once_and_no_long_text(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "x" * (linear.LONGEST + 1)), (3, None), (None, "c"), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 1, 1), (3, 1, 1), (None, 1, 1), (4, None, 1)], "doc_id long, quality int, toxic int")
+    got = linear.labelled_sample(docs, labels, ["quality", "toxic"], 10).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 0, "a"), (3, 1, 1, "")]
 
 
 def test_no_labels_no_model(spark):
