@@ -1,7 +1,9 @@
 """Mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
 Token weights are summed by cell (source, language, topic) in one aggregation of the documents; raking then scales
-the cells' factors to each marginal's target in turn, ROUNDS times over, with groupings and joins of the small cell table. A
+the cells' factors to each marginal's target in turn, with groupings and joins of the small cell table, for ROUNDS rounds; where a
+marginal then still is off its target by more than TOLERANCE of all tokens (targets that contradict each other on the cells
+there are can't be met), a warning tells by how much. A
 document stays with probability factor / largest factor, decided by a hash of its id, so the kept tokens follow the
 targets in expectation and a rerun decides alike. There the smallest cell can decide how much stays. With a budget (``keep``, a share of
 all tokens) factors are held to 1 while raking, so that the other cells take over what a clipped one can't give, and then scaled
@@ -9,17 +11,20 @@ until the expected tokens meet the budget: cells too small for their target stay
 
 Defined results: null classes and null texts are classes '' and texts of no words; a document without words weighs nothing but
 stays with its cell's probability; classes without a target share keep theirs at 0 only if the target says so, missing
-targets leave the class as it is; rows with equal ids are decided alike; an empty table gives an empty one.
+targets leave the class as it is; rows with equal ids are decided alike; long texts count whole; the columns of documents stay as
+they are, and the added one takes a name that none of them has; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachlens.runtime import discard, materialize
 
-ROUNDS = 10
+ROUNDS, TOLERANCE = 10, 1e-3
 #: Exponents by which the production query evens out the natural shares of the classes.
 EVEN = {"source": 0.7, "lang": 0.7, "topic": 0.85}
 #: Share of the tokens that the pipeline keeps.
@@ -40,14 +45,19 @@ def topic(text: Column) -> Column:
     )
 
 
-def marked(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` and its classes and weight in one struct column ``_mix``, whose name no column of documents has."""
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with further underscores while one of ``columns`` has it."""
+    return unused(columns, "_" + name) if name.lower() in map(str.lower, columns) else name
+
+
+def marked(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` and its classes and weight in one struct column ``name``."""
     text = F.col(text_col)
-    return docs.withColumn("_mix", F.struct(F.coalesce(F.col("source"), F.lit("")).alias("source"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), topic(text).alias("topic"), words(text).alias("n_tokens")))
+    return docs.withColumn(name, F.struct(F.coalesce(F.col("source"), F.lit("")).alias("source"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), topic(text).alias("topic"), words(text).alias("n_tokens")))
 
 
 def cells_of(docs: DataFrame) -> DataFrame:
-    mix = marked(docs).select("_mix.*")
+    mix = marked(docs.select("source", "lang", "text"), "_mix").select("_mix.*")
     return mix.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n_tokens")).withColumn("factor", F.lit(1.0))
 
 
@@ -66,22 +76,30 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     """``cells`` with factors under which the token shares of every class column meet their targets; with ``keep``, factors of 1
     at most, which sum to that share of the tokens as far as the targets can be met.
 
-    Each scaling is written, so plans stay as small as one grouping and one join, however many rounds there are.
+    Each round is written, so plans stay as small as one scaling of each class column, however many rounds there are.
     """
     total = float(cells.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0) * (1.0 if keep is None else keep)
     own = cells.columns
     for name, target in targets.items():
         cells = cells.join(target.select(name, F.col("share").alias(f"_share_{name}")), name, "left")
-    cells = materialize(cells)
+    cells = materialize(cells.withColumn("_off", F.lit(0.0)))
     for _ in range(rounds):
+        new, start = cells.withColumn("_off", F.lit(0.0)), cells
         for name in targets:
-            now = cells.groupBy(name).agg(F.sum(F.col("n_tokens") * F.col("factor")).alias("_now"))
+            now = new.groupBy(name).agg(F.sum(F.col("n_tokens") * F.col("factor")).alias("_now"))
             share = F.col(f"_share_{name}")
-            scale = F.when(share.isNull() | (F.col("_now") == 0), F.col("factor")).otherwise(F.col("factor") * (share * F.lit(total) / F.col("_now")))
+            fixed = share.isNull() | (F.col("_now") == 0)
+            scale = F.when(fixed, F.col("factor")).otherwise(F.col("factor") * (share * F.lit(total) / F.col("_now")))
             scale = scale if keep is None else F.least(F.lit(1.0), scale)
-            new = materialize(cells.join(now, name).withColumn("factor", scale).select(*cells.columns))
-            discard(cells)
-            cells = new
+            # how far the marginals were off before this round's scaling
+            off = F.when(fixed, F.lit(0.0)).otherwise(F.abs(share - F.col("_now") / F.lit(total or 1.0)))
+            new = new.join(now, name).withColumns({"factor": scale, "_off": F.greatest(F.col("_off"), off)})
+            new = new.select(*cells.columns)
+        cells = materialize(new)
+        discard(start)
+    off = cells.agg(F.max("_off").alias("m")).first()["m"] or 0.0
+    if off > TOLERANCE:
+        warnings.warn(f"a marginal is off its target by {off:.2%} of the tokens after {rounds} rounds", stacklevel=2)
     return cells.select(*own)
 
 
@@ -105,25 +123,30 @@ def chance(doc_id: Column) -> Column:
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", keep: float | None = None) -> DataFrame:
-    """The rows of ``docs`` that are sampled, with a struct ``_mix``: classes, n_tokens, weight (the raked factor) and probability.
+    """The rows of ``docs`` that are sampled, with a last column, the struct ``_mix``: classes, n_tokens, weight (the raked factor), probability.
 
     targets: by class column (source, lang, topic) a table (class, share); by default EVEN's. keep: the share of
     the tokens to keep; by default what the largest factor leaves.
     """
     cells = materialize(cells_of(docs))
     raked = rake(cells, targets or even_targets(cells, EVEN), keep=keep)
-    top = divisor(raked, keep)
-    factors = raked.select(F.struct("source", "lang", "topic").alias("_cell"), F.col("factor").alias("_f"))
+    discard(cells)
+    top, name = divisor(raked, keep), unused(docs.columns, "_mix")
+    cell, factor = unused([*docs.columns, name], "_cell"), unused([*docs.columns, name], "_f")
+    factors = raked.select(F.struct("source", "lang", "topic").alias(cell), F.col("factor").alias(factor))
     if raked.count() <= BROADCAST_CELLS:
         factors = F.broadcast(factors)
-    own = marked(docs)
-    probability = F.least(F.lit(1.0), F.col("_f") / F.lit(top))
-    own = own.join(factors, F.struct("_mix.source", "_mix.lang", "_mix.topic") == F.col("_cell")).filter(chance(F.col(id_col)) < probability)
-    return own.withColumn("_mix", F.struct("_mix.*", F.col("_f").alias("weight"), probability.alias("probability"))).drop("_cell", "_f")
+    own = marked(docs, name)
+    mine = lambda *fields: [F.col(name).getField(f) for f in fields]
+    probability = F.least(F.lit(1.0), F.col(factor) / F.lit(top))
+    own = own.join(factors, F.struct(*mine("source", "lang", "topic")) == F.col(cell)).filter(chance(F.col(id_col)) < probability)
+    whole = F.struct(*(x.alias(f) for x, f in zip(mine("source", "lang", "topic", "n_tokens"), ("source", "lang", "topic", "n_tokens"), strict=True)), F.col(factor).alias("weight"), probability.alias("probability"))
+    return own.select(*(F.col(f"`{c}`") for c in docs.columns), whole.alias(name))
 
 
 def digest(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return mixed.select(id_col, "_mix.source", "_mix.lang", "_mix.topic", "_mix.n_tokens", F.round("_mix.weight", 6).alias("weight"), F.round("_mix.probability", 6).alias("probability"))
+    mix = F.col(mixed.columns[-1])
+    return mixed.select(id_col, *(mix[f].alias(f) for f in ("source", "lang", "topic", "n_tokens")), *(F.round(mix[f], 6).alias(f) for f in ("weight", "probability")))
 
 
 def sql(rounds: int = ROUNDS) -> str:

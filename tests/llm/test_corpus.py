@@ -111,6 +111,13 @@ def test_raking_meets_its_targets(spark):
             assert abs(sum(r.n_tokens * r.factor for r in raked if r[name] == value) / total - s) < 1e-5
 
 
+def test_raking_tells_when_targets_cannot_be_met(spark):
+    cells = spark.createDataFrame([("a", "x", "p", 10, 1.0), ("b", "y", "q", 10, 1.0)], "source string, lang string, topic string, n_tokens long, factor double")
+    targets = {c: spark.createDataFrame(v, f"{c} string, share double") for c, v in (("source", [("a", 0.9), ("b", 0.1)]), ("lang", [("x", 0.1), ("y", 0.9)]))}
+    with pytest.warns(UserWarning, match="off its target by 80.00%"):
+        mixing.rake(cells, targets, rounds=2)
+
+
 def test_one_small_cell_does_not_decide_what_stays(spark):
     rows = [(s, lang, t, 1000 * (i + 1), 1.0) for i, (s, lang, t) in enumerate((s, lang, t) for s in "ab" for lang in ("x", "y", "z") for t in "pq")]
     for more in ([], [("new", "x", "p", 60, 1.0)], [("new", "w", "p", 60, 1.0)]):
@@ -123,7 +130,8 @@ def test_one_small_cell_does_not_decide_what_stays(spark):
 
 
 def test_mixing_keeps_columns_and_repeats(spark):
-    docs = data.frame(spark).withColumn("weight", F.lit("mine")).withColumn("topic", F.lit(1))
+    docs = data.frame(spark).withColumns({c: F.lit(c) for c in ("weight", "topic", "_mix", "_cell", "_F")})
+    assert all(r["_mix"] == "_mix" and r["__mix"].n_tokens >= 0 for r in mixing.mix(docs).collect())
     first, again = (sorted(map(str, mixing.mix(docs).select(*docs.columns).collect())) for _ in range(2))
     assert first == again and 0 < len(first) <= docs.count()
     assert mixing.mix(data.frame(spark, [])).count() == 0
