@@ -10,7 +10,6 @@ is the sample itself, so the DC thumbnail of the file is the stored payload, bit
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -133,6 +132,8 @@ def unstuffed(data: np.ndarray) -> list[np.ndarray]:
 def entropy_decode(lanes: list[np.ndarray], blocks: np.ndarray, order: list[tuple[int, tuple, tuple]]) -> dict[int, np.ndarray]:
     """Quantized DC values by part: lanes x that part's blocks. order: (part, DC table, AC table) of an MCU's blocks."""
     size = np.array([len(x) for x in lanes])
+    if (blocks > 8 * size).any():  # a block takes a bit at least, whatever dimensions the header claims
+        raise JpegError("a scan is cut short")
     start = np.concatenate([[0], np.cumsum(size + 4)[:-1]])
     buf = np.full(int((size + 4).sum()) + 4, 0xFF, np.uint8)
     buf[np.arange(int(size.sum())) + np.repeat(4 * np.arange(len(lanes)), size)] = np.concatenate(lanes) if len(lanes) > 1 else lanes[0]
@@ -308,6 +309,3 @@ def average_hash(thumb: np.ndarray) -> str:
     bits = sums * thumb.size > int(thumb.sum(dtype=np.int64)) * np.outer(h, w)
     return np.packbits(bits.reshape(-1)).tobytes().hex()
 
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -12,9 +12,9 @@ leaves two cases:
 So a fingerprint is listed under three segments and three pairs of keys, and looks up the products of its near keys (about
 87 rows). The join verifies the distance itself; nothing is left to chance and nothing is capped.
 
-Distinct fingerprints stand for their documents. Before the join, stars join fingerprints to the least and the greatest
-of each list where they are close enough; the join then only has to give links between different star components, so a
-group of many near copies doesn't come out as all its pairs.
+Distinct fingerprints stand for their documents. Before the join, stars join fingerprints to the least, the greatest and one
+other of each list where they are close enough; the join then only has to give links between different star components, and a
+list that is all of one component isn't looked up by its own fingerprints, so a group of many near copies isn't met pair by pair.
 """
 
 from __future__ import annotations
@@ -141,13 +141,16 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     """(node, root): the fingerprints (distinct, column fp) that have a smaller one in their component, and the smallest."""
     nodes = fps.select("fp", F.col("fp").alias("comp"))
     listed = keyed(nodes, look_up=False).select("key", "fp")
-    ends = listed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi")
-    held = listed.join(ends, "key")
-    stars = held.filter(near("fp", "lo")).select(F.col("fp").alias("a"), F.col("lo").alias("b")).unionByName(held.filter(near("fp", "hi")).select(F.col("fp").alias("a"), F.col("hi").alias("b")))
+    ends = listed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min_by("fp", F.xxhash64("fp")).alias("mid")).filter("lo < hi")
+    held = listed.join(ends, "key").select("fp", F.explode(F.array("lo", "mid", "hi")).alias("to"))
+    stars = held.filter(near("fp", "to")).select(F.col("fp").alias("a"), F.col("to").alias("b"))
     first = connected(stars)
     nodes = materialize(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("comp")))
-    left = keyed(nodes, look_up=True).alias("l")
-    right = keyed(nodes, look_up=False).alias("r")
+    right = keyed(nodes, look_up=False)
+    # a list whose fingerprints are all of one component has nothing for a fingerprint of the same, so a dense group doesn't meet itself
+    lists = right.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    left = keyed(nodes, look_up=True).join(lists, "key").filter((F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("comp"))).select("key", "fp", "comp").alias("l")
+    right = right.alias("r")
     close = (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp")) & (F.col("l.comp") != F.col("r.comp")) & near("l.fp", "r.fp")
     links = left.join(right, close).select(F.least("l.comp", "r.comp").alias("a"), F.greatest("l.comp", "r.comp").alias("b")).distinct()
     second = connected(links)
@@ -161,7 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Defined results: a null text is empty; texts without words share the fingerprint 0 and link like any other; rows
     with a null id are fingerprinted, and their ids never name a component (null if there is no other); repeated rows
-    repeat; an empty table gives an empty one.
+    repeat; long texts are fingerprinted whole; a bit set in exactly half the hashes is 0; further columns aren't read, so they
+    can't clash; an empty table gives an empty one.
     """
     prints = materialize(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "_id"))
     fps = prints.groupBy("fp").agg(F.min("_id").alias("first"))

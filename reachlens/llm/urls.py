@@ -3,10 +3,12 @@
 All DataFrame functions. The filter holds a row of four 64-bit words for each block; a listed URL sets a bit in each
 word of its block, by one hash. URLs that hit all four bits go to a hash join on the canonical URL itself, which
 removes the false positives; the others never meet the list. The filter's size follows the list's: it is broadcast while
-its rows are proven few (BROADCAST_BLOCKS), else joined by block, whose hash spreads evenly.
+its rows are proven few (BROADCAST_BLOCKS), else joined by block, whose hash spreads evenly. The pages' URLs are read twice, once for
+those that go on to the join and once for the others, which so are never shuffled.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule, has no canonical URL and
-is allowed; repeated rows are judged alike; of an empty list nothing is blocked; an empty table gives an empty one.
+is allowed; of rules of equal length the one with the longer host wins; repeated rows are judged alike; long URLs are read whole;
+no further columns are read, so they can't clash; of an empty list nothing is blocked; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     rule, verdict = rule_text(rules, F.col("host"), F.col("path"))
     judged = pages.select(F.col(id_col), host(url).alias("host"), path(url).alias("path"), canonical(url).alias("canonical")).withColumns({"rule": rule, "_said": verdict})
     h = F.xxhash64("canonical")
-    open_ = judged.withColumn("_block", F.when(F.col("_said").isNull() & F.col("canonical").isNotNull(), block(h, blocks)).otherwise(-1 - F.pmod(h, F.lit(1024))))
+    open_ = judged.withColumn("_block", F.when(F.col("_said").isNull() & F.col("canonical").isNotNull(), block(h, blocks)).otherwise(-1 - F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20))))  # no block of the filter: spread by the page
     met = open_.join(words, "_block", "left")
     hit = F.lit(True)
     for k, m in enumerate(bits(h)):

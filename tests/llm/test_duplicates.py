@@ -88,6 +88,18 @@ def test_dense_group_of_near_fingerprints(spark):
     assert {r.node: r.root for r in got} == {f: r for f, r in root.items() if r != f}
 
 
+def test_large_group_of_near_fingerprints(spark):
+    rng = np.random.default_rng(5)
+    base, some = 0x5A5A_0123_4567_1DEF, set()
+    while len(some) < 20_000:
+        x = base
+        for b in rng.integers(0, 63, 3):
+            x ^= 1 << int(b)
+        some.add(x)
+    got = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in sorted(some | {base})], "fp long"))
+    assert got.count() == 20_000 and [r.root for r in got.select("root").distinct().collect()] == [min(some)]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (7, 7), (300, 7)]
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
