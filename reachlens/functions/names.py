@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 ROOT_TYPES = ("INIT_ARRAY", "FINI_ARRAY", "PREINIT_ARRAY")
 ROOT_NAMES = (".ctors", ".dtors", ".init", ".fini")
 TABLE_PREFIXES = (".gcc_except_table", ".ARM.extab", ".ARM.exidx")
-SECTION_TYPES = ("PROGBITS", "NOBITS", "INIT_ARRAY", "FINI_ARRAY", "PREINIT_ARRAY", "NOTE", "GROUP")
+SECTION_TYPES = ("PROGBITS", "NOBITS", "INIT_ARRAY", "FINI_ARRAY", "PREINIT_ARRAY", "NOTE", "ARM_EXIDX")
+PASSED_TYPES = ("NULL", "STRTAB", "GROUP", "ARM_ATTRIBUTES", "SYMTAB", "SYMTAB_SHNDX", "REL", "RELA")
 MARKER_PREFIX = ".comment.privplugid."
 ALIAS_PREFIX = "__privplug_"
 
@@ -50,8 +51,8 @@ def is_root_section(name: Column, kind: Column, size: Column) -> Column:
 
 
 def checked_type(kind: Column) -> Column:
-    """The section type; one that isn't known is an error."""
-    return F.when(kind.isin(*SECTION_TYPES), kind).otherwise(F.raise_error(F.concat(F.lit("unexpected section type "), F.coalesce(kind, F.lit("null")))))
+    """The type of a section that counts, null for one that is passed over; any other type is an error."""
+    return F.when(kind.isin(*SECTION_TYPES), kind).when(~kind.isin(*PASSED_TYPES) | kind.isNull(), F.raise_error(F.concat(F.lit("unexpected section type "), F.coalesce(kind, F.lit("null")))))
 
 
 def is_text(name: Column) -> Column:
@@ -62,16 +63,6 @@ def is_unused_table(name: Column) -> Column:
     return F.rlike(name, F.lit(r"^\.gcc_except_table(\.|$)"))
 
 
-def is_table_of(table: Column, text: Column) -> Column:
-    """Is ``table`` the exception table of section ``text``? Its name goes on, after a known beginning, with the text
-    section's name or what follows ``.text`` in it."""
-    fits = F.lit(False)
-    for prefix in TABLE_PREFIXES:
-        rest = F.substring(table, F.lit(len(prefix) + 1), F.length(table))
-        fits = fits | (F.startswith(table, F.lit(prefix)) & ((rest == text) | (rest == F.substring(text, F.lit(6), F.length(text)))))
-    return is_text(text) & fits
-
-
 def edge_section(name: Column) -> Column:
     """X of ``__start_X`` and ``__stop_X``, else null."""
     return F.nullif(F.regexp_extract(name, r"^__(?:start|stop)_(.+)$", 1), F.lit(""))
@@ -109,19 +100,21 @@ def no_lto(option: Column) -> Column:
     return F.regexp_replace(option, r"^-flto(=.*)?$", "-fno-lto")
 
 
-#: Beginnings of options that don't change what is compiled: fixed values.
-SILENT_OPTIONS = ("-o", "-fplugin", "-flto", "-fno-lto", "-ffunction-sections", "-fdata-sections", "-dumpbase", "-dumpdir", "-auxbase", "-I", "-iquote", "-isystem")
+#: Options that don't count in an object's hash (a value may follow, joined or as a word of the same option text): fixed values.
+SILENT_WITH_VALUE = ("-o", "-I", "-L", "-dumpbase", "-dumpdir", "-auxbase", "-auxbase-strip", "-fplugin=", "-fplugin-arg-", "-flto=")
+SILENT_FLAGS = ("-flto", "-fno-lto", "-ffunction-sections", "-fno-function-sections", "-fdata-sections", "-fno-data-sections", "-fuse-ld=bfd", "-fuse-ld=gold")
 
 
 def hashed_options(options: Column) -> Column:
-    """The options (an array) that go into an object's hash."""
-    return F.filter(options, lambda x: ~_any_prefix(x))
+    """The options (an array of texts, values included) that go into an object's hash; what is no option is an input file and doesn't."""
+    return F.filter(options, lambda x: F.startswith(x, F.lit("-")) & (x != "-") & ~_silent(x))
 
 
-def _any_prefix(x: Column) -> Column:
-    out = F.lit(False)
-    for p in SILENT_OPTIONS:
-        out = out | F.startswith(x, F.lit(p))
+def _silent(x: Column) -> Column:
+    word, out = F.substring_index(x, " ", 1), x.isin(*SILENT_FLAGS)
+    for p in SILENT_WITH_VALUE:
+        joined = p[-1] in "=-" or len(p) == 2  # else the value is the next word
+        out = out | (F.startswith(x, F.lit(p)) if joined else word == p)
     return out
 
 

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reachlens.runtime import discard, materialize, shared_dir
@@ -60,9 +60,9 @@ def rounds(first: DataFrame, edges: DataFrame, edge_keys: list[str], step: Calla
     with kept_by(edges, edge_keys) as kept:
         new = first
         while True:
-            path = f"{root}/{len(paths)}"
-            new.write.parquet(path)
-            if paths and read([path]).isEmpty():
+            path, met = f"{root}/{len(paths)}", Observation()
+            new.observe(met, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+            if paths and not met.get.get("rows", 0):  # counted while writing: no job of its own
                 return read(paths)
             paths.append(path)
             new = step(read(paths[-1:]), kept).distinct().join(read(paths), first.columns, "left_anti")
@@ -131,6 +131,8 @@ def closure_by_source(sources: DataFrame, steps: DataFrame, keys: list[str], to:
 
 
 def retained_weight(edges: DataFrame, sources: DataFrame, weights: DataFrame) -> DataFrame:
-    """(source, weight): the summed weights (node, weight) of all nodes that each source (column node) reaches, itself included."""
-    own = closure_by_source(sources.select(F.col("node").alias("source"), "node"), edges.select(F.col("src").alias("node"), "dst"), ["node"], ["dst"])
+    """(source, weight): the summed weights (node, weight) of all nodes that each source reaches, itself included. sources: node, and
+    source if one has several; the rows in between are sources times the nodes they reach, so keep sources few."""
+    named = sources if "source" in sources.columns else sources.withColumn("source", F.col("node"))
+    own = closure_by_source(named.select("source", "node"), edges.select(F.col("src").alias("node"), "dst"), ["node"], ["dst"])
     return own.join(weights, "node").groupBy("source").agg(F.sum("weight").alias("weight"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachlens.functions.names import edge_section, is_table_of
+from reachlens.functions.names import TABLE_PREFIXES, edge_section, is_text
 from reachlens.schema import World
 
 
@@ -50,9 +50,11 @@ def edge_symbol_sections(world: World) -> DataFrame:
 
 def table_sections(sections: DataFrame, most: int = 2) -> DataFrame:
     """(module_id, uid, to_uid): of the exception tables of each text section in its object the last ``most``."""
-    text = sections.select("module_id", "obj_ix", F.col("uid").alias("uid"), F.col("name").alias("text"))
-    table = sections.select("module_id", "obj_ix", F.col("uid").alias("to_uid"), F.col("name").alias("table"))
-    met = text.filter("text like '.text%'").join(table.filter("table like '.gcc_except_table%' or table like '.ARM.ex%'"), ["module_id", "obj_ix"]).filter(is_table_of(F.col("table"), F.col("text")))
+    # an equi-join on the table's name: a text section has at most two names under each beginning
+    named = F.explode(F.array_distinct(F.flatten(F.array(*(F.array(F.concat(F.lit(p), "text"), F.concat(F.lit(p), F.substring("text", F.lit(6), F.length("text")))) for p in TABLE_PREFIXES)))))
+    text = sections.select("module_id", "obj_ix", "uid", F.col("name").alias("text")).filter(is_text(F.col("text"))).withColumn("name", named)
+    table = sections.select("module_id", "obj_ix", F.col("uid").alias("to_uid"), "name").filter("name like '.gcc_except_table%' or name like '.ARM.ex%'")
+    met = text.join(table, ["module_id", "obj_ix", "name"])
     last = Window.partitionBy("module_id", "uid").orderBy(F.desc("to_uid"))
     return met.withColumn("k", F.row_number().over(last)).filter(F.col("k") <= most).select("module_id", "uid", "to_uid")
 

@@ -66,6 +66,23 @@ def relocation_refs(relocations: DataFrame, symbols: DataFrame, sections: DataFr
     return own.join(named, ["module_id", "uid"], "left_semi").join(symbols.select("module_id", "sym_ix", "def_uid"), ["module_id", "sym_ix"]).select("module_id", "uid", "sym_ix", "def_uid")
 
 
+def anchored(symbols: DataFrame) -> DataFrame:
+    """Symbols as references see them: a local one (binding LOCAL) isn't listed, its section stands for it. Columns of ``symbols`` and
+    ``listed``; a local symbol without a section stands for nothing and goes."""
+    local = F.col("binding") == "LOCAL"
+    return symbols.withColumn("listed", ~local).filter(F.col("listed") | F.col("def_uid").isNotNull())
+
+
+def cross_object(refs: DataFrame, symbols: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What references (module_id, uid, sym_ix) become: (module_id, sym_ix, uid) of listed symbols from sections of other objects than
+    the defining one (all, if undefined); and (module_id, uid, to_uid), the section edges that local symbols stand for."""
+    own = refs.select("module_id", "uid", "sym_ix").distinct().join(anchored(symbols).select("module_id", "sym_ix", "def_uid", "listed"), ["module_id", "sym_ix"])
+    place = sections.select("module_id", "uid", "obj_ix")
+    own = own.join(place, ["module_id", "uid"]).join(place.select("module_id", F.col("uid").alias("def_uid"), F.col("obj_ix").alias("_def_obj")), ["module_id", "def_uid"], "left")
+    listed = own.filter(F.col("listed") & ~F.coalesce(F.col("obj_ix") == F.col("_def_obj"), F.lit(False))).select("module_id", "sym_ix", "uid")
+    return listed, own.filter(~F.col("listed")).select("module_id", "uid", F.col("def_uid").alias("to_uid")).distinct()
+
+
 def jump_functions(calls: DataFrame, params: DataFrame) -> DataFrame:
     """(from_name, from_arg, to_name, to_arg): calls (caller, callee, args: array) that hand a parameter of the caller on.
 

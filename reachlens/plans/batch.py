@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reachlens.operators import classify, closure, consensus
 from reachlens.runtime import materialize
@@ -43,8 +44,8 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("reachlens").getOrCreate()
     if args.job == "merge":
         verdicts, agreed = merge(spark, args.deps, args.dlsym, args.force, not args.class_mode)
-        verdicts.select("value").write.text(f"{args.out}/merged.vis", lineSep="")
-        agreed.select("value").write.text(f"{args.out}/merged.vis.gcc", lineSep="")
+        for texts, name in ((verdicts, "merged.vis"), (agreed, "merged.vis.gcc")):
+            texts.select(render.block_lines(F.col("value"))).write.text(f"{args.out}/{name}")
     else:
         render.signature_lines(signatures(spark, args.base, args.jfunc)).write.text(args.out)
 

@@ -82,7 +82,7 @@ def edge_degree(spark, sf_dir):
 
 @query("WITH " + synth.SQL_SECTIONS + " SELECT DISTINCT pk::VARCHAR AS name FROM und")
 def undef_names(spark, sf_dir):
-    return graph.undefined_names(synth.world(spark, sf_dir).symbols)
+    return graph.undefined_names(synth.world(spark, sf_dir, write=False).symbols)
 
 
 @query("WITH " + synth.SQL_SECTIONS + " SELECT pk::VARCHAR AS name, sk AS module_id, ok || '-' || pk AS uid FROM expo WHERE pk IN (SELECT pk FROM und)")
@@ -90,18 +90,15 @@ def undef_exporters(spark, sf_dir):
     return graph.exporters(synth.world(spark, sf_dir).symbols)
 
 
-#: Up to this many sources the weights are exact for each; they are the roots with the smallest numbers.
-WEIGHT_SOURCES = 20
-
-
-@query(synth.SQL_REACH + f""",
-pick AS (SELECT node FROM root ORDER BY node LIMIT {WEIGHT_SOURCES}), far AS (SELECT node AS source, node FROM pick UNION SELECT f.source, e.dst FROM far f JOIN edge e ON e.src = f.node)
-SELECT source, sum(w.size)::BIGINT AS weight FROM far JOIN (SELECT 's/' || sk || '/' || ok || '-' || pk AS node, size FROM sec) w USING (node) GROUP BY source""")
-def retained_weight_top(spark, sf_dir):
-    """The feature is a report on a few sources: each one costs a traversal of its own."""
+@query(synth.SQL_REACH + """,
+far AS (SELECT DISTINCT sk AS source, 's/' || sk || '/' || ok || '-' || pk AS node FROM sec JOIN orders ON o_orderkey = ok WHERE sk % 10 = 0 AND o_orderpriority = '1-URGENT'
+  UNION SELECT f.source, e.dst FROM far f JOIN edge e ON e.src = f.node)
+SELECT source, sum(w.size)::BIGINT AS weight FROM far JOIN (SELECT 's/' || sk || '/' || ok || '-' || pk AS node, size FROM sec WHERE pk % 3 = 0) w USING (node) GROUP BY source""")
+def retained_weight(spark, sf_dir):
+    """The size of the text sections that the roots of each module hold; of single symbols, operators.closure gives the same."""
     world = synth.world(spark, sf_dir)
-    weights = world.sections.select(graph.section_node("module_id", "uid").alias("node"), F.col("size").alias("weight"))
-    sources = graph.seeds(world, world.symbols).orderBy("node").limit(WEIGHT_SOURCES)
+    weights = world.sections.filter("name like '.text%'").select(graph.section_node("module_id", "uid").alias("node"), F.col("size").alias("weight"))
+    sources = world.sections.filter("used").select(F.col("module_id").alias("source"), graph.section_node("module_id", "uid").alias("node"))
     return closure.retained_weight(graph.section_edges(world).select("src", "dst"), sources, weights)
 
 
@@ -111,12 +108,23 @@ def scc_sizes(spark, sf_dir):
     return found.groupBy("component").agg(F.count("*").alias("n")).groupBy(F.col("n").alias("size")).agg(F.count("*").alias("components"))
 
 
-@query("SELECT name AS module_id, name AS node FROM (SELECT '' AS name) WHERE false")
+@query(synth.SQL_VERDICTS + """ SELECT DISTINCT r.sk AS module_id, r.named::VARCHAR AS name FROM ref r JOIN und u ON u.sk = r.sk AND u.pk = r.named
+ WHERE 's/' || r.sk || '/' || r.ok || '-' || r.pk IN (SELECT node FROM hit) AND r.named % 7 = 0""")
 def unsound_marks(spark, sf_dir):
-    """The check that a needed undefined symbol's name is needed too: no rows."""
+    """The check that a needed undefined symbol's name is needed too, on marks that were broken on purpose: every seventh name is lost."""
     world = synth.world(spark, sf_dir)
     hit = closure.reach(graph.section_edges(world), graph.seeds(world, world.symbols))
-    return classify.unmarked_names(world, None, hit).select(F.col("module_id").cast("string").alias("module_id"), F.col("name").alias("node"))
+    broken = hit.filter("not (node like 'n/%' and cast(substring(node, 3) as bigint) % 7 = 0)")
+    return classify.unmarked_names(world, None, broken).select("module_id", "name").distinct()
+
+
+@query("""WITH RECURSIVE j AS (SELECT DISTINCT 'f' || s_suppkey AS src, 'f' || (s_suppkey * 7 % 400) AS dst FROM supplier UNION SELECT 'g' || c_custkey, 'f' || (c_custkey % 300) FROM customer),
+far AS (SELECT src AS a, dst AS b FROM j UNION SELECT f.a, j.dst FROM far f JOIN j ON j.src = f.b),
+nodes AS (SELECT src AS node FROM j UNION SELECT dst FROM j)
+SELECT node, least(node, min(m.b)) AS component FROM nodes LEFT JOIN (SELECT x.a, x.b FROM far x JOIN far y ON y.a = x.b AND y.b = x.a) m ON m.a = node GROUP BY node""")
+def jump_components(spark, sf_dir):
+    """The strong components of the functions that hand arguments on to each other: cycles of forwarders."""
+    return closure.strong_components(jumps(spark, sf_dir).select(F.col("from_name").alias("src"), F.col("to_name").alias("dst")))
 
 
 # Lookups: events as call sites; the source is the user, the section the event type, the symbol the number in props
@@ -139,13 +147,13 @@ def lookup_world(spark, sf_dir):
     from reachlens.schema import World
 
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("module_id"))
-    objects = customers.select("module_id", F.lit(0).alias("obj_ix"), F.md5((F.col("module_id") % 500).cast("string")).alias("srcid"))
+    objects = customers.select("module_id", F.lit(0).alias("obj_ix"), F.md5(F.col("module_id").cast("string")).alias("srcid"))
     named = lookups(spark, sf_dir).select("srcid", F.col("section").alias("name")).distinct()
     sections = objects.join(named, "srcid").select("module_id", "obj_ix", "name", F.col("name").alias("uid"))
     return World(None, objects, sections, None, None, None, lookups(spark, sf_dir))
 
 
-@query("WITH " + SQL_LOOKUPS + """ SELECT DISTINCT c_custkey AS module_id, l.section AS uid, l.symbol AS name FROM customer JOIN look l ON l.srcid = md5((c_custkey % 500)::VARCHAR)""")
+@query("WITH " + SQL_LOOKUPS + """ SELECT DISTINCT c_custkey AS module_id, l.section AS uid, l.symbol AS name FROM customer JOIN look l ON l.srcid = md5(c_custkey::VARCHAR)""")
 def dyn_edges(spark, sf_dir):
     return graph.lookup_targets(lookup_world(spark, sf_dir))
 
@@ -202,11 +210,20 @@ def start_stop_sections(spark, sf_dir):
     return graph.edge_symbol_sections(World(None, None, named_sections(spark, sf_dir), None, asked, None))
 
 
-@query("WITH " + SQL_NAMES + """ SELECT uid, regexp_matches(name, '^\\.text(\\.|$)') AS is_text, regexp_matches(name, '^\\.gcc_except_table(\\.|$)') AS is_table, (uid % 9 = 0 OR name IN ('.ctors', '.dtors', '.init', '.fini') AND size > 0) AS is_root FROM scn""")
+#: Section types in turn, those that are passed over included.
+KINDS_IN_TURN = ("PROGBITS", "INIT_ARRAY", "ARM_EXIDX", "GROUP", "NOTE", "RELA", "FINI_ARRAY", "NOBITS", "STRTAB", "PREINIT_ARRAY", "NULL")
+PLAIN_NAMES = (".ctors", ".init", ".text", ".textual", ".gcc_except_table", ".fini")
+_KINDS_SQL, _PLAIN_SQL = ("[" + ", ".join(f"'{k}'" for k in x) + "]" for x in (KINDS_IN_TURN, PLAIN_NAMES))
+
+
+@query("WITH " + SQL_NAMES + f""", own AS (SELECT uid, size, CASE WHEN module_id % 2 = 0 THEN {_PLAIN_SQL}[uid % {len(PLAIN_NAMES)} + 1] ELSE name END AS name, {_KINDS_SQL}[uid % {len(KINDS_IN_TURN)} + 1] AS kind FROM scn)
+ SELECT uid, kind, regexp_matches(name, '^\\.text(\\.|$)') AS is_text, regexp_matches(name, '^\\.gcc_except_table(\\.|$)') AS is_table,
+  (kind LIKE '%\\_ARRAY' ESCAPE '\\' OR name IN ('.ctors', '.dtors', '.init', '.fini') AND size > 0) AS is_root FROM own WHERE kind NOT IN ('GROUP', 'RELA', 'STRTAB', 'NULL')""")
 def keep_section(spark, sf_dir):
-    kind = names.checked_type(F.when(F.col("uid") % 9 == 0, "INIT_ARRAY").otherwise("PROGBITS"))
-    own = named_sections(spark, sf_dir)
-    return own.select("uid", names.is_text(F.col("name")).alias("is_text"), names.is_unused_table(F.col("name")).alias("is_table"), names.is_root_section(F.col("name"), kind, F.col("size")).alias("is_root"))
+    uid = F.col("uid")
+    turn = lambda x: F.element_at(F.array(*map(F.lit, x)), (uid % len(x)).cast("int") + 1)
+    own = named_sections(spark, sf_dir).withColumn("name", F.when(F.col("module_id") % 2 == 0, turn(PLAIN_NAMES)).otherwise(F.col("name"))).withColumn("kind", names.checked_type(turn(KINDS_IN_TURN)))
+    return own.filter("kind is not null").select("uid", "kind", names.is_text(F.col("name")).alias("is_text"), names.is_unused_table(F.col("name")).alias("is_table"), names.is_root_section(F.col("name"), F.col("kind"), F.col("size")).alias("is_root"))
 
 
 # Consensus: parts are sources, a line item is an object of one, with up to three symbols
@@ -343,18 +360,25 @@ def jump_functions(spark, sf_dir):
     return resolve.jump_functions(items.distinct(), params)
 
 
-@query("""WITH RECURSIVE flow AS (SELECT DISTINCT s_suppkey % 60 AS func, 0 AS arg, s_suppkey * 7 % 60 AS from_func, 0 AS from_arg FROM supplier WHERE s_suppkey % 3 <> 0),
-fact AS (SELECT DISTINCT c_custkey % 60 AS func, 0 AS arg, CASE WHEN c_custkey % 7 = 0 THEN 'DYNAMIC' ELSE 'CONSTANT' END AS status, CASE WHEN c_custkey % 7 <> 0 THEN 's' || (c_custkey % 5) END AS symbol FROM customer WHERE c_custkey % 4 = 0),
-hit AS (SELECT n_nationkey AS source, n_nationkey AS func, 0 AS arg FROM nation UNION SELECT h.source, f.from_func, f.from_arg FROM hit h JOIN flow f ON f.func = h.func AND f.arg = h.arg),
-val AS (SELECT source, bit_or(CASE status WHEN 'DYNAMIC' THEN 1 ELSE 2 END) AS c, array_to_string(list_sort(list(DISTINCT symbol) FILTER (symbol IS NOT NULL)), ',') AS symbols FROM hit JOIN fact USING (func, arg) GROUP BY source)
-SELECT n_nationkey AS source, CASE coalesce(c, 0) WHEN 0 THEN 'UNDEFINED' WHEN 1 THEN 'DYNAMIC' WHEN 2 THEN 'CONSTANT' ELSE 'PARTIALLY_CONSTANT' END AS status, coalesce(symbols, '') AS symbols FROM nation LEFT JOIN val ON source = n_nationkey""")
+@query("""WITH RECURSIVE flow AS (SELECT 'n' || s_nationkey AS func, 's' || s_suppkey AS from_func FROM supplier UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier WHERE s_acctbal < 0
+  UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation),
+fact AS (SELECT DISTINCT 'n' || c_nationkey AS func, CASE WHEN c_acctbal < 0 THEN 'DYNAMIC' ELSE 'CONSTANT' END AS status, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS symbol FROM customer
+  UNION SELECT 's' || s_suppkey, CASE WHEN s_acctbal < 0 THEN 'UNDEFINED' ELSE 'CONSTANT' END, CASE WHEN s_acctbal >= 0 THEN s_name END FROM supplier),
+hit AS (SELECT 'n' || n_nationkey AS source, 'n' || n_nationkey AS func FROM nation UNION SELECT DISTINCT 'r' || r_regionkey, 'r' || r_regionkey FROM region UNION SELECT h.source, f.from_func FROM hit h JOIN flow f ON f.func = h.func),
+val AS (SELECT source, bit_or(CASE status WHEN 'UNDEFINED' THEN 0 WHEN 'DYNAMIC' THEN 1 ELSE 2 END) AS c, array_to_string(list_sort(list(DISTINCT symbol) FILTER (symbol IS NOT NULL)), ',') AS symbols FROM hit JOIN fact USING (func) GROUP BY source),
+site AS (SELECT 'n' || n_nationkey AS source FROM nation UNION SELECT 'r' || r_regionkey FROM region)
+SELECT source, CASE coalesce(c, 0) WHEN 0 THEN 'UNDEFINED' WHEN 1 THEN 'DYNAMIC' WHEN 2 THEN 'CONSTANT' ELSE 'PARTIALLY_CONSTANT' END AS status, coalesce(symbols, '') AS symbols FROM site LEFT JOIN val USING (source)""")
 def resolved_values(spark, sf_dir):
-    s, c = F.col("s_suppkey"), F.col("c_custkey")
-    flows = table(spark, sf_dir, "supplier").filter(s % 3 != 0).select((s % 60).alias("func"), F.lit(0).alias("arg"), (s * 7 % 60).alias("from_func"), F.lit(0).alias("from_arg")).distinct()
-    constant = c % 7 != 0
-    facts = table(spark, sf_dir, "customer").filter(c % 4 == 0).select((c % 60).alias("func"), F.lit(0).alias("arg"), F.when(constant, "CONSTANT").otherwise("DYNAMIC").alias("status"), F.when(constant, F.concat(F.lit("s"), (c % 5).cast("string"))).alias("symbol"))
-    sites = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("source"), F.col("n_nationkey").alias("func"), F.lit(0).alias("arg"))
-    return lattice.resolve_values(sites, flows, facts).select("source", "status", F.array_join("symbols", ",").alias("symbols"))
+    """Regions call nations, nations suppliers, and suppliers in debt their nation back; customers and suppliers hand values over."""
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    flow = lambda df, a, b: df.select(a.alias("func"), F.lit(0).alias("arg"), b.alias("from_func"), F.lit(0).alias("from_arg"))
+    s, n = name("s", "s_suppkey"), name("n", "s_nationkey")
+    flows = flow(supplier, n, s).unionByName(flow(supplier.filter("s_acctbal < 0"), s, n)).unionByName(flow(nation, name("r", "n_regionkey"), name("n", "n_nationkey")))
+    fact = lambda df, at, good, other, symbol: df.select(at.alias("func"), F.lit(0).alias("arg"), F.when(good, "CONSTANT").otherwise(other).alias("status"), F.when(good, F.col(symbol)).alias("symbol")).distinct()
+    facts = fact(table(spark, sf_dir, "customer"), name("n", "c_nationkey"), F.col("c_acctbal") >= 0, "DYNAMIC", "c_mktsegment").unionByName(fact(supplier, s, F.col("s_acctbal") >= 0, "UNDEFINED", "s_name"))
+    own = nation.select(name("n", "n_nationkey").alias("source")).unionByName(table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("source")))
+    return lattice.resolve_values(own.select("source", F.col("source").alias("func"), F.lit(0).alias("arg")), flows, facts).select("source", "status", F.array_join("symbols", ",").alias("symbols"))
 
 
 @query("""WITH rel AS (SELECT DISTINCT l_suppkey AS module_id, l_orderkey AS uid, l_partkey AS sym_ix FROM lineitem) SELECT r.module_id, r.uid, r.sym_ix, CASE WHEN r.sym_ix % 2 = 0 THEN r.sym_ix * 10 END AS def_uid FROM rel r WHERE r.uid % 5 <> 0""")
@@ -365,6 +389,38 @@ def relocation_refs(spark, sf_dir):
     return resolve.relocation_refs(rel, symbols, sections)
 
 
+SQL_LINKS = """obj AS (SELECT DISTINCT l_suppkey AS module_id, l_orderkey AS uid, (l_orderkey % 4)::INT AS obj_ix FROM lineitem),
+sym AS (SELECT l_suppkey AS module_id, l_partkey AS sym_ix, CASE WHEN l_partkey % 5 = 0 THEN 'LOCAL' ELSE 'GLOBAL' END AS binding, CASE WHEN l_partkey % 3 > 0 THEN min(l_orderkey) END AS def_uid FROM lineitem GROUP BY l_suppkey, l_partkey),
+rel AS (SELECT DISTINCT l_suppkey AS module_id, l_orderkey AS uid, l_partkey AS sym_ix FROM lineitem),
+met AS (SELECT r.*, s.binding, s.def_uid, o.obj_ix, d.obj_ix AS def_obj FROM rel r JOIN sym s USING (module_id, sym_ix) JOIN obj o USING (module_id, uid) LEFT JOIN obj d ON d.module_id = r.module_id AND d.uid = s.def_uid)"""
+
+
+def link_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as sections of suppliers' modules, dealt over four objects; parts as symbols, each fifth one local."""
+    rel = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("module_id"), F.col("l_orderkey").alias("uid"), F.col("l_partkey").alias("sym_ix"))
+    symbols = rel.groupBy("module_id", "sym_ix").agg(F.min("uid").alias("uid")).select("module_id", "sym_ix", F.when(F.col("sym_ix") % 5 == 0, "LOCAL").otherwise("GLOBAL").alias("binding"), F.when(F.col("sym_ix") % 3 > 0, F.col("uid")).alias("def_uid"))
+    return rel, symbols, rel.select("module_id", "uid", (F.col("uid") % 4).cast("int").alias("obj_ix")).distinct()
+
+
+@query("WITH " + SQL_LINKS + " SELECT module_id, sym_ix, uid FROM met WHERE binding <> 'LOCAL' AND (def_obj IS NULL OR def_obj <> obj_ix)")
+def cross_object_refs(spark, sf_dir):
+    return resolve.cross_object(*link_parts(spark, sf_dir))[0]
+
+
+@query("WITH " + SQL_LINKS + " SELECT DISTINCT module_id, uid, def_uid AS to_uid FROM met WHERE binding = 'LOCAL' AND def_uid IS NOT NULL")
+def local_anchors(spark, sf_dir):
+    return resolve.cross_object(*link_parts(spark, sf_dir))[1]
+
+
+@query("WITH " + SQL_VOTES + """, own AS (SELECT md5(p_partkey::VARCHAR) AS srcid, CASE WHEN p_size % 2 = 0 THEN '*' ELSE '' END || 'f' || k AS name FROM part, (VALUES (0), (1), (2), (3)) t(k))
+ SELECT o.srcid, o.name, CASE c.rank WHEN 0 THEN 'ELIM' WHEN 1 THEN 'LOCAL' WHEN 2 THEN 'HIDDEN' END AS class FROM own o LEFT JOIN cons c ON c.srcid = o.srcid AND c.name = ltrim(o.name, '*')""")
+def unit_verdicts(spark, sf_dir):
+    """Parts as compiled units of four symbols, which meet the consensus of their sources."""
+    own = table(spark, sf_dir, "part").select(F.md5(F.col("p_partkey").cast("string")).alias("srcid"), F.when(F.col("p_size") % 2 == 0, "*").otherwise("").alias("star"), F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
+    symbols = own.select("srcid", F.concat("star", F.lit("f"), F.col("k").cast("string")).alias("name"))
+    return classify.unit_verdicts(symbols, consensus.consensus(*votes(spark, sf_dir), hidden_only=False))
+
+
 # Applying verdicts
 
 SQL_UNIT = """own AS (SELECT l_orderkey AS unit, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS name, CASE l_returnflag WHEN 'N' THEN 'ELIM' WHEN 'A' THEN 'LOCAL' END AS class, l_suppkey % 5 = 0 AS weak, CASE WHEN l_partkey % 3 = 0 THEN l_linestatus END AS comdat, l_orderkey % 11 = 0 AS toplevel FROM lineitem),
@@ -420,12 +476,18 @@ def erase_strings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(names.erase_strings(F.col("text"))).alias("erased"))
 
 
-@query("SELECT o_orderkey, '[' || CASE WHEN o_custkey % 2 = 0 THEN '-O2,' ELSE '' END || '-g]' AS kept, CASE WHEN o_custkey % 2 = 0 THEN '-fno-lto' ELSE '-flto-x' END AS lto FROM orders")
+#: Options of all sorts, those that count in a hash first.
+HASHED = ("-O2", "-g", "-iquote", "-isystem", "-flto-partition=none", "-fuse-ld=lld", "-std=c99", "-fno-plt")
+UNHASHED = ("-o x.o", "-ox.o", "-Iinclude", "-L/x", "-fplugin=p.so", "-fplugin-arg-p-a=1", "-flto", "-flto=4", "-fno-lto", "-ffunction-sections", "-fdata-sections", "a.c", "-dumpbase a.c", "-dumpdir d", "-auxbase a", "-auxbase-strip a.o", "-fuse-ld=gold", "-fuse-ld=bfd")
+
+
+@query("SELECT o_orderkey, " + "['" + "', '".join(HASHED) + "']" + f"[o_orderkey % {len(HASHED)} + 1] AS kept, CASE o_custkey % 3 WHEN 0 THEN '-fno-lto' WHEN 1 THEN '-flto-x' ELSE '-fno-lto' END AS lto FROM orders")
 def option_rewrites(spark, sf_dir):
-    even = F.col("o_custkey") % 2 == 0
-    options = F.filter(F.array(F.when(even, "-O2"), F.lit("-o"), F.lit("-Iinclude"), F.lit("-fplugin=x"), F.lit("-g")), lambda x: x.isNotNull())
-    kept = F.concat(F.lit("["), F.array_join(names.hashed_options(options), ","), F.lit("]"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", kept.alias("kept"), names.no_lto(F.when(even, "-flto=8").otherwise("-flto-x")).alias("lto"))
+    """Each order has one option that counts and one that doesn't, all of them in turn."""
+    turn = lambda x: F.element_at(F.array(*map(F.lit, x)), (F.col("o_orderkey") % len(x)).cast("int") + 1)
+    kept = F.array_join(names.hashed_options(F.array(turn(UNHASHED), turn(HASHED))), ",")
+    lto = F.when(F.col("o_custkey") % 3 == 0, "-flto=8").when(F.col("o_custkey") % 3 == 1, "-flto-x").otherwise("-flto")
+    return table(spark, sf_dir, "orders").select("o_orderkey", kept.alias("kept"), names.no_lto(lto).alias("lto"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT (o_orderkey % 3 = 0) AND o_custkey % 4 > 0")
@@ -440,9 +502,10 @@ def kept_packages(spark, sf_dir):
     return resolve.kept_packages(part, part.filter("p_partkey % 6 = 0"), "p_partkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def unknown_ids(spark, sf_dir):
-    return resolve.unknown_ids(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    """Customers that no urgent order names."""
+    return resolve.unknown_ids(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
 # Ingest

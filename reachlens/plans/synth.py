@@ -33,8 +33,10 @@ def references(own: DataFrame) -> DataFrame:
     return own.select("ok", "pk", "sk", after.alias("named")).filter("named is not null")
 
 
-def world(spark: SparkSession, sf_dir: str) -> World:
-    own = materialize(sections(spark, sf_dir))
+def world(spark: SparkSession, sf_dir: str, write: bool = True) -> World:
+    """The tables of the world; ``write``: the large ones written once, for queries that read them several times."""
+    keep = materialize if write else (lambda df: df)
+    own = keep(sections(spark, sf_dir))
     uid = lambda ok, pk: F.concat_ws("-", ok, pk)
     roots = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("ok")).distinct().withColumn("urgent", F.lit(True))
     defined = definitions(own).select(
@@ -46,9 +48,9 @@ def world(spark: SparkSession, sf_dir: str) -> World:
     modules = own.select(F.col("sk").alias("module_id")).distinct().select("module_id", F.lit("D").alias("kind"), F.col("module_id").cast("string").alias("name"), F.lit("").alias("entrypoint"), F.md5(F.col("module_id").cast("string")).alias("linkid"), F.lit(False).alias("is_force"))
     objects = modules.select("module_id", F.lit(0).alias("obj_ix"), F.concat(F.lit("/m/"), "name", F.lit(".o")).alias("path"), F.lit(0).cast("bigint").alias("offset"), "linkid").withColumnRenamed("linkid", "srcid")
     placed = own.join(roots, "ok", "left").select(
-        F.col("sk").alias("module_id"), uid("ok", "pk").alias("uid"), F.lit(0).alias("obj_ix"), F.concat(F.lit("scn."), F.col("pk").cast("string")).alias("name"), "size", (F.coalesce("urgent", F.lit(False)) & (F.col("sk") % 10 == 0)).alias("used"))
+        F.col("sk").alias("module_id"), uid("ok", "pk").alias("uid"), F.lit(0).alias("obj_ix"), F.concat(F.when(F.col("pk") % 3 == 0, ".text.f").otherwise("scn."), F.col("pk").cast("string")).alias("name"), "size", (F.coalesce("urgent", F.lit(False)) & (F.col("sk") % 10 == 0)).alias("used"))
     nothing = placed.select("module_id", "uid", F.col("uid").alias("to_uid")).limit(0)
-    return World(modules, objects, materialize(placed), nothing, materialize(defined.unionByName(undefined)), materialize(refs))
+    return World(modules, objects, keep(placed), nothing, keep(defined.unionByName(undefined)), keep(refs))
 
 
 #: The same world in SQL: sec, def, ref, und, edge (src, dst, kind), root (node), hit (node).

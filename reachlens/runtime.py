@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a new temporary one."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset in local mode (tests, a laptop) a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="reachlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

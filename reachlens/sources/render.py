@@ -12,6 +12,11 @@ def lines(*parts: Column, sep: str = " ") -> Column:
     return F.concat_ws(sep, *(p.cast("string") for p in parts)).alias("value")
 
 
+def block_lines(text: Column) -> Column:
+    """A block of lines as one value of ``write.text``, which ends each value with a newline itself."""
+    return F.regexp_replace(text, r"\n\z", "").alias("value")
+
+
 def jump_lines(jumps: DataFrame) -> DataFrame:
     return jumps.select(lines(*(F.col(c) for c in ("from_name", "from_arg", "to_name", "to_arg"))))
 
@@ -21,9 +26,10 @@ def signature_lines(signatures: DataFrame) -> DataFrame:
 
 
 def signature_list(signatures: DataFrame) -> DataFrame:
-    """One text: the number of signatures, then one a line (a list sent to a compiler)."""
-    own = signature_lines(signatures).agg(F.sort_array(F.collect_list("value")).alias("v"))
-    return own.select(F.concat_ws("\n", F.size("v").cast("string"), F.col("v")).alias("value"))
+    """Lines, in order: the number of signatures, then one each (a list sent to a compiler)."""
+    own = signature_lines(signatures)
+    count = own.agg(F.count("*").cast("string").alias("value")).select(F.lit(0).alias("k"), "value")
+    return count.unionByName(own.select(F.lit(1).alias("k"), "value")).orderBy("k", "value").select("value")
 
 
 def lookup_lines(lookups: DataFrame) -> DataFrame:
@@ -46,7 +52,8 @@ def block(head: Column, classes: list[tuple[str, Column]], closing: str) -> Colu
 
 
 def verdict_texts(verdicts: DataFrame, modules: DataFrame) -> DataFrame:
-    """A verdict block (column value) for each module that has a verdict; lists are sorted by name."""
+    """A verdict block (column value) for each module that has a verdict; lists are sorted by name. A module's lists are gathered in
+    one row, as large as the file's block."""
     row = F.when(F.col("class") == "UNDEF", F.concat(F.lit("-:f:-1:"), "tls", F.lit(":"), "name", F.lit("\n"))).otherwise(
         F.concat(basename(F.col("obj")), F.lit(":"), F.coalesce("srcid", F.lit("-")), F.lit(":"), F.coalesce("srcid_cnt", F.lit(0)).cast("string"), F.lit(":"), "tls", F.lit(":"), "name", F.lit("\n")))
     classes = ("ELIM", "LOCAL", "HIDDEN", "UNDEF")
@@ -58,7 +65,7 @@ def verdict_texts(verdicts: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def consensus_texts(consensus: DataFrame, objects: DataFrame) -> DataFrame:
-    """A consensus block (column value) for each source id; empty ones aren't written."""
+    """A consensus block (column value) for each source id; empty ones aren't written. A source's names are gathered in one row."""
     name = objects.filter("srcid is not null").groupBy("srcid").agg(F.min_by("path", F.struct("module_id", "obj_ix")).alias("path"))
     classes = ("ELIM", "LOCAL", "HIDDEN")
     row = F.concat(basename(F.col("path")), F.lit(":"), "srcid", F.lit(":"), "name", F.lit("\n"))

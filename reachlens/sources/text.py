@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from reachlens import schema
+from reachlens.functions.names import strip_version
 from reachlens.schema import World
 
 
@@ -71,16 +72,12 @@ def world_of(modules: DataFrame, forces: DataFrame | None = None, lookups: DataF
         objects=objects.select("module_id", "obj_ix", "o.path", "o.offset", "o.srcid"),
         sections=sections.select("module_id", "s.uid", "obj_ix", "s.name", "s.size", "s.used"),
         deps=sections.select("module_id", "s.uid", F.explode("s.deps").alias("to_uid")).distinct(),
-        symbols=symbols.select("module_id", "y.sym_ix", cut_version("y.name").alias("name"), "y.weak", "y.vis", "y.tls", "y.def_uid"),
+        symbols=symbols.select("module_id", "y.sym_ix", strip_version(F.col("y.name")).alias("name"), "y.weak", "y.vis", "y.tls", "y.def_uid"),
         refs=symbols.select("module_id", "y.sym_ix", F.explode("y.revdeps").alias("uid")).distinct(),
         lookups=lookups,
     )
 
 
-def cut_version(name: str) -> Column:
-    return F.substring_index(F.col(name), "@@", 1)
-
-
 def read_lookups(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file:line:srcid:section:func:STATUS:sym,sym"""
     return parse_lookups(spark.read.text(paths))
