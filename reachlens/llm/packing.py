@@ -10,19 +10,20 @@ Packing is done partition by partition with a bounded pool of waiting documents,
 left at a partition's end is cut into ever smaller powers of two (its last step group may be short).
 
 Defined results: a null text is empty and has the end id alone; repeated rows are packed as often as they occur; an
-empty table gives an empty one.
+empty table gives an empty one. Items of equal length are taken in the order they came; long texts are cut into windows, whole;
+further columns aren't read, so they can't clash.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import zlib
-from collections import defaultdict, deque
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ from reachlens.llm.text import runs
 TIERS = (128, 256, 512, 1024)
 #: Ids waiting in the tiers before a round of packing, and ids in a step group.
 POOL, STEP = 1 << 16, 1 << 13
-#: Words remembered by a worker at most; beyond, it starts anew.
-MEMO = 1_000_000
+#: Words remembered by a worker at most; further ones are encoded again in each slice of texts, of about so many bytes, that has them.
+MEMO, SLICE = 150_000, 4 << 20
 END_ID = 0
 
 
@@ -49,6 +50,8 @@ class Ids:
         # words can be taken alone only where the library itself parts texts before " word"
         parts = [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("a b\n c")] if self.tokenizer.pre_tokenizer else []
         self.by_word = self.tokenizer.normalizer is None and [x[:1] for x in parts] == ["a", "Ġ", "Ċ", "Ġ"]
+        self.model, parts = self.tokenizer.model, [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("a bC Def")] if parts else []
+        self.by_letters = self.by_word and parts == ["a", "ĠbC", "ĠDef"]
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "")[:1] == "Ġ" for i in range(self.tokenizer.get_vocab_size())])
         # a merge across a space gives one of these tokens (here: spaces and no-break spaces in turn), so texts that hold one are encoded whole
         tokens = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -56,57 +59,68 @@ class Ids:
         inner = [bytes(spell[c] for c in x) for x in tokens if "Ġ" in x[1:] and set(x) <= spell.keys()]
         self.across = sorted({x.decode("utf-8", "ignore") for x in inner if b"  " not in x} - {""})
         self.by_word = self.by_word and all(x.encode() in inner and " " in x[1:] for x in self.across)
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = defaultdict(itertools.count().__next__)  # a word looked up first gets the next number
-        self.ends, self.flat, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
+        self.number: dict[str, int] = {}  # the words remembered
+        # their ids, where each one's begin, and how many they are
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        # many words in one call; the ids that open a word (they hold its space) tell them apart, unless neighbours have merged
-        got, ends, used = [], [], self.used
-        for i in range(0, len(words), 500):
-            some = words[i : i + 500]
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of words that each follow a space; where each one's begin among them, and how many they are. A word of ASCII letters is
+        one pre-token, so the merges alone give its ids. Of others many go in one call; the ids that open a word (they hold
+        its space) tell them apart, unless neighbours have merged."""
+        plain = np.fromiter((self.by_letters and w.isascii() and w.isalpha() for w in words), bool, len(words))
+        merge, got, sizes = self.model.tokenize, [], np.zeros(len(words), np.int64)
+        tokens = [merge("Ġ" + words[k]) for k in np.flatnonzero(plain).tolist()]
+        sizes[plain] = [len(x) for x in tokens]
+        got.append(np.array([t.id for x in tokens for t in x], np.uint32))
+        rest, found = [words[k] for k in np.flatnonzero(~plain).tolist()], [np.zeros(0, np.int64)]
+        for i in range(0, len(rest), 50):
+            some = rest[i : i + 50]
             own = self.encode([" " + " ".join(some)])
             starts = np.flatnonzero(self.opens[own[0]])
             if len(starts) == len(some):
-                ends.append(used + np.append(starts[1:], len(own[0])))
+                found.append(np.diff(np.append(starts, len(own[0]))))
             else:
                 own = self.encode([" " + w for w in some])
-                ends.append(used + np.cumsum([len(x) for x in own]))
+                found.append(np.array([len(x) for x in own], np.int64))
             got += own
-            used = int(ends[-1][-1])
-        got, ends = np.concatenate(got), np.concatenate(ends)
-        while len(self.flat) < ends[-1]:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : ends[-1]] = got
-        self.used, self.ends = int(ends[-1]), np.concatenate([self.ends, ends])
+        sizes[~plain] = np.concatenate(found)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(got), starts, sizes
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, and the end id."""
-        split, whole = {}, []
-        for i, x in enumerate(texts):
-            if x and (not self.by_word or "  " in x or x[0] == " " or x[-1] == " " or any(s in x for s in self.special) or any(s in x for s in self.across)):
-                whole.append(i)
-            else:
-                split[i] = x.split(" ")
+        odd = lambda x: x and (not self.by_word or "  " in x or x[0] == " " or x[-1] == " " or any(s in x for s in self.special) or any(s in x for s in self.across))
+        whole = [i for i, x in enumerate(texts) if odd(x)]
+        rest = sorted(set(range(len(texts))).difference(whole))
         out = dict(zip(whole, self.encode([texts[i] for i in whole]), strict=True))
-        if len(self.place) > MEMO:
-            self.forget()
-        before, many = len(self.place), np.array([len(w) - 1 for w in split.values()], np.int64)
-        at = np.fromiter(map(self.place.__getitem__, itertools.chain.from_iterable(w[1:] for w in split.values())), np.int64, int(many.sum()))
-        if len(self.place) > before:
-            self.learn(list(itertools.islice(self.place, before, None)))
-        lo = self.ends[at]
-        n = self.ends[at + 1] - lo
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(lo - upto[:-1], n) + np.arange(upto[-1])]
-        cut = upto[np.concatenate([[0], np.cumsum(many)])].tolist()
-        for k, (i, head) in enumerate(zip(split, self.encode([w[0] for w in split.values()]), strict=True)):
-            out[i] = np.concatenate([head, ids[cut[k] : cut[k + 1]]])
+        split = pc.split_pattern(pa.array([texts[i] for i in rest], pa.large_string()), " ")
+        coded, edges = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        heads = [words[k] for k in index[edges[:-1]].tolist()]  # no space before them
+        # ids of each distinct word: remembered, or encoded now; those met first, mostly frequent ones, stay remembered
+        at = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+        new = [words[k] for k in np.flatnonzero(at < 0).tolist()]
+        flat, starts, sizes = self.words(new)
+        known = len(self.sizes)
+        at[at < 0] = known + np.arange(len(new))
+        flat, starts, sizes = np.concatenate([self.flat, flat]), np.concatenate([self.starts, starts + len(self.flat)]), np.concatenate([self.sizes, sizes])
+        if room := min(MEMO - known, len(new)):
+            self.number.update(zip(new[:room], range(known, known + room), strict=True))
+            self.flat, self.starts, self.sizes = flat, starts[: known + room].copy(), sizes[: known + room].copy()
+        later = np.ones(len(index), bool)
+        later[edges[:-1]] = False
+        k = at[index[later]]
+        n, lo = sizes[k], starts[k]
+        upto = np.append(0, np.cumsum(n))
+        ids = flat[np.repeat(lo - upto[:-1], n) + np.arange(upto[-1])]
+        cut = upto[edges - np.arange(len(edges))].tolist()
+        for j, (i, head) in enumerate(zip(rest, self.encode(heads), strict=True)):
+            out[i] = np.concatenate([head, ids[cut[j] : cut[j + 1]]])
         end = np.array([END_ID], np.uint32)
         return [np.concatenate([out[i], end]) for i in range(len(texts))]
 
@@ -254,7 +268,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, w
 
         for batch in batches:
             kind = batch.column(0).type
-            for lo, hi in runs(batch.column(1)):
+            for lo, hi in runs(batch.column(1), SLICE):
                 part = batch.slice(lo, hi - lo)
                 for key, own in zip(part.column(0).to_pylist(), ids.of([x or "" for x in part.column(1).to_pylist()]), strict=True):
                     open_docs[number] = (key, own, len(own))

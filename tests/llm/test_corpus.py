@@ -56,13 +56,25 @@ def test_ids_of_no_break_spaces_between_spaces():
     # new words side by side, that merge when they are learned together
     apart = ["one \u00a0 two", "three \u00a0\u00a0 four", "five \u00a0\n six later words"]
     ids = packing.Ids(PATH)
-    ids.learn(["\u00a0", "\u00a0\u00a0", "\u00a0", "word"])
-    assert len(ids.ends) == 5
+    flat, _, sizes = ids.words(["\u00a0", "\u00a0\u00a0", "\u00a0", "word"])
+    assert len(sizes) == 4 and sizes.sum() == len(flat)
+    some = ["word", "\u00e9t\u00e9", "Apples", "x1", "don't", "Zebra", "a", "end."]
+    flat, starts, sizes = ids.words(some)
+    assert [flat[a : a + n].tolist() for a, n in zip(starts, sizes, strict=True)] == [x[:-1].tolist() for x in all_ids([" " + w for w in some])]
     for some in (apart, texts + apart):
         for mine, whole in zip(packing.Ids(PATH).of(some), all_ids(some), strict=True):
             assert mine.tolist() == whole.tolist()
 
 
+def test_ids_beyond_what_is_remembered(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 40)
+    ids, texts = packing.Ids(PATH), [r[1] or "" for r in data.rows()]
+    want = [x.tolist() for x in all_ids(texts)]
+    for _ in range(2):
+        assert [x.tolist() for lo in range(0, len(texts), 7) for x in ids.of(texts[lo : lo + 7])] == want
+    assert len(ids.number) == 40
+
+
 def test_packer_cuts_and_fills():
     packer, sizes = packing.Packer((4, 8, 16)), [3, 5, 16, 9, 1, 2, 40, 7, 4]
     got = [s for i, n in enumerate(sizes) for s in packer.add(i, n)]
