@@ -6,11 +6,13 @@ one works, so each task first has the other operators forget.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import pyarrow as pa
 
 _forget: dict[str, list[Callable[[], object]]] = {}
+_last: list[str] = []
 
 
 def remembers(owner: str, forget: Callable[[], object]) -> None:
@@ -19,9 +21,15 @@ def remembers(owner: str, forget: Callable[[], object]) -> None:
 
 
 def only(owner: str) -> None:
-    """The others forget, and Arrow's unused memory goes back to the system."""
+    """Where the worker's last task was another operator's, that one forgets, and unused memory goes back to the system."""
+    if _last[:] == [owner]:
+        return
+    _last[:] = [owner]
     for name, all_of_it in _forget.items():
         if name != owner:
             for forget in all_of_it:
                 forget()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)

@@ -36,7 +36,7 @@ TIERS = (128, 256, 512, 1024)
 #: Ids waiting in the tiers before a round of packing, and ids in a step group.
 POOL, STEP = 1 << 16, 1 << 13
 #: Words remembered by a worker at most; further ones are encoded again in each slice of texts, of about so many bytes, that has them.
-MEMO, SLICE = 150_000, 4 << 20
+MEMO, SLICE = 100_000, 1 << 20
 END_ID = 0
 
 
@@ -72,9 +72,12 @@ class Ids:
         its space) tell them apart, unless neighbours have merged."""
         plain = np.fromiter((self.by_letters and w.isascii() and w.isalpha() for w in words), bool, len(words))
         merge, got, sizes = self.model.tokenize, [], np.zeros(len(words), np.int64)
-        tokens = [merge("Ġ" + words[k]) for k in np.flatnonzero(plain).tolist()]
-        sizes[plain] = [len(x) for x in tokens]
-        got.append(np.array([t.id for x in tokens for t in x], np.uint32))
+        simple = np.flatnonzero(plain)
+        for i in range(0, len(simple), 5000):  # the library's token objects are large
+            some = simple[i : i + 5000]
+            tokens = [merge("Ġ" + words[k]) for k in some.tolist()]
+            sizes[some] = [len(x) for x in tokens]
+            got.append(np.array([t.id for x in tokens for t in x], np.uint32))
         rest, found = [words[k] for k in np.flatnonzero(~plain).tolist()], [np.zeros(0, np.int64)]
         for i in range(0, len(rest), 50):
             some = rest[i : i + 50]
@@ -90,7 +93,7 @@ class Ids:
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         starts = np.zeros(len(words), np.int64)
         starts[order] = np.cumsum(sizes[order]) - sizes[order]
-        return np.concatenate(got), starts, sizes
+        return np.concatenate([np.zeros(0, np.uint32), *got]), starts, sizes
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, and the end id."""
