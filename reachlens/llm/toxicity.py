@@ -30,7 +30,9 @@ from reachlens.llm.text import as_bytes, map_texts
 #: The categories in the chain's order, and the label columns they are made of.
 CATEGORIES = ("junk", "toxic", "toxic_junk")
 LABELS = ("toxic", "quality")
-SAMPLE, FEATURES, MIN_DOCS, FOLDS, THRESHOLD = 5000, 300, 4, 3, 0.5
+SAMPLE, MIN_DOCS, FOLDS, THRESHOLD = 5000, 4, 3, 0.5
+#: Features picked for each category at most.
+FEATURES = (60, 300, 60)
 #: Lengths in bytes of the word beginnings that are features of their own.
 BEGINNINGS = (4, 5)
 #: Words remembered by a worker at most; beyond, it starts anew.
@@ -70,15 +72,16 @@ def sample_words(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
 def pick(rows: np.ndarray, where: np.ndarray, size: int, wanted: np.ndarray) -> np.ndarray:
     """The features (of ``size``) whose presence goes with a category the most, by chi-square. rows, where: which document has
     which; wanted: documents x categories."""
-    seen, best = np.bincount(where, minlength=size), np.zeros(size)
-    for y in wanted.T:
+    seen, picked = np.bincount(where, minlength=size), [np.zeros(0, np.int64)]
+    for y, most in zip(wanted.T, FEATURES, strict=True):
         share = y.mean()
         if 0 < share < 1:
             gap = np.bincount(where, y[rows], size) - seen * share
-            best = np.maximum(best, gap**2 / (np.maximum(seen, 1) * share * (1 - share) * np.maximum(1 - seen / len(y), 1e-9)))
-    best[seen < MIN_DOCS] = 0
-    some = np.sort(np.argsort(-best, kind="stable")[:FEATURES])
-    return some[best[some] > 0]
+            chi = gap**2 / (np.maximum(seen, 1) * share * (1 - share) * np.maximum(1 - seen / len(y), 1e-9))
+            chi[seen < MIN_DOCS] = 0
+            some = np.argsort(-chi, kind="stable")[:most]
+            picked.append(some[chi[some] > 0])
+    return np.unique(np.concatenate(picked))
 
 
 class Sample:
@@ -162,7 +165,7 @@ def chain_scores(texts: list[bytes], chain: Chain, key: str) -> np.ndarray:
 
 def toxicity(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, a probability for each category, and ``is_toxic``."""
-    held = docs.sparkSession.sparkContext.broadcast(chain)  # of a fixed size: FEATURES words
+    held = docs.sparkSession.sparkContext.broadcast(chain)  # of a fixed size: FEATURES words and their weights
     key = uuid.uuid4().hex  # an object's address could be that of a chain before it
 
     def work(texts: list[bytes]) -> dict:
