@@ -1,7 +1,9 @@
-"""The two batch jobs: verdicts and consensus out of captured files, and signatures out of jump functions.
+"""The batch jobs: verdicts and consensus out of captured files, signatures out of jump functions, and all of them out of the
+messages that a stream captured.
 
     python -m reachlens.plans.batch merge OUT --deps FILE ... [--dlsym FILE ...] [--force FILE ...] [--class-mode]
     python -m reachlens.plans.batch signatures OUT --base FILE --jfunc FILE ...
+    python -m reachlens.plans.batch restart OUT --captured TABLE [--class-mode]
 """
 
 from __future__ import annotations
@@ -13,12 +15,18 @@ from pyspark.sql import functions as F
 
 from reachlens.operators import classify, closure, consensus
 from reachlens.runtime import materialize
+from reachlens.schema import World
 from reachlens.sources import render, text
+from reachlens.streaming import ingest
 
 
 def merge(spark: SparkSession, deps: list[str], dlsym: list[str] = (), force: list[str] = (), hidden_only: bool = True) -> tuple[DataFrame, DataFrame]:
     """(verdict texts, consensus texts) of captured module files, lookups and force files."""
-    world = text.world_of(text.read_modules(spark, list(deps)), text.read_modules(spark, list(force)) if force else None, text.read_lookups(spark, list(dlsym)) if dlsym else None)
+    return merged(text.world_of(text.read_modules(spark, list(deps)), text.read_modules(spark, list(force)) if force else None, text.read_lookups(spark, list(dlsym)) if dlsym else None), hidden_only)
+
+
+def merged(world: World, hidden_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(verdict texts, consensus texts) of a world."""
     found = materialize(classify.verdicts(world))
     agreed = consensus.consensus(found, consensus.source_totals(world.objects), hidden_only)
     return render.verdict_texts(found, world.modules), render.consensus_texts(agreed, world.objects)
@@ -31,19 +39,26 @@ def signatures(spark: SparkSession, base: str, jfunc: list[str]) -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="reachlens")
     jobs = parser.add_subparsers(dest="job", required=True)
-    a, b = jobs.add_parser("merge"), jobs.add_parser("signatures")
-    for p in (a, b):
+    a, b, c = jobs.add_parser("merge"), jobs.add_parser("signatures"), jobs.add_parser("restart")
+    for p in (a, b, c):
         p.add_argument("out")
     a.add_argument("--deps", nargs="+", required=True)
     a.add_argument("--dlsym", nargs="*", default=[])
     a.add_argument("--force", nargs="*", default=[])
-    a.add_argument("--class-mode", action="store_true")
+    for p in (a, c):
+        p.add_argument("--class-mode", action="store_true")
+    c.add_argument("--captured", required=True)
     b.add_argument("--base", required=True)
     b.add_argument("--jfunc", nargs="+", required=True)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("reachlens").getOrCreate()
-    if args.job == "merge":
-        verdicts, agreed = merge(spark, args.deps, args.dlsym, args.force, not args.class_mode)
+    if args.job != "signatures":
+        if args.job == "merge":
+            verdicts, agreed = merge(spark, args.deps, args.dlsym, args.force, not args.class_mode)
+        else:
+            messages = ingest.stored(spark, args.captured)
+            verdicts, agreed = merged(ingest.world(messages), not args.class_mode)
+            render.signature_lines(ingest.signatures(messages)).write.text(f"{args.out}/sign")
         for texts, name in ((verdicts, "merged.vis"), (agreed, "merged.vis.gcc")):
             texts.select(render.block_lines(F.col("value"))).write.text(f"{args.out}/{name}")
     else:

@@ -43,18 +43,28 @@ def parse_module(text: str) -> dict:
 
 def read_modules(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """A nested row for each module file, and its path (column file)."""
-    target = to_arrow_schema(StructType.fromDDL("file string, " + schema.MODULE_FILE))
+    return parse_modules(spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+
+
+def parse_modules(texts: DataFrame) -> DataFrame:
+    """A nested row for each text (columns file, value); columns that begin with an underscore come along."""
+    ddl = "file string, " + "".join(f"{c} {texts.schema[c].dataType.simpleString()}, " for c in carried(texts)) + schema.MODULE_FILE
+    target = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in batch.to_pylist():
                 try:
-                    yield pa.RecordBatch.from_pylist([{"file": file, **parse_module(text)}], target)
+                    yield pa.RecordBatch.from_pylist([{**row, **parse_module(row.pop("value"))}], target)
                 except (StopIteration, ValueError, IndexError, RuntimeError) as bad:
-                    raise ValueError(f"{file} is no module file") from bad
+                    raise ValueError(f"{row['file']} is no module file") from bad
 
-    whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return whole.mapInArrow(run, "file string, " + schema.MODULE_FILE)
+    return texts.select("file", "value", *carried(texts)).mapInArrow(run, ddl)
+
+
+def carried(lines: DataFrame) -> list[str]:
+    """The columns that parsers pass on: those that begin with an underscore (where a line came from, and when)."""
+    return [c for c in lines.columns if c.startswith("_")]
 
 
 def world_of(modules: DataFrame, forces: DataFrame | None = None, lookups: DataFrame | None = None) -> World:
@@ -87,7 +97,7 @@ def parse_lookups(lines: DataFrame) -> DataFrame:
     part = F.split(F.col("value"), ":", 7)
     at = lambda i: F.try_element_at(part, F.lit(i))
     names = F.filter(F.split(F.coalesce(at(7), F.lit("")), ","), lambda x: x != "")
-    return lines.filter(F.size(part) >= 6).select(at(1).alias("file"), at(2).try_cast("int").alias("line"), at(3).alias("srcid"), at(4).alias("section"), at(5).alias("func"), at(6).alias("status"), names.alias("symbols"))
+    return lines.filter(F.size(part) >= 6).select(at(1).alias("file"), at(2).try_cast("int").alias("line"), at(3).alias("srcid"), at(4).alias("section"), at(5).alias("func"), at(6).alias("status"), names.alias("symbols"), *carried(lines))
 
 
 def columns_of(lines: DataFrame, count: int) -> Column:
@@ -98,13 +108,13 @@ def parse_jumps(lines: DataFrame) -> DataFrame:
     """from_name from_arg to_name to_arg; lines of another form don't count."""
     part = columns_of(lines, 4)
     kept = lines.filter((F.size(part) >= 4) & part[1].try_cast("int").isNotNull() & part[3].try_cast("int").isNotNull())
-    return kept.select(part[0].alias("from_name"), part[1].cast("int").alias("from_arg"), part[2].alias("to_name"), part[3].cast("int").alias("to_arg"))
+    return kept.select(part[0].alias("from_name"), part[1].cast("int").alias("from_arg"), part[2].alias("to_name"), part[3].cast("int").alias("to_arg"), *carried(lines))
 
 
 def parse_signatures(lines: DataFrame) -> DataFrame:
     """name position, with or without a leading count line."""
     part = columns_of(lines, 2)
-    return lines.filter((F.size(part) >= 2) & part[1].try_cast("int").isNotNull()).select(part[0].alias("func"), part[1].cast("int").alias("arg_pos"))
+    return lines.filter((F.size(part) >= 2) & part[1].try_cast("int").isNotNull()).select(part[0].alias("func"), part[1].cast("int").alias("arg_pos"), *carried(lines))
 
 
 def read_jumps(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -140,3 +140,56 @@ def test_force_module_from_names(spark, tmp_path):
     read = text.read_modules(spark, [str(tmp_path / "deps-1"), str(tmp_path / "deps-2")])
     own = text.world_of(read, text.force_module(spark, "mine", ["api_close"]))
     assert classes(classify.verdicts(own), own.modules) == W2
+
+
+def test_snapshot_is_frozen_at_its_first_reading(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from reachlens.plans import batch
+    from reachlens.streaming import ingest
+
+    land, kept, state, results = (str(tmp_path / x) for x in ("land", "kept", "state", "results"))
+    for kind, files in {"deps": {"deps-0": w.APP, "deps-1": w.LIB, "deps-2": ""}, "jfunc": {"jfunc-0": "wrap 1 dlsym 1\n"}, "sign": {"base": "dlsym 1\n"}, "noise": {"noise-0": "what is this"}}.items():
+        (tmp_path / "land" / kind).mkdir(parents=True)
+        for name, body in files.items():
+            (tmp_path / "land" / kind / name).write_text(body)
+    ingest.capture(spark, land, kept, state).awaitTermination(120)
+    messages = ingest.stored(spark, kept)
+    assert sorted(r.kind for r in messages.collect()) == ["deps", "deps", "jfunc", "sign", "unknown"]  # the empty one isn't kept
+    cut = str(messages.agg(F.max("_arrived").cast("string").alias("t")).first().t)
+    (tmp_path / "land" / "deps" / "deps-3").write_text(w.APP2)
+    (tmp_path / "land" / "dlsym").mkdir()
+    (tmp_path / "land" / "dlsym" / "dlsym-0").write_text(f"app.c:9:{w.S1}:.text.main:main:CONSTANT:api_close\n")
+    ingest.capture(spark, land, kept, state).awaitTermination(120)
+    messages = ingest.stored(spark, kept)
+    assert messages.count() == 7
+
+    def by_class(found, linkid):
+        out = {}
+        for r in ingest.module_verdicts(found, linkid).collect():
+            out.setdefault(r["class"], set()).add(r.name)
+        return out
+
+    first, agreed = ingest.frozen(messages, cut, results, hidden_only=False)
+    assert {"app": by_class(first, w.A), "libx.so": by_class(first, w.B)} == W1  # neither the late lookup nor the late module counts
+    assert by_class(first, w.C) == {}  # it arrived after the snapshot
+    assert {r.name for r in ingest.source_verdicts(agreed, w.S3).collect()} == {"inner"} and ingest.source_verdicts(agreed, "0" * 32).isEmpty()
+    again, _ = ingest.frozen(messages.limit(0), cut, results, hidden_only=False)  # read, not evaluated again
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, first.collect()))
+    later, _ = ingest.frozen(messages, "2999-01-01 00:00:00", results, hidden_only=False)
+    assert by_class(later, w.B) == W2["libx.so"] and by_class(later, w.C)
+    assert {tuple(r) for r in ingest.signatures(messages).collect()} == {("dlsym", 1), ("wrap", 1)}
+    batch.main(["restart", str(tmp_path / "out"), "--captured", kept, "--class-mode"])
+    back = {(r.linkid, r["class"], r.name) for r in text.read_verdicts(spark, str(tmp_path / "out/merged.vis/*.txt")).collect()}
+    assert back == {(r.linkid, r["class"], r.name) for r in later.collect()}
+    assert {tuple(r) for r in text.read_signatures(spark, str(tmp_path / "out/sign")).collect()} == {("dlsym", 1), ("wrap", 1)}
+
+
+def test_module_stream_keeps_file_and_arrival(spark, tmp_path):
+    from reachlens.streaming import ingest
+
+    (tmp_path / "land/deps").mkdir(parents=True)
+    (tmp_path / "land/deps/deps-0").write_text(w.LIB)
+    ingest.start(spark, str(tmp_path / "land"), "deps", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    row = ingest.stored(spark, str(tmp_path / "out")).first()
+    assert row.linkid == w.B and row.file.endswith("deps-0") and row._arrived is not None and len(row.symbols) == 4
