@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reachlens.llm import conversation, lm, media, mixing, negatives, packing, quality, simhash, suffix_dedup, token_counts, toxicity, urls
+from reachlens.llm import conversation, extraction, lm, media, mixing, negatives, packing, quality, simhash, suffix_dedup, token_counts, toxicity, urls
 from reachlens.runtime import table
 
 
@@ -54,6 +54,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(pages, urls.crawled_twice(pages), urls.RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.main_text(pages, extraction.fit(pages))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = negatives.quantized(table(spark, sf_dir, "embeddings"))
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -66,7 +71,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_suffix_dedup, op4_media_columns, op5_toxicity, op6_packing, op7_token_counts, op8_simhash, op9_quality_rules, op10_url_filter, op12_hard_negatives, op13_conversation_repair)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_suffix_dedup, op4_media_columns, op5_toxicity, op6_packing, op7_token_counts, op8_simhash, op9_quality_rules, op10_url_filter, op11_html_extraction, op12_hard_negatives, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
