@@ -30,7 +30,7 @@ from reachlens.llm import dom, layouts, memo
 from reachlens.llm.text import runs
 
 #: Pages that the model is fitted on at most (those with the smallest hashes of their ids) and their bytes at most, layouts beside them, and steps.
-SAMPLE, LONGEST, LAYOUTS, STEPS = 300, 1 << 14, 1_000, 120
+SAMPLE, LONGEST, LAYOUTS, STEPS = 300, 1 << 14, 1_000, 180
 THRESHOLD = 0.5
 DIM = 1 << 15
 #: Words of texts of at most so many words are features.
@@ -80,10 +80,10 @@ memo.remembers("extraction", forget)
 @lru_cache(1)
 def offsets() -> dict[str, int]:
     """Columns of the features that have values in steps: chosen once, apart from the hashed ones' use of the same table."""
-    return {name: DIM + 1024 * k for k, name in enumerate(("length", "links", "marks", "share", "place", "depth", "leaves", "before", "after", "cross", "end"))}
+    return {name: DIM + 1024 * k for k, name in enumerate(("length", "links", "marks", "share", "place", "leaves", "before", "after", "cross", "end"))}
 
 
-WIDTH = DIM + 1024 * 11
+WIDTH = DIM + 1024 * 10
 
 
 class Batch:
@@ -159,7 +159,7 @@ class Batch:
             near[name] = other * 8 + links
         values = {
             "length": length, "links": links, "marks": np.digitize(marks / np.maximum(chars, 1), (0.002, 0.01, 0.02, 0.04)), "share": np.digitize(chars / np.maximum(whole, 1), (0.02, 0.1, 0.3, 0.6, 0.9)),
-            "place": np.minimum(10 * (before - first) / np.maximum(whole, 1), 9).astype(int), "depth": np.minimum(self.level, 15), "leaves": log(leaves), **near, "cross": length * 8 + links, "end": ends * 16 + length}
+            "place": np.minimum(4 * (before - first) / np.maximum(whole, 1), 3).astype(int), "leaves": log(leaves), **near, "cross": length * 8 + links, "end": ends * 16 + length}
         every = np.ones(len(chars), bool)
         return [(self.leaf if name in ("before", "after", "end") else every, offsets()[name] + v + 512 * self.leaf) for name, v in values.items()]
 

@@ -141,7 +141,7 @@ class Page:
         own = [f"<h1>{escape(self.some(3, 12))}</h1>"] if r.random() < 0.85 else []
         if own and r.random() < 0.2:
             own = [f"<header>{own[0]}</header>"] if self.telling else [f"<div>{own[0]}</div>"]
-        for _ in range(r.choice([1, 2, 3, 4, 6, 10])):
+        for _ in range(r.choice([1, 2, 3, 4, 6, 10] * 4 + [40, 120])):
             own.append(r.choices([
                 self.prose, lambda: self.prose("div"), lambda: f"<h{(k := r.randint(2, 4))}>{escape(self.some(2, 8))}</h{k}>" + self.prose(), lambda: "<ul>" + "".join(f"<li>{escape(self.some(2, 15))}" for _ in range(r.randint(2, 5))) + "</ul>",
                 lambda: f"<blockquote>{self.prose()}</blockquote>", lambda: f"<figure><img src=x><figcaption>{escape(self.some(3, 12))}</figcaption></figure>", lambda: f"<pre>{escape(self.some(5, 20))}</pre>", lambda: "<table>" + "".join(f"<tr><td>{escape(self.some(1, 3))}<td>{escape(self.some(1, 3))}</tr>" for _ in range(r.randint(1, 4))) + "</table>",
@@ -158,6 +158,8 @@ class Page:
 
     def html(self) -> str:
         r = self.rng
+        if r.random() < 0.12:  # little or nothing but the article
+            return self.rng.choice(["", "<html><body data-label=0>", "<body data-label=0>"]) + self.main() + (self.aside("footer") if r.random() < 0.3 else "")
         top = [self.aside(p) for p, share in (("notice", 0.3), ("header", 0.5), ("nav", 0.7), ("form", 0.1), ("ad", 0.3), ("nav", 0.1)) if r.random() < share]
         r.shuffle(top)
         under = [self.aside(p) for p, share in (("share", 0.15), ("tags", 0.15), ("related", 0.3), ("comments", 0.4), ("form", 0.15), ("ad", 0.2)) if r.random() < share]
