@@ -13,13 +13,16 @@ from reachlens.runtime import discard, materialize, shared_dir
 
 #: Rows from which a round's unchanging side is kept bucketed by the join key, so that rounds shuffle the frontier alone.
 BUCKET_ROWS, BUCKETS = 20_000_000, 256
+#: Rows (counted while they are written) up to which a round broadcasts the frontier and what was seen, and so shuffles only what is new.
+SMALL_ROWS = 1_000_000
 
 
 @contextmanager
 def kept_by(table: DataFrame, keys: list[str]) -> Iterator[DataFrame]:
     """``table`` written once for many joins on ``keys``, bucketed by them if it is large; gone afterwards."""
-    spark, plain = table.sparkSession, materialize(table)
-    name = f"reachlens_{uuid.uuid4().hex}" if plain.count() >= BUCKET_ROWS else None
+    spark, met = table.sparkSession, Observation()
+    plain = materialize(table.observe(met, F.count(F.lit(1)).alias("rows")))
+    name = f"reachlens_{uuid.uuid4().hex}" if met.get.get("rows", 0) >= BUCKET_ROWS else None
     if name:
         plain.write.bucketBy(BUCKETS, *keys).sortBy(*keys).saveAsTable(name)
     try:
@@ -53,19 +56,32 @@ def closure(steps: DataFrame, seeds: DataFrame, keys: list[str], to: list[str])
 
 
 def rounds(first: DataFrame, edges: DataFrame, edge_keys: list[str], step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """``first`` and all that repeated steps give; each round's new rows are a folder of their own in the shared folder."""
+    """``first`` and all that repeated steps give; each round's new rows are a folder of their own in the shared folder, which
+    ``runtime.discard`` of the result deletes.
+
+    While the frontier and what was seen are small enough to be broadcast, a round neither shuffles the edges nor what was seen: only the new
+    rows meet to be told apart. Beyond that, edges are bucketed (``kept_by``) and the new rows meet what was seen by hash.
+    """
     spark = first.sparkSession
-    root, paths = f"{shared_dir(spark)}/reachlens-{uuid.uuid4().hex}", []
+    root, paths, total = f"{shared_dir(spark)}/reachlens-{uuid.uuid4().hex}", [], 0
     read = lambda p: spark.read.schema(first.schema).parquet(*p)
     with kept_by(edges, edge_keys) as kept:
         new = first
         while True:
             path, met = f"{root}/{len(paths)}", Observation()
             new.observe(met, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-            if paths and not met.get.get("rows", 0):  # counted while writing: no job of its own
-                return read(paths)
-            paths.append(path)
-            new = step(read(paths[-1:]), kept).distinct().join(read(paths), first.columns, "left_anti")
+            n = met.get.get("rows", 0)  # counted while writing: no job of its own
+            if paths and not n:
+                out = read(paths)
+                out._reachlens_path = root
+                return out
+            paths, total = [*paths, path], total + n
+            frontier, seen = read(paths[-1:]), read(paths)
+            led = step(F.broadcast(frontier) if n <= SMALL_ROWS else frontier, kept)
+            if total <= SMALL_ROWS:
+                new = led.join(F.broadcast(seen), first.columns, "left_anti").distinct()
+            else:
+                new = led.distinct().join(seen, first.columns, "left_anti")
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ roots. A definition is exported if its line status is O and supplier plus part d
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reachlens.operators.resolve import winners
-from reachlens.runtime import materialize, table
+from reachlens.runtime import materialize, stands, table
 from reachlens.schema import World
 
 
@@ -33,9 +35,21 @@ def references(own: DataFrame) -> DataFrame:
     return own.select("ok", "pk", "sk", after.alias("named")).filter("named is not null")
 
 
+#: The worlds that this session has written, by application and folder.
+_worlds: dict[tuple[str, str], World] = {}
+
+
 def world(spark: SparkSession, sf_dir: str, write: bool = True) -> World:
-    """The tables of the world; ``write``: the large ones written once, for queries that read them several times."""
-    keep = materialize if write else (lambda df: df)
+    """The tables of the world; ``write``: the large ones written, once a session and folder, for queries that read them several times."""
+    if not write:
+        return made(spark, sf_dir, lambda df: df)
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _worlds or not stands(_worlds[key].refs):
+        _worlds[key] = made(spark, sf_dir, materialize)
+    return _worlds[key]
+
+
+def made(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFrame]) -> World:
     own = keep(sections(spark, sf_dir))
     uid = lambda ok, pk: F.concat_ws("-", ok, pk)
     roots = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("ok")).distinct().withColumn("urgent", F.lit(True))

@@ -34,10 +34,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def file_at(spark: SparkSession, path: str) -> tuple:
+    """The file system of ``path`` and the path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``df``; nothing may read it afterwards."""
     path = getattr(df, "_reachlens_path", None)
     if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        store, at = file_at(df.sparkSession, path)
+        store.delete(at, True)
+
+
+def stands(df: DataFrame) -> bool:
+    """Is what ``materialize`` wrote for ``df`` still there?"""
+    store, at = file_at(df.sparkSession, df._reachlens_path)
+    return bool(store.exists(at))
