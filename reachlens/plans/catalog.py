@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachlens.functions import names
-from reachlens.operators import classify, closure, consensus, fingerprint, graph, lattice, resolve
+from reachlens.operators import classify, closure, consensus, fingerprint, graph, lattice, resolve, weights
 from reachlens.plans import synth
 from reachlens.runtime import table
 from reachlens.sources import render, text
@@ -127,6 +127,25 @@ def jump_components(spark, sf_dir):
     return closure.strong_components(jumps(spark, sf_dir).select(F.col("from_name").alias("src"), F.col("to_name").alias("dst")))
 
 
+@query()
+def symbol_weights(spark, sf_dir):
+    """The size of the text sections that every section and name of the world holds, the heaviest twenty exactly, the others within the sketches' error."""
+    world = synth.world(spark, sf_dir)
+    own = world.sections.filter("name like '.text%'").select(graph.section_node("module_id", "uid").alias("node"), F.col("size").alias("weight"))
+    return weights.ranked(graph.section_edges(world).select("src", "dst"), own)
+
+
+@query("""WITH RECURSIVE j AS (SELECT DISTINCT 'f' || s_suppkey AS src, 'f' || (s_suppkey * 7 % 400) AS dst FROM supplier UNION SELECT 'g' || c_custkey, 'f' || (c_custkey % 300) FROM customer),
+nodes AS (SELECT src AS node FROM j UNION SELECT dst FROM j),
+far AS (SELECT node AS a, node AS b FROM nodes UNION SELECT f.a, j.dst FROM far f JOIN j ON j.src = f.b)
+SELECT a AS node, sum(length(b))::DOUBLE AS weight FROM far GROUP BY a HAVING count(*) < 64""")
+def jump_weights(spark, sf_dir):
+    """What each forwarding function leads to, cycles included, weighted by the length of names: the nodes whose sketches are whole sets."""
+    edges = jumps(spark, sf_dir).select(F.col("from_name").alias("src"), F.col("to_name").alias("dst"))
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    return weights.estimates(edges, nodes.withColumn("weight", F.length("node"))).filter("exact").select("node", "weight")
+
+
 # Lookups: events as call sites; the source is the user, the section the event type, the symbol the number in props
 
 LOOKUP_STATES = {"click": "CONSTANT", "view": "DYNAMIC", "purchase": "UNDEFINED"}

@@ -40,6 +40,12 @@ def file_at(spark: SparkSession, path: str) -> tuple:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def ensure(spark: SparkSession, path: str) -> None:
+    """Make a folder unless it is there."""
+    store, at = file_at(spark, path)
+    store.mkdirs(at)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``df``; nothing may read it afterwards."""
     path = getattr(df, "_reachlens_path", None)
