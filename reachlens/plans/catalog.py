@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from reachlens.functions import names
 from reachlens.operators import classify, closure, consensus, fingerprint, graph, lattice, resolve, weights
 from reachlens.plans import synth
-from reachlens.runtime import table
-from reachlens.sources import render, text
+from reachlens.runtime import shared_dir, table
+from reachlens.sources import objects, render, text
 from reachlens.streaming import ingest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,6 +245,66 @@ def keep_section(spark, sf_dir):
     return own.filter("kind is not null").select("uid", "kind", names.is_text(F.col("name")).alias("is_text"), names.is_unused_table(F.col("name")).alias("is_table"), names.is_root_section(F.col("name"), F.col("kind"), F.col("size")).alias("is_root"))
 
 
+# Object files and archives
+
+_XOR = "printf('%016x', bit_xor(('0x' || substr({0}, 1, 16))::UBIGINT)) || printf('%016x', bit_xor(('0x' || substr({0}, 17, 16))::UBIGINT))"
+
+
+def object_files(spark, sf_dir) -> DataFrame:
+    """(name, content): a relocatable object for each supplier, with its orders as sections, its parts as symbols, and the first object cut in half once more."""
+    import pyarrow as pa
+
+    def build(group: pa.Table) -> pa.Table:
+        own = group.to_pydict()
+        size: dict[int, int] = {}
+        first: dict[int, int] = {}
+        for ok, pk, quantity in zip(own["ok"], own["pk"], own["quantity"], strict=True):
+            size[ok], first[pk] = size.get(ok, 0) + quantity, min(ok, first.get(pk, ok))
+        at = {ok: k for k, ok in enumerate(sorted(size))}
+        parts = sorted(first, key=lambda pk: (pk % 5 != 0, pk))
+        number = {pk: k for k, pk in enumerate(parts)}
+        symbols = [(f"p{pk}", "LOCAL" if pk % 5 == 0 else "WEAK" if pk % 7 == 0 else "GLOBAL", at[first[pk]] if pk % 3 else None) for pk in parts]
+        content = objects.object_bytes([(f".text.f{ok}", size[ok]) for ok in at], symbols, [(at[ok], number[pk]) for ok, pk in zip(own["ok"], own["pk"], strict=True)], own["marker"][0])
+        return pa.table({"name": [f"o{own['sk'][0]}.o"], "content": pa.array([content], pa.binary())})
+
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sk"), F.col("l_orderkey").alias("ok"), F.col("l_partkey").alias("pk")).agg(F.sum("l_quantity").cast("bigint").alias("quantity"))
+    made = items.withColumn("marker", F.md5(F.col("sk").cast("string"))).groupBy("sk").applyInArrow(build, "name string, content binary")
+    cut = made.filter("name = 'o1.o'").select(F.lit("bad.o").alias("name"), F.expr("substring(content, 1, int(length(content) / 2))").alias("content"))
+    return made.unionByName(cut)
+
+
+@query("""WITH own AS (SELECT l_suppkey AS sk, l_orderkey AS ok, l_partkey AS pk, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL), id AS (SELECT DISTINCT sk, md5(sk::VARCHAR) AS srcid FROM own)
+ SELECT 'o' || sk || '.o' AS path, srcid, 'section' AS kind, '.text.f' || ok AS name, sum(q)::BIGINT AS size, NULL::VARCHAR AS binding, NULL::VARCHAR AS place, NULL::VARCHAR AS target FROM own JOIN id USING (sk) GROUP BY sk, srcid, ok
+ UNION ALL SELECT 'o' || sk || '.o', srcid, 'symbol', 'p' || pk, NULL, CASE WHEN pk % 5 = 0 THEN 'LOCAL' WHEN pk % 7 = 0 THEN 'WEAK' ELSE 'GLOBAL' END, CASE WHEN pk % 3 > 0 THEN 'SECTION' ELSE 'UNDEF' END, CASE WHEN pk % 3 > 0 THEN '.text.f' || min(ok) END FROM own JOIN id USING (sk) GROUP BY sk, srcid, pk
+ UNION ALL SELECT 'o' || sk || '.o', srcid, 'ref', '.text.f' || ok, NULL, NULL, NULL, 'p' || pk FROM own JOIN id USING (sk)
+ UNION ALL SELECT 'bad.o', NULL, 'error', NULL, NULL, NULL, NULL, NULL WHERE EXISTS (SELECT * FROM own WHERE sk = 1)""")
+def object_parts(spark, sf_dir):
+    """Object files written by tasks and read by the data source: sections, symbols with their sections, references with both ends, and the broken file."""
+    import uuid
+
+    folder = f"{shared_dir(spark)}/reachlens-{uuid.uuid4().hex}"
+    objects.write_files(object_files(spark, sf_dir), folder)
+    rows = objects.read_objects(spark, folder).withColumn("path", names.basename(F.col("path")))
+    scn = rows.filter("kind = 'section'").select("path", F.col("ix").alias("section"), F.col("name").alias("scn"))
+    sym = rows.filter("kind = 'symbol'").select("path", F.col("ix").alias("symbol"), F.col("name").alias("sym"))
+    own = rows.filter("kind <> 'section'").join(scn, ["path", "section"], "left").join(sym, ["path", "symbol"], "left")
+    plain = rows.filter("kind = 'section'").select("path", "srcid", "kind", "name", "size", "binding", "place", F.lit(None).cast("string").alias("target"))
+    is_ref = F.col("kind") == "ref"
+    return plain.unionByName(own.select("path", "srcid", "kind", F.when(is_ref, F.col("scn")).otherwise(F.col("name")).alias("name"), "size", "binding", "place", F.when(is_ref, F.col("sym")).otherwise(F.col("scn")).alias("target")))
+
+
+@query(f"""WITH own AS (SELECT doc_id // 20 AS archive, md5(coalesce(text, '')) AS x FROM documents WHERE doc_id % 20 <> 7), ids AS (SELECT archive, count(*) AS n, {_XOR.format("x")} AS x FROM own GROUP BY archive)
+ SELECT a.archive, coalesce(n, 0)::BIGINT AS n_members, coalesce(x, repeat('0', 32)) AS srcid FROM (SELECT DISTINCT doc_id // 20 AS archive FROM documents) a LEFT JOIN ids USING (archive)""")
+def archive_ids(spark, sf_dir):
+    """Twenty documents an archive as its members, of which one has a name that is passed over."""
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("archive"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    name = F.when(F.col("doc_id") % 20 == 7, F.lit("/")).otherwise(F.concat(F.lit("m"), F.col("doc_id") % 20, F.lit(".o/")))
+    size = F.octet_length("text")
+    member = F.concat(F.rpad(name, 48, " "), F.rpad(size.cast("string"), 10, " "), F.lit("`\n"), "text", F.when(size % 2 == 1, "\n").otherwise(""))
+    made = docs.withColumn("member", member).groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("doc_id", "member"))).alias("m"))
+    return objects.archive_ids(made.select("archive", F.concat(F.lit("!<arch>\n"), F.array_join(F.transform("m", lambda x: x["member"]), "")).cast("binary").alias("content")), "archive")
+
+
 # Consensus: parts are sources, a line item is an object of one, with up to three symbols
 
 SQL_VOTES = """obj AS (SELECT DISTINCT l_partkey, l_orderkey, l_returnflag FROM lineitem),
@@ -285,8 +345,6 @@ def consensus_counts(spark, sf_dir):
 
 # Ids
 
-_XOR = "printf('%016x', bit_xor(('0x' || substr({0}, 1, 16))::UBIGINT)) || printf('%016x', bit_xor(('0x' || substr({0}, 17, 16))::UBIGINT))"
-
 
 @query(f"""WITH x AS (SELECT l_suppkey AS module_id, {_XOR.format("md5(l_orderkey::VARCHAR)")} AS x, count(*) AS n FROM lineitem GROUP BY l_suppkey)
  SELECT module_id, CASE WHEN n = 1 THEN substr(x, 1, 30) || printf('%02x', (('0x' || substr(x, 31, 2))::INT + 1) % 256) ELSE x END AS linkid FROM x""")
