@@ -55,8 +55,8 @@ def closure(steps: DataFrame, seeds: DataFrame, keys: list[str], to: list[str])
     return rounds(first, edges, edge_keys, step)
 
 
-def rounds(first: DataFrame, edges: DataFrame, edge_keys: list[str], step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """``first`` and all that repeated steps give; each round's new rows are a folder of their own in the shared folder, which
+def rounds(first: DataFrame, edges: DataFrame, edge_keys: list[str], step: Callable[[DataFrame, DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
+    """``first`` and all that repeated steps give, without what is ``known`` (from which nothing is followed); each round's new rows are a folder of their own in the shared folder, which
     ``runtime.discard`` of the result deletes.
 
     While the frontier and what was seen are small enough to be broadcast, a round neither shuffles the edges nor what was seen: only the new
@@ -65,8 +65,9 @@ def rounds(first: DataFrame, edges: DataFrame, edge_keys: list[str], step: Calla
     spark = first.sparkSession
     root, paths, total = f"{shared_dir(spark)}/reachlens-{uuid.uuid4().hex}", [], 0
     read = lambda p: spark.read.schema(first.schema).parquet(*p)
+    before = None if known is None else known.select(*first.columns)
     with kept_by(edges, edge_keys) as kept:
-        new = first
+        new = first if before is None else first.join(before, first.columns, "left_anti")
         while True:
             path, met = f"{root}/{len(paths)}", Observation()
             new.observe(met, F.count(F.lit(1)).alias("rows")).write.parquet(path)
@@ -82,6 +83,8 @@ def rounds(first: DataFrame, edges: DataFrame, edge_keys: list[str], step: Calla
                 new = led.join(F.broadcast(seen), first.columns, "left_anti").distinct()
             else:
                 new = led.distinct().join(seen, first.columns, "left_anti")
+            if before is not None:
+                new = new.join(before, first.columns, "left_anti")
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -89,6 +92,25 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return closure(edges.select(F.col("src").alias("node"), "dst"), seeds, ["node"], ["dst"])
 
 
+def reach_more(known: DataFrame, edges: DataFrame, new_edges: DataFrame, new_seeds: DataFrame) -> DataFrame:
+    """The nodes that are reached after edges and seeds were added to a graph whose reached nodes are ``known``; those aren't among the result.
+
+    Edges only add nodes, so the first frontier is what the new seeds are and what new edges from known nodes lead to; from there on it is followed over
+    all ``edges`` (the new ones included), and known nodes end the search. The work is the new edges and what becomes reached.
+    """
+    entered = new_edges.join(known, new_edges["src"] == known["node"], "left_semi").select(F.col("dst").alias("node"))
+    first = materialize(new_seeds.select("node").unionByName(entered).dropna().distinct())
+    kept = edges.select(F.col("src").alias("_k0"), F.col("dst").alias("node"))
+
+    def step(frontier: DataFrame, kept: DataFrame) -> DataFrame:
+        met = frontier.select(F.col("node").alias("_f0"))
+        return kept.join(met, F.col("_f0") == F.col("_k0")).select("node")
+
+    out = rounds(first, kept, ["_k0"], step, known)
+    discard(first)
+    return out
+
+
 def signature_closure(base: DataFrame, jumps: DataFrame) -> DataFrame:
     """Base signatures (func, arg_pos) and all functions whose arguments jump functions forward to them."""
     steps = jumps.select(F.col("to_name").alias("func"), F.col("to_arg").alias("arg_pos"), "from_name", "from_arg")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reachlens.functions import names
 from reachlens.operators import classify, closure, consensus, fingerprint, graph, lattice, resolve, weights
 from reachlens.plans import synth
-from reachlens.runtime import shared_dir, table
+from reachlens.runtime import materialize, shared_dir, table
 from reachlens.sources import objects, render, text
 from reachlens.streaming import ingest
 
@@ -30,6 +31,11 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{shared_dir(spark)}/reachlens-{uuid.uuid4().hex}"
+
+
 # The closed world: graph, reachability, verdicts
 
 
@@ -65,6 +71,18 @@ def reached_names(spark, sf_dir):
     return reached(spark, sf_dir).filter("node like 'n/%'").select(F.substring("node", F.lit(3), F.length("node")).alias("name"))
 
 
+@query(synth.SQL_REACH + " SELECT node FROM hit")
+def reached_by_increment(spark, sf_dir):
+    """What is reached after the edges of every fourth order came later: the marks without them, and what the new edges add."""
+    world = synth.world(spark, sf_dir)
+    edges = materialize(graph.section_edges(world).select("src", "dst"))
+    late = F.regexp_extract("src", "^s/[0-9]+/([0-9]+)-", 1).try_cast("bigint") % 4 == 0  # edges of names were there before
+    late = F.coalesce(late, F.lit(False))
+    known = materialize(closure.reach(edges.filter(~late), graph.seeds(world, world.symbols)))
+    more = closure.reach_more(known, edges, edges.filter(late), known.limit(0))
+    return known.unionByName(more)
+
+
 @query("WITH " + synth.SQL_SECTIONS + " SELECT sk, pk, ok, rf, size FROM def")
 def winner_definition(spark, sf_dir):
     return synth.definitions(synth.sections(spark, sf_dir)).select("sk", "pk", "ok", "rf", "size")
@@ -245,6 +263,55 @@ def keep_section(spark, sf_dir):
     return own.filter("kind is not null").select("uid", "kind", names.is_text(F.col("name")).alias("is_text"), names.is_unused_table(F.col("name")).alias("is_table"), names.is_root_section(F.col("name"), F.col("kind"), F.col("size")).alias("is_root"))
 
 
+# Text forms written, read back, and turned into assembly
+
+
+@query(synth.SQL_VERDICTS + " SELECT md5(module_id::VARCHAR) AS linkid, name::VARCHAR AS name, class FROM verdict WHERE class IS NOT NULL")
+def merge_text(spark, sf_dir):
+    """The verdicts of the world as verdict files, read back."""
+    world, folder = synth.world(spark, sf_dir), scratch(spark)
+    render.verdict_texts(classify.verdicts(world), world.modules).select(render.block_lines(F.col("value"))).write.text(folder)
+    return text.read_verdicts(spark, folder).select("linkid", "name", "class")
+
+
+@query(synth.SQL_VERDICTS + """, own AS (SELECT md5(module_id::VARCHAR) AS linkid, name || CASE WHEN name % 3 = 0 THEN '@@V1' WHEN name % 3 = 1 THEN '@V0' ELSE '' END AS name, name % 4 = 0 AS tls FROM verdict WHERE class IS NOT NULL),
+ plain AS (SELECT *, CASE WHEN contains(name, '@') THEN '__privplug_' || regexp_replace(name, '@', '_') ELSE name END AS p FROM own)
+ SELECT linkid, '.int ' || p || '-.' || chr(10) || '.hidden ' || p || CASE WHEN tls THEN chr(10) || '.type ' || p || ' STT_TLS' ELSE '' END || CASE WHEN contains(name, '@') THEN chr(10) || '.symver ' || p || ',' || name ELSE '' END AS value FROM plain
+ UNION ALL SELECT md5(sk::VARCHAR), v FROM (SELECT DISTINCT sk FROM sec), (VALUES ('.section .note.GNU-stack,"",%progbits'), ('.section .__privplug_refs,"e",%progbits')) t(v)""")
+def assembly_text(spark, sf_dir):
+    """Verdict files in, every module's assembly out: versioned and thread-local names in turn."""
+    world, folder = synth.world(spark, sf_dir), scratch(spark)
+    k = F.col("name").cast("bigint")
+    found = classify.verdicts(world).withColumns({"tls": F.when(k % 4 == 0, "T").otherwise("_"), "name": F.concat("name", F.when(k % 3 == 0, "@@V1").when(k % 3 == 1, "@V0").otherwise(""))})
+    render.verdict_texts(found, world.modules).select(render.block_lines(F.col("value"))).write.text(folder)
+    return render.assembly(text.verdict_blocks(spark, folder)).select("linkid", "value")
+
+
+@query("WITH " + synth.SQL_SECTIONS + """ SELECT md5(sk::VARCHAR) AS linkid, n_sections, size, n_used, n_symbols, n_undefined, n_refs FROM (SELECT sk, count(*) AS n_sections, sum(size)::BIGINT AS size FROM sec GROUP BY sk)
+ LEFT JOIN (SELECT sk, count(*) AS n_used FROM sec JOIN orders ON o_orderkey = ok WHERE sk % 10 = 0 AND o_orderpriority = '1-URGENT' GROUP BY sk) USING (sk)
+ LEFT JOIN (SELECT sk, count(*) AS n_symbols, count(*) FILTER (u) AS n_undefined FROM (SELECT sk, false AS u FROM def UNION ALL SELECT sk, true FROM und) GROUP BY sk) USING (sk) LEFT JOIN (SELECT sk, count(*) AS n_refs FROM ref GROUP BY sk) USING (sk)""")
+def module_text(spark, sf_dir):
+    """The world as module files, read back into its tables."""
+    world, folder = synth.world(spark, sf_dir), scratch(spark)
+    number = world.sections.select("module_id", "uid", "name", "size", "used", (F.row_number().over(Window.partitionBy("module_id").orderBy("uid")) - 1).alias("ix"))
+    sections = number.groupBy("module_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ix").alias("uid"), "used", "size", "name", F.array().cast("array<int>").alias("deps")))).alias("sections"))
+    at = lambda uid: number.select("module_id", F.col("uid").alias(uid), F.col("ix").alias(f"{uid}_ix"))
+    refs = world.refs.join(at("uid"), ["module_id", "uid"]).groupBy("module_id", "sym_ix").agg(F.collect_list("uid_ix").alias("revdeps"))
+    symbols = world.symbols.join(at("def_uid"), ["module_id", "def_uid"], "left").join(refs, ["module_id", "sym_ix"], "left")
+    symbol = F.struct(F.col("sym_ix").cast("int").alias("sym_ix"), "weak", "vis", "tls", F.col("def_uid_ix").alias("def_uid"), "name", F.coalesce("revdeps", F.array().cast("array<int>")).alias("revdeps"))
+    nested = world.modules.join(sections, "module_id").join(symbols.groupBy("module_id").agg(F.sort_array(F.collect_list(symbol)).alias("symbols")), "module_id", "left")
+    nested = nested.select("kind", "name", F.lit("_start").alias("entrypoint"), "linkid", F.array(F.struct(F.lit(0).cast("bigint").alias("offset"), F.lit("/m.o").alias("path"), F.col("linkid").alias("srcid"), "sections")).alias("objects"), F.coalesce("symbols", F.array().cast(symbols.select(F.array(symbol)).schema[0].dataType)).alias("symbols"))
+    objects.write_files(render.module_texts(nested).select(F.concat(F.lit("deps-"), "linkid").alias("name"), F.col("value").cast("binary").alias("content")), folder)
+    back = text.world_of(text.read_modules(spark, folder))
+    own = back.modules.select("module_id", "linkid")
+    count = lambda rows, *aggs: rows.groupBy("module_id").agg(*aggs)
+    for part in (
+        count(back.sections, F.count("*").alias("n_sections"), F.sum("size").alias("size"), F.nullif(F.count_if("used"), F.lit(0)).alias("n_used")),
+        count(back.symbols, F.count("*").alias("n_symbols"), F.count_if(F.col("weak") == "U").alias("n_undefined")), count(back.refs, F.count("*").alias("n_refs"))):
+        own = own.join(part, "module_id", "left")
+    return own.drop("module_id")
+
+
 # Object files and archives
 
 _XOR = "printf('%016x', bit_xor(('0x' || substr({0}, 1, 16))::UBIGINT)) || printf('%016x', bit_xor(('0x' || substr({0}, 17, 16))::UBIGINT))"
@@ -280,9 +347,7 @@ def object_files(spark, sf_dir) -> DataFrame:
  UNION ALL SELECT 'bad.o', NULL, 'error', NULL, NULL, NULL, NULL, NULL WHERE EXISTS (SELECT * FROM own WHERE sk = 1)""")
 def object_parts(spark, sf_dir):
     """Object files written by tasks and read by the data source: sections, symbols with their sections, references with both ends, and the broken file."""
-    import uuid
-
-    folder = f"{shared_dir(spark)}/reachlens-{uuid.uuid4().hex}"
+    folder = scratch(spark)
     objects.write_files(object_files(spark, sf_dir), folder)
     rows = objects.read_objects(spark, folder).withColumn("path", names.basename(F.col("path")))
     scn = rows.filter("kind = 'section'").select("path", F.col("ix").alias("section"), F.col("name").alias("scn"))
@@ -328,6 +393,16 @@ def consensus_strict(spark, sf_dir):
     return consensus.consensus(*votes(spark, sf_dir), hidden_only=False)
 
 
+@query("WITH " + SQL_VOTES + f" SELECT srcid, name, {_CLASS} AS class FROM cons")
+def consensus_text(spark, sf_dir):
+    """The strict consensus as consensus files, read back."""
+    folder = scratch(spark)
+    agreed = consensus.consensus(*votes(spark, sf_dir), hidden_only=False)
+    places = table(spark, sf_dir, "part").select(F.md5(F.col("p_partkey").cast("string")).alias("srcid"), F.concat(F.lit("/src/"), "p_partkey", F.lit(".o")).alias("path"), F.lit(0).alias("module_id"), F.lit(0).alias("obj_ix"))
+    render.consensus_texts(agreed, places).select(render.block_lines(F.col("value"))).write.text(folder)
+    return text.read_consensus(spark, folder).select("srcid", "name", "class")
+
+
 @query("WITH " + SQL_VOTES + " SELECT srcid, name, 'HIDDEN' AS class, cnt FROM cons")
 def consensus_hidden_only(spark, sf_dir):
     return consensus.consensus(*votes(spark, sf_dir))
@@ -353,6 +428,26 @@ def module_fingerprint(spark, sf_dir):
     return fingerprint.link_ids(inputs)
 
 
+_PLUS = "CASE WHEN n = 1 THEN substr(x, 1, 30) || printf('%02x', (('0x' || substr(x, 31, 2))::INT + 1) % 256) ELSE x END"
+
+
+@query(f"""WITH a AS (SELECT sk, g, {_PLUS} AS id FROM (SELECT l_suppkey AS sk, l_partkey % 10 AS g, {_XOR.format("md5(l_orderkey::VARCHAR)")} AS x, count(*) AS n FROM lineitem GROUP BY ALL)),
+ b AS (SELECT sk, {_PLUS} AS id FROM (SELECT sk, {_XOR.format("id")} AS x, count(*) AS n FROM a GROUP BY sk)), leaf AS (SELECT id, sk % 20 AS k FROM b UNION ALL SELECT DISTINCT md5('c' || sk % 20), sk % 20 FROM b),
+ c AS (SELECT k, {_PLUS} AS id FROM (SELECT k, {_XOR.format("id")} AS x, count(*) AS n FROM leaf GROUP BY k))
+ SELECT 'a' || sk || '-' || g AS module_id, id AS linkid FROM a UNION ALL SELECT 'b' || sk, id FROM b UNION ALL SELECT 'c' || k, id FROM c""")
+def composed_ids(spark, sf_dir):
+    """Line items linked into parts' objects, these into suppliers' objects, and these, with a source of their own, into twenty modules."""
+    items = table(spark, sf_dir, "lineitem")
+    a = F.concat(F.lit("a"), "l_suppkey", F.lit("-"), F.col("l_partkey") % 10)
+    b, c = F.concat(F.lit("b"), "l_suppkey"), F.concat(F.lit("c"), F.col("l_suppkey") % 20)
+    none = F.lit(None).cast("string")
+    leaves = items.select(a.alias("module_id"), F.md5(F.col("l_orderkey").cast("string")).alias("srcid"), none.alias("made_by"))
+    inner = items.select(b.alias("module_id"), none.alias("srcid"), a.alias("made_by")).distinct()
+    outer = items.select(c.alias("module_id"), none.alias("srcid"), b.alias("made_by")).distinct()
+    own = items.select(c.alias("module_id"), F.md5(c).alias("srcid"), none.alias("made_by")).distinct()
+    return fingerprint.composed_ids(leaves.unionByName(inner).unionByName(outer).unionByName(own))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md5('marker' || doc_id) ELSE md5(coalesce(text, '')) END AS srcid FROM documents")
 def object_ids(spark, sf_dir):
     marker = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(names.MARKER_PREFIX), F.md5(F.concat(F.lit("marker"), F.col("doc_id").cast("string"))))).otherwise(".text")
@@ -593,6 +688,44 @@ def late_rows_next_snapshot(spark, sf_dir):
     return ingest.snapshots(table(spark, sf_dir, "events"), "ts", ["2024-01-15 00:00:00"]).groupBy("snapshot").agg(F.count("*").alias("n"))
 
 
+def _early(sql: str) -> str:
+    return sql.replace("FROM lineitem", "FROM (SELECT * FROM lineitem WHERE l_suppkey % 9 <> 0)")
+
+
+_BY_CLASS = synth.SQL_VERDICTS + " SELECT module_id, class, count(*) AS n FROM verdict WHERE class IS NOT NULL GROUP BY ALL"
+
+
+@query(f"SELECT 1 AS snapshot, * FROM ({_early(_BY_CLASS)}) UNION ALL SELECT 2, * FROM ({_BY_CLASS})")
+def verdicts_by_snapshot(spark, sf_dir):
+    """Every ninth supplier's module arrives after the first cut: it has no verdicts in that snapshot, and the others' may differ in the next. Each snapshot is
+    evaluated once and read twice."""
+    at = scratch(spark)
+    out = None
+    for number, only in ((1, "l_suppkey % 9 <> 0"), (2, "true")):
+        ingest.freeze(spark, lambda: synth.made(spark, sf_dir, materialize, only), f"{at}/{number}")  # noqa: B023 evaluated here
+        found, _ = ingest.freeze(spark, lambda: None, f"{at}/{number}")  # published: nothing is evaluated
+        own = found.groupBy("module_id", "class").agg(F.count("*").alias("n")).select(F.lit(number).alias("snapshot"), "module_id", "class", "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("WITH " + SQL_VOTES + """, ask AS (SELECT CASE WHEN event_type = 'click' THEN 'E' ELSE 'S' END AS kind, md5(user_id::VARCHAR) AS id FROM events),
+ known AS (SELECT DISTINCT 'E' AS kind, md5(l_suppkey::VARCHAR) AS id, l_partkey AS name FROM lineitem UNION ALL SELECT 'S', srcid, 0 FROM cons)
+ SELECT kind, id, count(*) AS n_replies, count(name) AS n_verdicts FROM ask LEFT JOIN known USING (kind, id) GROUP BY kind, id""")
+def answered_questions(spark, sf_dir):
+    """Events as questions about a supplier's module or a part's source, answered by a stream that is started three times: before and after the second half
+    of the questions lands, and once more with nothing new."""
+    base = scratch(spark)
+    asked = table(spark, sf_dir, "events").select(F.concat(F.when(F.col("event_type") == "click", "E ").otherwise("S "), F.md5(F.col("user_id").cast("string"))).alias("value"), (F.col("event_id") % 2 == 0).alias("first"))
+    verdicts = materialize(table(spark, sf_dir, "lineitem").select(F.md5(F.col("l_suppkey").cast("string")).alias("linkid"), F.lit("ELIM").alias("class"), F.col("l_partkey").cast("string").alias("name")).distinct())
+    agreed = materialize(consensus.consensus(*votes(spark, sf_dir), hidden_only=False))
+    for half in ("first", "not first", None):
+        if half:
+            asked.filter(half).select("value").write.mode("append").text(f"{base}/ask")
+        ingest.answer(spark, base, verdicts, agreed, f"{base}/replies", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/replies").groupBy("kind", "id").agg(F.count("*").alias("n_replies"), F.count("class").alias("n_verdicts"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

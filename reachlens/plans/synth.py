@@ -17,8 +17,8 @@ from reachlens.runtime import materialize, stands, table
 from reachlens.schema import World
 
 
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem")
+def sections(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").filter(only)
     return items.groupBy(F.col("l_orderkey").alias("ok"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk")).agg(
         F.min("l_returnflag").alias("rf"), F.min("l_linestatus").alias("ls"), F.sum("l_quantity").cast("bigint").alias("size"))
 
@@ -49,8 +49,9 @@ def world(spark: SparkSession, sf_dir: str, write: bool = True) -> World:
     return _worlds[key]
 
 
-def made(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFrame]) -> World:
-    own = keep(sections(spark, sf_dir))
+def made(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFrame], only: str = "true") -> World:
+    """The world of the line items where ``only`` holds; ``keep`` writes the large tables, or doesn't."""
+    own = keep(sections(spark, sf_dir, only))
     uid = lambda ok, pk: F.concat_ws("-", ok, pk)
     roots = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("ok")).distinct().withColumn("urgent", F.lit(True))
     defined = definitions(own).select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,42 @@ def file_at(spark: SparkSession, path: str) -> tuple:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+_publishing = threading.Lock()  # a local file system's rename looks and moves in two steps
+
+
+def published(spark: SparkSession, path: str) -> str | None:
+    """The text that stands at ``path``, None if there is none; any other failure to read is an error."""
+    store, at = file_at(spark, path)
+    if not store.exists(at):
+        return None
+    stream = store.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, path: str, text: str) -> str:
+    """Put ``text`` at ``path`` unless something stands there, by writing aside and renaming without overwriting; gives what stands there then."""
+    store, at = file_at(spark, path)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = store.create(aside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs = spark._jvm.org.apache.hadoop.fs
+    none = spark._sc._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    none[0] = getattr(fs, "Options$Rename").NONE
+    with _publishing:
+        if not store.exists(at):
+            try:
+                fs.FileContext.getFileContext(store.getUri(), spark._jsc.hadoopConfiguration()).rename(aside, at, none)
+            except Exception:  # another session was first: what it put there counts
+                if not store.exists(at):
+                    raise
+    store.delete(aside, False)
+    return published(spark, path)
+
+
 def ensure(spark: SparkSession, path: str) -> None:
     """Make a folder unless it is there."""
     store, at = file_at(spark, path)

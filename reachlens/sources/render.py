@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachlens.functions.names import alias_of, basename
+from reachlens.sources.text import block_rows
 
 
 def lines(*parts: Column, sep: str = " ") -> Column:
@@ -74,12 +75,34 @@ def consensus_texts(consensus: DataFrame, objects: DataFrame) -> DataFrame:
     return lists.select("srcid", block(F.concat_ws(" ", *(F.size(v).cast("string") for _, v in own)), own, "").alias("value"))
 
 
+#: What the assembly of every module begins with.
+ASSEMBLY_HEAD = ('.section .note.GNU-stack,"",%progbits', '.section .__privplug_refs,"e",%progbits')
+
+
 def hide_assembly(verdicts: DataFrame) -> DataFrame:
-    """Assembly lines for every symbol of a module's verdict: hidden, typed if thread-local, an alias if versioned."""
+    """Assembly lines for every symbol of a module's verdict: hidden, typed if thread-local, an alias if versioned. The module's link id comes
+    along, or its number if the rows have none."""
+    key = "linkid" if "linkid" in verdicts.columns else "module_id"
     plain, name = alias_of(F.col("name")), F.col("name")
     typed = F.when(F.col("tls") == "T", F.concat(F.lit(".type "), plain, F.lit(" STT_TLS\n"))).otherwise("")
     versioned = F.when(F.contains(name, F.lit("@")), F.concat(F.lit(".symver "), plain, F.lit(","), name, F.lit("\n"))).otherwise("")
-    return verdicts.select("module_id", "name", F.concat(F.lit(".int "), plain, F.lit("-.\n.hidden "), plain, F.lit("\n"), typed, versioned).alias("value"))
+    return verdicts.select(key, "name", F.concat(F.lit(".int "), plain, F.lit("-.\n.hidden "), plain, F.lit("\n"), typed, versioned).alias("value"))
+
+
+def assembly(blocks: DataFrame) -> DataFrame:
+    """(linkid, k, value): the assembly of each module of verdict blocks, in the order of k: its two section lines, then its symbols' lines."""
+    heads = blocks.select("linkid", F.posexplode(F.array(*map(F.lit, ASSEMBLY_HEAD))).alias("k", "value")).withColumn("name", F.lit(""))
+    body = hide_assembly(block_rows(blocks)).select("linkid", F.lit(len(ASSEMBLY_HEAD)).alias("k"), F.regexp_replace("value", r"\n\z", "").alias("value"), "name")
+    return heads.unionByName(body).select("linkid", "k", "name", "value")
+
+
+def reply_assembly(blocks: DataFrame, linkid: str) -> DataFrame:
+    """The assembly of one module, its lines in order (column value). The job fails if there is no block of that link id."""
+    own = blocks.filter(F.col("linkid") == linkid)
+    found = own.agg(F.count("*").alias("n"))
+    # an empty aggregate still has a row, whose value can't be had
+    check = found.filter("n = 0").select(F.lit(linkid).alias("linkid"), F.lit(-1).alias("k"), F.lit("").alias("name"), F.raise_error(F.concat(F.lit(f"could not find linkid {linkid} in "), "n", F.lit(" blocks"))).cast("string").alias("value"))
+    return assembly(own).unionByName(check).orderBy("k", "name").select("value")
 
 
 def graphviz(edges: DataFrame, label: str) -> DataFrame:

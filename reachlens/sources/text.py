@@ -134,9 +134,8 @@ def option_signatures(options: DataFrame) -> DataFrame:
     return options.filter(F.rlike("value", F.lit(OPTION))).select(F.regexp_extract("value", OPTION, 1).alias("func"), F.regexp_extract("value", OPTION, 2).cast("int").alias("arg_pos"))
 
 
-def read_verdicts(spark: SparkSession, paths: str | list[str], linkid: str | None = None) -> DataFrame:
-    """Rows of verdict files: linkid, class, obj, srcid, srcid_cnt, tls, name. Of equal link ids in a file the first block
-    counts; with ``linkid``, only its block."""
+def verdict_blocks(spark: SparkSession, paths: str | list[str], linkid: str | None = None) -> DataFrame:
+    """(file, linkid, b: head and lines) of verdict files. Of equal link ids in a file the first block counts; with ``linkid``, only its block."""
     whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
     # a block begins at a line of four counts and an id
     blocks = whole.select("file", F.posexplode(F.split("value", r"(?m)(?=^\d+ \d+ \d+ \d+ \S+$)")).alias("at", "block")).filter(F.length(F.trim("block")) > 0)
@@ -144,7 +143,16 @@ def read_verdicts(spark: SparkSession, paths: str | list[str], linkid: str | Non
     blocks = blocks.select("file", "at", head[4].alias("linkid"), head.alias("head"), F.filter(F.split("block", "\n"), lambda x: x != "").alias("lines"))
     if linkid is not None:
         blocks = blocks.filter(F.col("linkid") == linkid)
-    first = blocks.groupBy("file", "linkid").agg(F.min_by(F.struct("head", "lines"), "at").alias("b"))
+    return blocks.groupBy("file", "linkid").agg(F.min_by(F.struct("head", "lines"), "at").alias("b"))
+
+
+def read_verdicts(spark: SparkSession, paths: str | list[str], linkid: str | None = None) -> DataFrame:
+    """Rows of verdict files: linkid, class, obj, srcid, srcid_cnt, tls, name; see ``verdict_blocks``."""
+    return block_rows(verdict_blocks(spark, paths, linkid))
+
+
+def block_rows(first: DataFrame) -> DataFrame:
+    """The rows of verdict blocks."""
     rows = first.select("linkid", "b.head", F.posexplode("b.lines").alias("i", "line")).filter("i > 0")
     upto = lambda k: sum((F.col("head")[j].cast("int") for j in range(k)), F.lit(0))
     kind = F.when(F.col("i") <= upto(1), "ELIM").when(F.col("i") <= upto(2), "LOCAL").when(F.col("i") <= upto(3), "HIDDEN").otherwise("UNDEF")

@@ -3,17 +3,21 @@
 Nothing is evaluated while messages arrive. A snapshot is frozen by its time: its verdicts are computed when they are first asked for,
 out of what had arrived by then, and read from then on; what arrives later is stored, and belongs to the next snapshot. Queries about
 a module or source that a snapshot doesn't hold give no rows.
+
+Questions about modules and sources land as messages too: a stream joins them with a frozen snapshot and writes the replies, each question's once.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reachlens.operators import classify, closure, consensus
-from reachlens.runtime import discard, materialize
+from reachlens.runtime import discard, materialize, publish, published
 from reachlens.schema import World
 from reachlens.sources import text
 
@@ -83,17 +87,58 @@ def snapshots(rows: DataFrame, time: str, cuts: list[str]) -> DataFrame:
 def frozen(messages: DataFrame, cut: str, path: str, hidden_only: bool = True) -> tuple[DataFrame, DataFrame]:
     """(verdicts with linkid, consensus) of what arrived up to ``cut``, kept below ``path``: evaluated at the first call for a cut only,
     however many messages come afterwards."""
-    spark, at = messages.sparkSession, f"{path}/{cut.translate(str.maketrans(' :', 'T-'))}"
-    read = lambda: tuple(spark.read.parquet(f"{at}/{part}") for part in ("verdicts", "consensus"))
-    try:
-        return read()
-    except AnalysisException:  # not there yet
-        own = world(messages.filter(F.col("_arrived") <= F.lit(cut).cast("timestamp")))
-    found = materialize(classify.verdicts(own))
-    found.join(own.modules.select("module_id", "linkid"), "module_id").write.mode("overwrite").parquet(f"{at}/verdicts")
-    consensus.consensus(found, consensus.source_totals(own.objects), hidden_only).write.mode("overwrite").parquet(f"{at}/consensus")
-    discard(found)
-    return read()
+    at = f"{path}/{cut.translate(str.maketrans(' :', 'T-'))}"
+    return freeze(messages.sparkSession, lambda: world(messages.filter(F.col("_arrived") <= F.lit(cut).cast("timestamp"))), at, hidden_only)
+
+
+def freeze(spark: SparkSession, evaluate: Callable[[], World], at: str, hidden_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(verdicts with linkid, consensus) of the world that ``evaluate`` gives, published once at ``at``.
+
+    An evaluation writes into an attempt's folder of its own; the manifest, put in place by a rename that never overwrites, names the attempt that counts. Of
+    several first readers the first to publish decides, all read its attempt, and the others' are deleted; a failed attempt or a failed
+    reading publishes nothing.
+    """
+    chosen = published(spark, f"{at}/manifest")
+    if chosen is None:
+        own, attempt = evaluate(), f"attempt-{uuid.uuid4().hex}"
+        found = materialize(classify.verdicts(own))
+        verdicts = found.join(own.modules.select("module_id", "linkid"), "module_id")
+        agreed = consensus.consensus(found, consensus.source_totals(own.objects), hidden_only)
+        for part, rows in (("verdicts", verdicts), ("consensus", agreed)):
+            rows.write.parquet(f"{at}/{attempt}/{part}")
+        discard(found)
+        chosen = publish(spark, f"{at}/manifest", attempt)
+        if chosen != attempt:
+            verdicts._reachlens_path = f"{at}/{attempt}"
+            discard(verdicts)
+    return tuple(spark.read.parquet(f"{at}/{chosen}/{part}") for part in ("verdicts", "consensus"))
+
+
+#: Questions as lines: the kind (E: the verdicts of a module by its link id, S: what a source's links agree on) and the id.
+QUESTION = r"^([ES]) ?(\S+)$"
+
+
+def parse_questions(lines: DataFrame) -> DataFrame:
+    """(kind, id) of question lines; lines of another form are no questions."""
+    own = lines.filter(F.rlike("value", F.lit(QUESTION)))
+    return own.select(F.regexp_extract("value", QUESTION, 1).alias("kind"), F.regexp_extract("value", QUESTION, 2).alias("id"), *text.carried(lines))
+
+
+def replies(questions: DataFrame, verdicts: DataFrame, agreed: DataFrame) -> DataFrame:
+    """(kind, id, class, name, and the questions' carried columns): a row for each verdict of each question; one with a null class for
+    a module or source that the snapshot doesn't hold."""
+    known = verdicts.select(F.lit("E").alias("kind"), F.col("linkid").alias("id"), "class", "name").unionByName(agreed.select(F.lit("S").alias("kind"), F.col("srcid").alias("id"), "class", "name"))
+    return questions.join(known, ["kind", "id"], "left")
+
+
+def answer(spark: SparkSession, folder: str, verdicts: DataFrame, agreed: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
+    """Answers the questions that landed in ``folder``/ask out of a frozen snapshot; reads what is there, then stops. A restart goes on after the last
+    answered batch, and a batch that is repeated after a failure replaces its own replies, so each question is answered once."""
+
+    def reply(batch: DataFrame, number: int) -> None:
+        replies(parse_questions(batch), verdicts, agreed).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+
+    return landed(spark, folder, "ask").writeStream.foreachBatch(reply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def module_verdicts(verdicts: DataFrame, linkid: str) -> DataFrame:
