@@ -303,7 +303,7 @@ def store(payloads: list[bytes]) -> list[bytes]:
 def average_hash(thumb: np.ndarray) -> str:
     """64 bits in hex: is the mean of each cell of an 8 x 8 grid over the thumbnail above the mean of all?"""
     rows, cols = (np.arange(8) * n // 8 for n in thumb.shape)
-    sums = np.add.reduceat(np.add.reduceat(thumb.astype(np.int64), rows, 0), cols, 1)
+    sums = np.add.reduceat(np.add.reduceat(thumb, rows, 0, dtype=np.int64), cols, 1)
     h = np.diff(np.append(rows, thumb.shape[0])).clip(1)
     w = np.diff(np.append(cols, thumb.shape[1])).clip(1)
     bits = sums * thumb.size > int(thumb.sum(dtype=np.int64)) * np.outer(h, w)

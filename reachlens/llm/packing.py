@@ -35,8 +35,8 @@ from reachlens.llm.text import runs
 TIERS = (128, 256, 512, 1024)
 #: Ids waiting in the tiers before a round of packing, and ids in a step group.
 POOL, STEP = 1 << 16, 1 << 13
-#: Words remembered by a worker at most; further ones are encoded again in each slice of texts, of about so many bytes, that has them.
-MEMO, SLICE = 100_000, 1 << 20
+#: Words remembered by a worker at most, and characters of them; further ones are encoded again in each slice of texts, of about so many bytes, that has them.
+MEMO, MEMO_CHARS, SLICE = 100_000, 2_000_000, 1 << 20
 END_ID = 0
 
 
@@ -60,6 +60,7 @@ class Ids:
         self.across = sorted({x.decode("utf-8", "ignore") for x in inner if b"  " not in x} - {""})
         self.by_word = self.by_word and all(x.encode() in inner and " " in x[1:] for x in self.across)
         self.number: dict[str, int] = {}  # the words remembered
+        self.chars = 0  # and their characters
         # their ids, where each one's begin, and how many they are
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -112,7 +113,9 @@ class Ids:
         known = len(self.sizes)
         at[at < 0] = known + np.arange(len(new))
         flat, starts, sizes = np.concatenate([self.flat, flat]), np.concatenate([self.starts, starts + len(self.flat)]), np.concatenate([self.sizes, sizes])
-        if room := min(MEMO - known, len(new)):
+        lengths = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        if room := max(0, min(MEMO - known, int(np.searchsorted(lengths, MEMO_CHARS - self.chars, "right")))):
+            self.chars += int(lengths[room - 1])
             self.number.update(zip(new[:room], range(known, known + room), strict=True))
             self.flat, self.starts, self.sizes = flat, starts[: known + room].copy(), sizes[: known + room].copy()
         later = np.ones(len(index), bool)

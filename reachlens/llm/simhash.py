@@ -137,6 +137,23 @@ def near(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MOST_BITS
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(lf, lc, rf, rc): fingerprints (fp, comp) of different components where the first looks up a key that lists the second; no link
+    between components is left out, since both ends of one look for each other.
+
+    In each list the component with the most fingerprints is its main one. What is of that component itself meets only the list's others, and what isn't
+    meets all of it, so a dense group in which some strangers are listed doesn't meet itself.
+    """
+    listed = keyed(nodes, look_up=False)
+    sizes = listed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+    right = listed.join(sizes, "key")
+    whole, others = right.withColumn("only", F.lit(False)), right.filter("comp <> main").withColumn("only", F.lit(True))
+    right = whole.unionByName(others).select("key", "only", F.col("fp").alias("rf"), F.col("comp").alias("rc"))
+    # a list of one component has nothing for a fingerprint of the same
+    left = keyed(nodes, look_up=True).join(sizes, "key").filter("comps > 1 or comp <> main").select("key", (F.col("comp") == F.col("main")).alias("only"), F.col("fp").alias("lf"), F.col("comp").alias("lc"))
+    return left.join(right, ["key", "only"]).filter("lf < rf and lc <> rc").select("lf", "lc", "rf", "rc")
+
+
 def link_fingerprints(fps: DataFrame) -> DataFrame:
     """(node, root): the fingerprints (distinct, column fp) that have a smaller one in their component, and the smallest."""
     nodes = fps.select("fp", F.col("fp").alias("comp"))
@@ -146,13 +163,7 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     stars = held.filter(near("fp", "to")).select(F.col("fp").alias("a"), F.col("to").alias("b"))
     first = connected(stars)
     nodes = materialize(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("comp")))
-    right = keyed(nodes, look_up=False)
-    # a list whose fingerprints are all of one component has nothing for a fingerprint of the same, so a dense group doesn't meet itself
-    lists = right.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    left = keyed(nodes, look_up=True).join(lists, "key").filter((F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("comp"))).select("key", "fp", "comp").alias("l")
-    right = right.alias("r")
-    close = (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp")) & (F.col("l.comp") != F.col("r.comp")) & near("l.fp", "r.fp")
-    links = left.join(right, close).select(F.least("l.comp", "r.comp").alias("a"), F.greatest("l.comp", "r.comp").alias("b")).distinct()
+    links = candidates(nodes).filter(near("lf", "rf")).select(F.least("lc", "rc").alias("a"), F.greatest("lc", "rc").alias("b")).distinct()
     second = connected(links)
     discard(first)
     out = nodes.join(second, nodes["comp"] == second["node"], "left").select(F.col("fp").alias("node"), F.coalesce(second["root"], nodes["comp"]).alias("root"))

@@ -7,7 +7,7 @@ counted directly. Only the other pre-tokens go through the library's merges, eac
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); texts with runs of spaces, a leading or trailing
 space, the space mark itself or a NUL are encoded whole by the library; repeated rows give repeated results; an empty
-table gives an empty one.
+table gives an empty one. Texts of any length are counted whole, each in one piece; only the id and the text are read, so further columns can't clash.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from reachlens.llm import memo
 from reachlens.llm.text import map_texts
 
 MARK = "▁"
-#: Pre-tokens remembered by a worker at most; beyond, it starts anew.
-MEMO = 400_000
+#: Pre-tokens remembered by a worker at most, and characters of them; beyond, it starts anew. Longer pre-tokens than LONG are counted each time.
+MEMO, MEMO_CHARS, LONG = 400_000, 4_000_000, 64
 
 
 @functools.lru_cache(2)
@@ -51,7 +51,28 @@ def memory(path: str) -> dict[str, int]:
     return dict.fromkeys(prove(path) or (), 1)
 
 
+@functools.lru_cache(2)
+def held(path: str) -> list[int]:
+    """How many characters of pre-tokens are remembered beyond the proven ones."""
+    return [0]
+
+
 memo.remembers("token_counts", memory.cache_clear)
+memo.remembers("token_counts", held.cache_clear)
+
+
+def trim(path: str, new: list[str]) -> None:
+    """After ``new`` pre-tokens were learned: forgets the long ones, and all but the proven ones where they are too many."""
+    known = memory(path)
+    for w in new:
+        if len(w) > LONG:
+            del known[w]
+        else:
+            held(path)[0] += len(w)
+    if len(known) > MEMO or held(path)[0] > MEMO_CHARS:
+        known.clear()
+        known.update(dict.fromkeys(prove(path) or (), 1))
+        held(path)[0] = 0
 
 
 @functools.lru_cache(2)
@@ -83,13 +104,11 @@ def count_texts(texts: list[str], path: str) -> list[int]:
             split.append((i, x.split(" ")))
         else:
             out[i] = 0
-    if len(known) > MEMO:
-        known.clear()
-        known.update(dict.fromkeys(prove(path) or (), 1))
     rest = list({w for _, words in split for w in words if w not in known})
     known.update(zip(rest, merge(rest, path), strict=True))
     for i, words in split:
         out[i] = sum(map(known.__getitem__, words))
+    trim(path, rest)
     for i, ids in zip(whole, sp.encode([texts[i] for i in whole], num_threads=1), strict=True):
         out[i] = len(ids)
     return out

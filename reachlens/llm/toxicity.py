@@ -35,8 +35,8 @@ SAMPLE, MIN_DOCS, FOLDS, THRESHOLD = 5000, 4, 3, 0.5
 FEATURES = (60, 300, 60)
 #: Lengths in bytes of the word beginnings that are features of their own.
 BEGINNINGS = (4, 5)
-#: Words remembered by a worker at most; beyond, it starts anew.
-MEMO = 400_000
+#: Words remembered by a worker at most, each of at most LONG bytes; beyond, it starts anew.
+MEMO, LONG = 400_000, 64
 #: ASCII punctuation parts words like white space.
 _PART = bytes.maketrans(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 31)
 
@@ -151,9 +151,14 @@ def chain_scores(texts: list[bytes], chain: Chain, key: str) -> np.ndarray:
     z = np.tile(chain.weights[:, -1], (len(texts), 1))
     for i, text in enumerate(texts):
         own = set(words_of(text))
-        for w in [w for w in own if w not in known]:
-            known[w] = tuple(index[h] for h in hashes(w) if h in index)
-        hit = {f for w in own for f in known[w]}
+        hit = set()
+        for w in own:
+            features = known.get(w)
+            if features is None:
+                features = tuple(index[h] for h in hashes(w) if h in index)
+                if len(w) <= LONG:
+                    known[w] = features
+            hit.update(features)
         if hit:
             z[i] += chain.weights[:, sorted(hit)].sum(1)
     p = np.zeros_like(z)

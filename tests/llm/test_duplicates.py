@@ -100,6 +100,24 @@ def test_large_group_of_near_fingerprints(spark):
     assert got.count() == 20_000 and [r.root for r in got.select("root").distinct().collect()] == [min(some)]
 
 
+def test_strangers_in_a_dense_group(spark):
+    """A large group whose lists hold two strangers that share two segments with it: work stays linear, and what is linked is linked."""
+    rng = np.random.default_rng(6)
+    base, some = 0x5A5A_0123_4567_1DEF, set()
+    while len(some) < 20_000:
+        x = base
+        for b in rng.integers(0, 63, 3):
+            x ^= 1 << int(b)
+        some.add(x)
+    some.add(base)
+    strangers = [base ^ 0x0FFF_F000_0000_0000, base ^ 0x7FF0_F000_0000_0000]  # the upper segment alone differs, by far more than four bits
+    nodes = spark.createDataFrame([(x, min(some)) for x in some] + [(x, x) for x in strangers], "fp long, comp long")
+    assert simhash.candidates(nodes).count() < 40 * len(some)
+    near_one = strangers[0] ^ 0b1011
+    got = {r.node: r.root for r in simhash.link_fingerprints(nodes.select("fp").unionByName(spark.createDataFrame([(near_one,)], "fp long"))).collect()}
+    assert len(got) == 20_000 + 1 and got[max(near_one, strangers[0])] == min(near_one, strangers[0]) and strangers[1] not in got
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (7, 7), (300, 7)]
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
-from reachlens.llm import jpeg, linear, lm, media, quality, token_counts, toxicity
+from reachlens.llm import jpeg, linear, lm, media, packing, quality, token_counts, toxicity
 from reachlens.llm.text import words_of
 from tests.llm import data
 
@@ -137,6 +137,39 @@ def test_media_round_trip(spark):
         assert jpeg.thumbnails([bytes(r.media)])[0][2].tobytes() == padded
 
 
+def test_media_of_long_texts_are_files_end_to_end(spark):
+    """Three files and a bit, beside short texts, with clashing columns."""
+    texts = ["x" * 700_000 + "é" * 400_000 + "end", "", "short", "y" * (64 * jpeg.MOST_ROWS), "z" * (64 * jpeg.MOST_ROWS + 1)]
+    docs = spark.createDataFrame([(k, t, 7, "clash") for k, t in enumerate(texts)], "doc_id long, text string, n_bytes int, media string")
+    got = media.text_media(docs, with_media=True).orderBy("doc_id").collect()
+    for row, text in zip(got, texts, strict=True):
+        payload = media.padded(text.encode())
+        (whole,) = jpeg.store([payload])
+        ((width, height, thumb),) = jpeg.thumbnails([bytes(row.media)])
+        assert bytes(row.media) == whole and thumb.tobytes() == payload and (row.width, row.height) == (width, height)
+        assert row.payload_sha256 == hashlib.sha256(payload).hexdigest() and row.media_sha256 == hashlib.sha256(whole).hexdigest() and row.n_bytes == len(text.encode())
+        assert row.tail_crc32 == zlib.crc32(payload[-64:]) and row.feature == f"{width}x{height}:{jpeg.average_hash(thumb)}"
+
+
+def test_memories_are_bounded_by_characters(monkeypatch):
+    """Long and many words: the same counts and ids, and no more remembered than allowed."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [" ".join(f"word{k * j}qz" for k in range(200)) for j in range(1, 20)] + ["漢字かな" * 90 + " tail", "a" * 5000 + " b"]
+    want = [len(x) for x in token_counts.processor(path).encode(texts)]
+    monkeypatch.setattr(token_counts, "MEMO_CHARS", 3_000)
+    token_counts.memory.cache_clear()
+    token_counts.held.cache_clear()
+    assert [n for x in texts for n in token_counts.count_texts([x], path)] == want and token_counts.count_texts(texts, path) == want
+    assert token_counts.held(path)[0] <= 3_000 and max(map(len, set(token_counts.memory(path)) - token_counts.prove(path)), default=0) <= token_counts.LONG
+    monkeypatch.setattr(packing, "MEMO_CHARS", 2_000)
+    own = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = [own.encode([x])[0].tolist() + [packing.END_ID] for x in texts]
+    assert [own.of([x])[0].tolist() for x in texts] == plain and [x.tolist() for x in own.of(texts)] == plain
+    assert sum(map(len, own.number)) == own.chars <= 2_000 and len(own.sizes) == len(own.number)
+
+
 def test_jpeg_files_and_broken_bytes(spark):
     noise = np.random.default_rng(1).integers(0, 256, 64 * 8200, dtype=np.uint8).tobytes()
     file = jpeg.store([noise])[0]
