@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reachlens.functions import names
 from reachlens.operators import classify, closure, consensus, fingerprint, graph, lattice, resolve, weights
-from reachlens.plans import synth
+from reachlens.plans import branches, synth
 from reachlens.runtime import materialize, shared_dir, table
 from reachlens.sources import objects, render, text
 from reachlens.streaming import ingest
@@ -98,6 +98,18 @@ def edge_degree(spark, sf_dir):
     return graph.degrees(graph.section_edges(synth.world(spark, sf_dir)))
 
 
+@query(branches.SQL + " SELECT src, dst, kind FROM edge")
+def edge_kinds(spark, sf_dir):
+    """The edges of a world that has all seven kinds."""
+    return graph.section_edges(branches.world(spark, sf_dir))
+
+
+@query(branches.SQL + " SELECT module_id, sym_ix, name, class FROM verdict WHERE class IS NOT NULL")
+def verdict_kinds(spark, sf_dir):
+    """The verdicts of a world with modules of kind R, force modules, common symbols, entries of one name and undefined ones, lookups and borders of sections."""
+    return classify.verdicts(branches.world(spark, sf_dir)).select("module_id", "sym_ix", "name", "class")
+
+
 @query("WITH " + synth.SQL_SECTIONS + " SELECT DISTINCT pk::VARCHAR AS name FROM und")
 def undef_names(spark, sf_dir):
     return graph.undefined_names(synth.world(spark, sf_dir, write=False).symbols)
