@@ -148,7 +148,7 @@ def unsound_marks(spark, sf_dir):
     return classify.unmarked_names(world, None, broken).select("module_id", "name").distinct()
 
 
-@query("""WITH RECURSIVE j AS (SELECT DISTINCT 'f' || s_suppkey AS src, 'f' || (s_suppkey * 7 % 400) AS dst FROM supplier UNION SELECT 'g' || c_custkey, 'f' || (c_custkey % 300) FROM customer),
+@query("""WITH RECURSIVE j AS (SELECT DISTINCT 'f' || s_suppkey AS src, 'f' || (s_suppkey // 400 * 400 + s_suppkey * 7 % 400) AS dst FROM supplier UNION SELECT 'g' || c_custkey, 'f' || (c_custkey // 3000 * 400 + c_custkey % 300) FROM customer),
 far AS (SELECT src AS a, dst AS b FROM j UNION SELECT f.a, j.dst FROM far f JOIN j ON j.src = f.b),
 nodes AS (SELECT src AS node FROM j UNION SELECT dst FROM j)
 SELECT node, least(node, min(m.b)) AS component FROM nodes LEFT JOIN (SELECT x.a, x.b FROM far x JOIN far y ON y.a = x.b AND y.b = x.a) m ON m.a = node GROUP BY node""")
@@ -165,7 +165,7 @@ def symbol_weights(spark, sf_dir):
     return weights.ranked(graph.section_edges(world).select("src", "dst"), own)
 
 
-@query("""WITH RECURSIVE j AS (SELECT DISTINCT 'f' || s_suppkey AS src, 'f' || (s_suppkey * 7 % 400) AS dst FROM supplier UNION SELECT 'g' || c_custkey, 'f' || (c_custkey % 300) FROM customer),
+@query("""WITH RECURSIVE j AS (SELECT DISTINCT 'f' || s_suppkey AS src, 'f' || (s_suppkey // 400 * 400 + s_suppkey * 7 % 400) AS dst FROM supplier UNION SELECT 'g' || c_custkey, 'f' || (c_custkey // 3000 * 400 + c_custkey % 300) FROM customer),
 nodes AS (SELECT src AS node FROM j UNION SELECT dst FROM j),
 far AS (SELECT node AS a, node AS b FROM nodes UNION SELECT f.a, j.dst FROM far f JOIN j ON j.src = f.b)
 SELECT a AS node, sum(length(b))::DOUBLE AS weight FROM far GROUP BY a HAVING count(*) < 64""")
@@ -480,16 +480,16 @@ def archive_members(spark, sf_dir):
 
 # Signatures: nations and suppliers as functions that forward arguments
 
-SQL_JUMPS = """jump AS (SELECT 'f' || s_suppkey AS from_name, (s_suppkey % 2)::INT AS from_arg, 'f' || (s_suppkey * 7 % 400) AS to_name, (s_suppkey // 3 % 2)::INT AS to_arg FROM supplier
-  UNION ALL SELECT 'g' || c_custkey, 0, 'f' || (c_custkey % 300), (c_custkey % 2)::INT FROM customer),
+SQL_JUMPS = """jump AS (SELECT 'f' || s_suppkey AS from_name, (s_suppkey % 2)::INT AS from_arg, 'f' || (s_suppkey // 400 * 400 + s_suppkey * 7 % 400) AS to_name, (s_suppkey // 3 % 2)::INT AS to_arg FROM supplier
+  UNION ALL SELECT 'g' || c_custkey, 0, 'f' || (c_custkey // 3000 * 400 + c_custkey % 300), (c_custkey % 2)::INT FROM customer),
 base AS (SELECT 'f' || n_nationkey AS func, 1 AS arg_pos FROM nation UNION ALL SELECT 'f' || n_nationkey, 0 FROM nation WHERE n_nationkey % 5 = 0)"""
 
 
 def jumps(spark, sf_dir) -> DataFrame:
     f = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
     s, c = F.col("s_suppkey"), F.col("c_custkey")
-    first = table(spark, sf_dir, "supplier").select(f("f", s).alias("from_name"), (s % 2).cast("int").alias("from_arg"), f("f", s * 7 % 400).alias("to_name"), (F.floor(s / 3) % 2).cast("int").alias("to_arg"))
-    return first.unionByName(table(spark, sf_dir, "customer").select(f("g", c).alias("from_name"), F.lit(0).alias("from_arg"), f("f", c % 300).alias("to_name"), (c % 2).cast("int").alias("to_arg")))
+    first = table(spark, sf_dir, "supplier").select(f("f", s).alias("from_name"), (s % 2).cast("int").alias("from_arg"), f("f", F.floor(s / 400) * 400 + s * 7 % 400).alias("to_name"), (F.floor(s / 3) % 2).cast("int").alias("to_arg"))
+    return first.unionByName(table(spark, sf_dir, "customer").select(f("g", c).alias("from_name"), F.lit(0).alias("from_arg"), f("f", F.floor(c / 3000) * 400 + c % 300).alias("to_name"), (c % 2).cast("int").alias("to_arg")))
 
 
 def base_signatures(spark, sf_dir) -> DataFrame:
@@ -509,6 +509,48 @@ def jump_text(spark, sf_dir):
     return render.jump_lines(text.parse_jumps(render.jump_lines(jumps(spark, sf_dir))))
 
 
+@query("WITH " + SQL_JUMPS + ", own AS (SELECT DISTINCT func, arg_pos FROM base UNION SELECT DISTINCT to_name, to_arg FROM jump) SELECT func, arg_pos FROM own")
+def signature_text(spark, sf_dir):
+    """Signatures as a counted list, as compilers get it, read back."""
+    folder = scratch(spark)
+    asked = jumps(spark, sf_dir).select(F.col("to_name").alias("func"), F.col("to_arg").alias("arg_pos"))
+    render.signature_list(base_signatures(spark, sf_dir).unionByName(asked).distinct()).coalesce(1).write.text(folder)
+    return text.read_signatures(spark, folder)
+
+
+@query("WITH " + SQL_JUMPS + " SELECT * FROM jump")
+def jump_files(spark, sf_dir):
+    """Jump functions in two captured files, read together."""
+    folder = scratch(spark)
+    own = jumps(spark, sf_dir)
+    for name, part in (("a", "from_arg = 0"), ("b", "from_arg <> 0")):
+        render.jump_lines(own.filter(part)).write.text(f"{folder}/{name}")
+    return text.read_jumps(spark, [f"{folder}/a", f"{folder}/b"])
+
+
+@query("""SELECT 'part' || p_partkey AS func, (p_size % 4)::INT AS arg_pos FROM part WHERE p_partkey % 3 = 0""")
+def option_signatures(spark, sf_dir):
+    """Compiler options of parts, of which every third adds a signature."""
+    k = F.col("p_partkey")
+    value = F.when(k % 3 == 0, F.concat(F.lit("sign-part"), k, F.lit("="), F.col("p_size") % 4)).when(k % 3 == 1, F.concat(F.lit("sign-part"), k)).otherwise(F.concat(F.lit("run="), k))
+    return text.option_signatures(table(spark, sf_dir, "part").select(value.alias("value")))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN md5('link' || o_custkey) ELSE md5(o_orderkey::VARCHAR) END AS srcid FROM orders""")
+def stamped_objects(spark, sf_dir):
+    """Orders as objects by the path of their customer's link; every fourth customer's is an incremental one, whose id they carry."""
+    path = F.concat(F.lit("/out/"), F.col("o_custkey"))
+    objects_ = table(spark, sf_dir, "orders").select("o_orderkey", path.alias("path"), F.md5(F.col("o_orderkey").cast("string")).alias("srcid"))
+    modules = table(spark, sf_dir, "orders").select("o_custkey").distinct().select(F.concat(F.lit("/out/"), "o_custkey").alias("name"), F.when(F.col("o_custkey") % 4 == 0, "R").otherwise("D").alias("kind"), F.md5(F.concat(F.lit("link"), "o_custkey")).alias("linkid"))
+    return resolve.stamped(objects_, modules).select("o_orderkey", "srcid")
+
+
+@query(branches.SQL + """ SELECT 'digraph "world" {' AS value UNION ALL SELECT '}' UNION ALL SELECT chr(9) || '"' || src || '" -> "' || dst || '";' FROM (SELECT DISTINCT src, dst FROM edge)""")
+def graph_text(spark, sf_dir):
+    """The edges of the world that has all kinds, as a dot file's lines."""
+    return render.graphviz(graph.section_edges(branches.world(spark, sf_dir)).select("src", "dst").distinct(), "world")
+
+
 SQL_CALLS = SQL_JUMPS + """, call AS (SELECT 'c' || l_orderkey AS caller, 'f' || (l_partkey % 40) AS callee, l_linenumber % 3 AS n_args FROM lineitem UNION ALL SELECT func, 'f1', 2 FROM base),
 met AS (SELECT c.caller, c.callee, b.arg_pos, c.n_args, c.n_args > b.arg_pos AS fits FROM call c JOIN base b ON b.func = c.callee WHERE c.caller NOT IN (SELECT func FROM base))"""
 
