@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachlens.llm import memo
@@ -137,21 +137,31 @@ def near(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MOST_BITS
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(lf, lc, rf, rc): fingerprints (fp, comp) of different components where the first looks up a key that lists the second; no link
-    between components is left out, since both ends of one look for each other.
+def links(nodes: DataFrame, close: Column | None = None) -> DataFrame:
+    """(lc, rc): components of fingerprints (fp, comp) that link, where one looks up a key that lists the other; no link between components
+    is left out, since both ends of one look for each other. ``close``: what verifies a pair (lf, rf), inside the joins.
 
-    In each list the component with the most fingerprints is its main one. What is of that component itself meets only the list's others, and what isn't
-    meets all of it, so a dense group in which some strangers are listed doesn't meet itself.
+    A list of one fingerprint is met by all that look its key up. In a longer one the component with the most fingerprints is the main one: what is of that
+    component itself meets only the list's others, and what isn't meets all of it, so a dense group in which some strangers are listed doesn't meet itself.
     """
     listed = keyed(nodes, look_up=False)
-    sizes = listed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-    right = listed.join(sizes, "key")
-    whole, others = right.withColumn("only", F.lit(False)), right.filter("comp <> main").withColumn("only", F.lit(True))
-    right = whole.unionByName(others).select("key", "only", F.col("fp").alias("rf"), F.col("comp").alias("rc"))
+    sizes = listed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"))
+    right = listed.join(sizes, "key").select("key", F.col("fp").alias("rf"), F.col("comp").alias("rc"), "main", "n")
+    looked = keyed(nodes, look_up=True).select("key", F.col("fp").alias("lf"), F.col("comp").alias("lc"))
+    good = (F.col("lf") < F.col("rf")) & (F.col("lc") != F.col("rc")) & (near("lf", "rf") if close is None else close)
+
+    def met(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+        left, right = left.alias("l"), right.alias("r")
+        same = F.lit(True)
+        for c in on:
+            same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+        return left.join(right, same & good).select("lc", "rc")
+
+    single, many = right.filter("n = 1"), right.filter("n > 1")
+    whole, others = many.withColumn("only", F.lit(False)), many.filter("rc <> main").withColumn("only", F.lit(True))
     # a list of one component has nothing for a fingerprint of the same
-    left = keyed(nodes, look_up=True).join(sizes, "key").filter("comps > 1 or comp <> main").select("key", (F.col("comp") == F.col("main")).alias("only"), F.col("fp").alias("lf"), F.col("comp").alias("lc"))
-    return left.join(right, ["key", "only"]).filter("lf < rf and lc <> rc").select("lf", "lc", "rf", "rc")
+    some = looked.join(sizes.filter("n > 1"), "key").filter("comps > 1 or lc <> main").select("key", (F.col("lc") == F.col("main")).alias("only"), "lf", "lc")
+    return met(looked, single, "key").unionByName(met(some, whole.unionByName(others), "key", "only"))
 
 
 def link_fingerprints(fps: DataFrame) -> DataFrame:
@@ -163,8 +173,7 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     stars = held.filter(near("fp", "to")).select(F.col("fp").alias("a"), F.col("to").alias("b"))
     first = connected(stars)
     nodes = materialize(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("comp")))
-    links = candidates(nodes).filter(near("lf", "rf")).select(F.least("lc", "rc").alias("a"), F.greatest("lc", "rc").alias("b")).distinct()
-    second = connected(links)
+    second = connected(links(nodes).select(F.least("lc", "rc").alias("a"), F.greatest("lc", "rc").alias("b")).distinct())
     discard(first)
     out = nodes.join(second, nodes["comp"] == second["node"], "left").select(F.col("fp").alias("node"), F.coalesce(second["root"], nodes["comp"]).alias("root"))
     return out.filter("node <> root")
