@@ -1,9 +1,9 @@
 """Mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
 Token weights are summed by cell (source, language, topic) in one aggregation of the documents; raking then scales
-the cells' factors to each marginal's target in turn, with groupings and joins of the small cell table, for ROUNDS rounds; where a
-marginal then still is off its target by more than TOLERANCE of all tokens (targets that contradict each other on the cells
-there are can't be met), a warning tells by how much. A
+the cells' factors to each marginal's target in turn, with groupings and joins of the small cell table, until all marginals meet their
+targets to within CLOSE of all tokens or a round brings them nearer by less than a share of STALL (targets that contradict each other on the cells there are
+can't be met). What they are still off by stands beside each row's weight, and beyond TOLERANCE a warning tells it. A
 document stays with probability factor / largest factor, decided by a hash of its id, so the kept tokens follow the
 targets in expectation and a rerun decides alike. There the smallest cell can decide how much stays. With a budget (``keep``, a share of
 all tokens) factors are held to 1 while raking, so that the other cells take over what a clipped one can't give, and then scaled
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from reachlens.runtime import discard, materialize
 
-ROUNDS, TOLERANCE = 10, 1e-3
+CLOSE, STALL, TOLERANCE = 1e-6, 0.05, 1e-3
+#: Rounds that the SQL writes out; those after the one that raking ends with change nothing.
+ROUNDS = 40
 #: Exponents by which the production query evens out the natural shares of the classes.
 EVEN = {"source": 0.7, "lang": 0.7, "topic": 0.85}
 #: Share of the tokens that the pipeline keeps.
@@ -72,9 +74,10 @@ def even_targets(cells: DataFrame, exponents: dict[str, float]) -> dict[str, Dat
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, keep: float | None = None) -> DataFrame:
-    """``cells`` with factors under which the token shares of every class column meet their targets; with ``keep``, factors of 1
-    at most, which sum to that share of the tokens as far as the targets can be met.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int | None = None, keep: float | None = None) -> DataFrame:
+    """``cells`` with factors under which the token shares of every class column meet their targets, and ``off``: by how much the farthest of a
+    cell's marginals was off before the last round. With ``keep``, factors of 1 at most, which sum to that share of the tokens as far as the targets can
+    be met. ``rounds``: at most so many, met or not.
 
     Each round is written, so plans stay as small as one scaling of each class column, however many rounds there are.
     """
@@ -82,8 +85,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     own = cells.columns
     for name, target in targets.items():
         cells = cells.join(target.select(name, F.col("share").alias(f"_share_{name}")), name, "left")
-    cells = materialize(cells.withColumn("_off", F.lit(0.0)))
-    for _ in range(rounds):
+    cells, off = materialize(cells.withColumn("_off", F.lit(0.0))), float("inf")
+    done = 0
+    while True:
         new, start = cells.withColumn("_off", F.lit(0.0)), cells
         for name in targets:
             now = new.groupBy(name).agg(F.sum(F.col("n_tokens") * F.col("factor")).alias("_now"))
@@ -92,15 +96,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
             scale = F.when(fixed, F.col("factor")).otherwise(F.col("factor") * (share * F.lit(total) / F.col("_now")))
             scale = scale if keep is None else F.least(F.lit(1.0), scale)
             # how far the marginals were off before this round's scaling
-            off = F.when(fixed, F.lit(0.0)).otherwise(F.abs(share - F.col("_now") / F.lit(total or 1.0)))
-            new = new.join(now, name).withColumns({"factor": scale, "_off": F.greatest(F.col("_off"), off)})
+            away = F.when(fixed, F.lit(0.0)).otherwise(F.abs(share - F.col("_now") / F.lit(total or 1.0)))
+            new = new.join(now, name).withColumns({"factor": scale, "_off": F.greatest(F.col("_off"), away)})
             new = new.select(*cells.columns)
         cells = materialize(new)
         discard(start)
-    off = cells.agg(F.max("_off").alias("m")).first()["m"] or 0.0
+        before, off = off, cells.agg(F.max("_off").alias("m")).first()["m"] or 0.0
+        done += 1
+        if off <= CLOSE or off > (1 - STALL) * before or done == rounds:
+            break
     if off > TOLERANCE:
-        warnings.warn(f"a marginal is off its target by {off:.2%} of the tokens after {rounds} rounds", stacklevel=2)
-    return cells.select(*own)
+        warnings.warn(f"a marginal is off its target by {off:.2%} of the tokens", stacklevel=2)
+    out = cells.select(*own, F.col("_off").alias("off"))
+    out._reachlens_path = cells._reachlens_path
+    return out
 
 
 def divisor(raked: DataFrame, keep: float | None = None) -> float:
@@ -123,13 +132,15 @@ def chance(doc_id: Column) -> Column:
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", keep: float | None = None) -> DataFrame:
-    """The rows of ``docs`` that are sampled, with a last column, the struct ``_mix``: classes, n_tokens, weight (the raked factor), probability.
+    """The rows of ``docs`` that are sampled, with a last column, the struct ``_mix``: classes, n_tokens, weight (the raked factor), probability, and
+    deviation, the tokens' share by which the farthest marginal is off its target (the same for all).
 
     targets: by class column (source, lang, topic) a table (class, share); by default EVEN's. keep: the share of
     the tokens to keep; by default what the largest factor leaves.
     """
     cells = materialize(cells_of(docs))
     raked = rake(cells, targets or even_targets(cells, EVEN), keep=keep)
+    off = raked.agg(F.max("off")).first()[0] or 0.0
     discard(cells)
     top, name = divisor(raked, keep), unused(docs.columns, "_mix")
     cell, factor = unused([*docs.columns, name], "_cell"), unused([*docs.columns, name], "_f")
@@ -140,7 +151,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: st
     mine = lambda *fields: [F.col(name).getField(f) for f in fields]
     probability = F.least(F.lit(1.0), F.col(factor) / F.lit(top))
     own = own.join(factors, F.struct(*mine("source", "lang", "topic")) == F.col(cell)).filter(chance(F.col(id_col)) < probability)
-    whole = F.struct(*(x.alias(f) for x, f in zip(mine("source", "lang", "topic", "n_tokens"), ("source", "lang", "topic", "n_tokens"), strict=True)), F.col(factor).alias("weight"), probability.alias("probability"))
+    whole = F.struct(*(x.alias(f) for x, f in zip(mine("source", "lang", "topic", "n_tokens"), ("source", "lang", "topic", "n_tokens"), strict=True)), F.col(factor).alias("weight"), probability.alias("probability"), F.lit(off).alias("deviation"))
     return own.select(*(F.col(f"`{c}`") for c in docs.columns), whole.alias(name))
 
 
@@ -158,12 +169,16 @@ def sql(rounds: int = ROUNDS) -> str:
         "t AS (SELECT sum(n) AS total FROM c)",
         *(f"t_{k} AS (SELECT {k}, p / sum(p) OVER () AS share FROM (SELECT {k}, pow(sum(n), {e}) AS p FROM c GROUP BY {k}))" for k, e in EVEN.items()),
     ]
-    last = "c"
+    last, state = "c", "(SELECT true AS go, 'inf'::DOUBLE AS off)"
     for i in range(rounds):
         for k in EVEN:
+            steps.append(f"m{i}_{k} AS MATERIALIZED (SELECT {k}, sum(n * f) AS now, CASE WHEN sum(n * f) = 0 THEN 0 ELSE abs(any_value(t_{k}.share) - sum(n * f) / any_value(t.total)) END AS away FROM {last} JOIN t_{k} USING ({k}), t GROUP BY {k})")
             new = f"r{i}_{k}"
-            steps.append(f"{new} AS MATERIALIZED (SELECT x.source, x.lang, x.topic, x.n, CASE WHEN m.now = 0 THEN x.f ELSE x.f * (t_{k}.share * t.total / m.now) END AS f FROM {last} x JOIN (SELECT {k}, sum(n * f) AS now FROM {last} GROUP BY {k}) m USING ({k}) JOIN t_{k} USING ({k}), t)")
+            steps.append(f"{new} AS MATERIALIZED (SELECT x.source, x.lang, x.topic, x.n, CASE WHEN m.now = 0 OR NOT s.go THEN x.f ELSE x.f * (t_{k}.share * t.total / m.now) END AS f FROM {last} x JOIN m{i}_{k} m USING ({k}) JOIN t_{k} USING ({k}), t, {state} s)")
             last = new
+        off = ", ".join(f"(SELECT coalesce(max(away), 0) FROM m{i}_{k})" for k in EVEN)
+        steps.append(f"s{i} AS MATERIALIZED (SELECT go AND NOT (now_off <= {CLOSE} OR now_off > {1 - STALL} * off) AS go, now_off AS off FROM (SELECT go, off, greatest({off}) AS now_off FROM {state}))")
+        state = f"s{i}"
     return "WITH " + ",\n".join(steps) + f"""
 SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(x.f, 6) AS weight, round(least(1.0, x.f / top.f), 6) AS probability
 FROM d JOIN {last} x USING (source, lang, topic), (SELECT max(f) AS f FROM {last} WHERE n > 0) top

@@ -130,6 +130,16 @@ def test_raking_tells_when_targets_cannot_be_met(spark):
         mixing.rake(cells, targets, rounds=2)
 
 
+def test_raking_goes_on_until_targets_are_met_or_nothing_changes(spark):
+    cells = spark.createDataFrame([(s, lang, "p", 7 * i * i + 3, 1.0) for i, (s, lang) in enumerate((s, lang) for s in "abc" for lang in "xyz")], "source string, lang string, topic string, n_tokens long, factor double")
+    raked = mixing.rake(cells, mixing.even_targets(cells, {"source": 0.2, "lang": 0.3})).collect()
+    assert max(r.off for r in raked) <= mixing.CLOSE
+    contrary = spark.createDataFrame([("a", "x", "p", 10, 1.0), ("b", "y", "q", 10, 1.0)], cells.schema)
+    targets = {c: spark.createDataFrame(v, f"{c} string, share double") for c, v in (("source", [("a", 0.9), ("b", 0.1)]), ("lang", [("x", 0.1), ("y", 0.9)]))}
+    with pytest.warns(UserWarning, match="off its target by 80.00%"):
+        assert max(r.off for r in mixing.rake(contrary, targets).collect()) == pytest.approx(0.8)
+
+
 def test_one_small_cell_does_not_decide_what_stays(spark):
     rows = [(s, lang, t, 1000 * (i + 1), 1.0) for i, (s, lang, t) in enumerate((s, lang, t) for s in "ab" for lang in ("x", "y", "z") for t in "pq")]
     for more in ([], [("new", "x", "p", 60, 1.0)], [("new", "w", "p", 60, 1.0)]):
@@ -221,4 +231,4 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
 
 def test_registry():
     names = list(queries.queries())
-    assert names[0] == "pipeline" and sorted(int(n[2:].split("_")[0]) for n in names[1:]) == list(range(1, 11))
+    assert names[0] == "pipeline" and sorted(int(n[2:].split("_")[0]) for n in names[1:]) == list(range(1, 14))
