@@ -35,14 +35,26 @@ def unresolved(lookups: DataFrame) -> DataFrame:
     return lookups.filter(F.col("status").isin("DYNAMIC", "PARTIALLY_CONSTANT", "UNDEFINED"))
 
 
-def resolve_values(sites: DataFrame, flows: DataFrame, facts: DataFrame) -> DataFrame:
-    """(source, status, symbols) of each lookup site: the meet of all values that can flow into its argument.
+def resolved_facts(sites: DataFrame, flows: DataFrame, facts: DataFrame) -> DataFrame:
+    """(source, status, symbol): the distinct values that can flow into each lookup site's argument, a row each however many a site has.
 
     sites: source, func, arg. flows: func, arg, from_func, from_arg (a caller hands its own argument on). facts: func, arg,
-    status, symbol (a caller hands a value over; symbol is null unless the value is constant). Cycles of callers add nothing;
-    a site that no value reaches is UNDEFINED.
+    status, symbol (a caller hands a value over; symbol is null unless the value is constant). Cycles of callers add nothing.
     """
     reached = closure_by_source(sites, flows, ["func", "arg"], ["from_func", "from_arg"])
-    values = reached.join(facts.withColumn("_c", state_code(F.col("status"))), ["func", "arg"]).groupBy("source").agg(meet(F.col("_c")).alias("c"), F.sort_array(F.collect_set("symbol")).alias("symbols"))
-    every = sites.select("source").distinct().join(values, "source", "left")
+    return reached.join(facts, ["func", "arg"]).select("source", "status", "symbol").distinct()
+
+
+def resolved_counts(sites: DataFrame, found: DataFrame) -> DataFrame:
+    """(source, status, n_symbols) of each site out of ``resolved_facts``: the meet of its values; a site that no value reaches is UNDEFINED."""
+    met = found.groupBy("source").agg(meet(state_code(F.col("status"))).alias("c"), F.count_distinct("symbol").alias("n"))
+    every = sites.select("source").distinct().join(met, "source", "left")
+    return every.select("source", state_name(F.coalesce("c", F.lit(0))).alias("status"), F.coalesce("n", F.lit(0)).alias("n_symbols"))
+
+
+def resolve_values(sites: DataFrame, flows: DataFrame, facts: DataFrame) -> DataFrame:
+    """(source, status, symbols) of each lookup site, with its symbols as one list: for sites of bounded lists; ``resolved_facts`` has a row for each."""
+    found = resolved_facts(sites, flows, facts)
+    lists = found.groupBy("source").agg(meet(state_code(F.col("status"))).alias("c"), F.sort_array(F.collect_set("symbol")).alias("symbols"))
+    every = sites.select("source").distinct().join(lists, "source", "left")
     return every.select("source", state_name(F.coalesce("c", F.lit(0))).alias("status"), F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"))

@@ -586,16 +586,18 @@ def jump_functions(spark, sf_dir):
     return resolve.jump_functions(items.distinct(), params)
 
 
-@query("""WITH RECURSIVE flow AS (SELECT 'n' || s_nationkey AS func, 's' || s_suppkey AS from_func FROM supplier UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier WHERE s_acctbal < 0
+SQL_VALUES = """WITH RECURSIVE flow AS (SELECT 'n' || s_nationkey AS func, 's' || s_suppkey AS from_func FROM supplier UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier WHERE s_acctbal < 0
   UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation),
 fact AS (SELECT DISTINCT 'n' || c_nationkey AS func, CASE WHEN c_acctbal < 0 THEN 'DYNAMIC' ELSE 'CONSTANT' END AS status, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS symbol FROM customer
   UNION SELECT 's' || s_suppkey, CASE WHEN s_acctbal < 0 THEN 'UNDEFINED' ELSE 'CONSTANT' END, CASE WHEN s_acctbal >= 0 THEN s_name END FROM supplier),
 hit AS (SELECT 'n' || n_nationkey AS source, 'n' || n_nationkey AS func FROM nation UNION SELECT DISTINCT 'r' || r_regionkey, 'r' || r_regionkey FROM region UNION SELECT h.source, f.from_func FROM hit h JOIN flow f ON f.func = h.func),
 val AS (SELECT source, bit_or(CASE status WHEN 'UNDEFINED' THEN 0 WHEN 'DYNAMIC' THEN 1 ELSE 2 END) AS c, array_to_string(list_sort(list(DISTINCT symbol) FILTER (symbol IS NOT NULL)), ',') AS symbols FROM hit JOIN fact USING (func) GROUP BY source),
 site AS (SELECT 'n' || n_nationkey AS source FROM nation UNION SELECT 'r' || r_regionkey FROM region)
-SELECT source, CASE coalesce(c, 0) WHEN 0 THEN 'UNDEFINED' WHEN 1 THEN 'DYNAMIC' WHEN 2 THEN 'CONSTANT' ELSE 'PARTIALLY_CONSTANT' END AS status, coalesce(symbols, '') AS symbols FROM site LEFT JOIN val USING (source)""")
-def resolved_values(spark, sf_dir):
-    """Regions call nations, nations suppliers, and suppliers in debt their nation back; customers and suppliers hand values over."""
+"""
+
+
+def value_flows(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sites, flows and facts: regions call nations, nations suppliers, and suppliers in debt their nation back; customers and suppliers hand values over."""
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     flow = lambda df, a, b: df.select(a.alias("func"), F.lit(0).alias("arg"), b.alias("from_func"), F.lit(0).alias("from_arg"))
@@ -604,7 +606,24 @@ def resolved_values(spark, sf_dir):
     fact = lambda df, at, good, other, symbol: df.select(at.alias("func"), F.lit(0).alias("arg"), F.when(good, "CONSTANT").otherwise(other).alias("status"), F.when(good, F.col(symbol)).alias("symbol")).distinct()
     facts = fact(table(spark, sf_dir, "customer"), name("n", "c_nationkey"), F.col("c_acctbal") >= 0, "DYNAMIC", "c_mktsegment").unionByName(fact(supplier, s, F.col("s_acctbal") >= 0, "UNDEFINED", "s_name"))
     own = nation.select(name("n", "n_nationkey").alias("source")).unionByName(table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("source")))
-    return lattice.resolve_values(own.select("source", F.col("source").alias("func"), F.lit(0).alias("arg")), flows, facts).select("source", "status", F.array_join("symbols", ",").alias("symbols"))
+    return own.select("source", F.col("source").alias("func"), F.lit(0).alias("arg")), flows, facts
+
+
+@query(SQL_VALUES + """SELECT source, CASE coalesce(c, 0) WHEN 0 THEN 'UNDEFINED' WHEN 1 THEN 'DYNAMIC' WHEN 2 THEN 'CONSTANT' ELSE 'PARTIALLY_CONSTANT' END AS status, coalesce(symbols, '') AS symbols FROM site LEFT JOIN val USING (source)""")
+def resolved_values(spark, sf_dir):
+    return lattice.resolve_values(*value_flows(spark, sf_dir)).select("source", "status", F.array_join("symbols", ",").alias("symbols"))
+
+
+@query(SQL_VALUES + " SELECT DISTINCT source, status, symbol FROM hit JOIN fact USING (func)")
+def resolved_facts(spark, sf_dir):
+    return lattice.resolved_facts(*value_flows(spark, sf_dir))
+
+
+@query(SQL_VALUES + """ SELECT source, CASE coalesce(c, 0) WHEN 0 THEN 'UNDEFINED' WHEN 1 THEN 'DYNAMIC' WHEN 2 THEN 'CONSTANT' ELSE 'PARTIALLY_CONSTANT' END AS status, coalesce(n, 0)::BIGINT AS n_symbols
+ FROM site LEFT JOIN val USING (source) LEFT JOIN (SELECT source, count(DISTINCT symbol) AS n FROM hit JOIN fact USING (func) GROUP BY source) USING (source)""")
+def resolved_counts(spark, sf_dir):
+    sites, flows, facts = value_flows(spark, sf_dir)
+    return lattice.resolved_counts(sites, lattice.resolved_facts(sites, flows, facts))
 
 
 @query("""WITH rel AS (SELECT DISTINCT l_suppkey AS module_id, l_orderkey AS uid, l_partkey AS sym_ix FROM lineitem) SELECT r.module_id, r.uid, r.sym_ix, CASE WHEN r.sym_ix % 2 = 0 THEN r.sym_ix * 10 END AS def_uid FROM rel r WHERE r.uid % 5 <> 0""")
@@ -649,18 +668,23 @@ def unit_verdicts(spark, sf_dir):
 
 # Applying verdicts
 
-SQL_UNIT = """own AS (SELECT l_orderkey AS unit, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS name, CASE l_returnflag WHEN 'N' THEN 'ELIM' WHEN 'A' THEN 'LOCAL' END AS class, l_suppkey % 5 = 0 AS weak, CASE WHEN l_partkey % 3 = 0 THEN l_linestatus END AS comdat, l_orderkey % 11 = 0 AS toplevel FROM lineitem),
-eff AS (SELECT *, coalesce(class IS NOT NULL AND NOT (toplevel AND class <> 'ELIM'), false) AS gone FROM own),
-grp AS (SELECT unit, comdat, count(*) FILTER (NOT gone) AS kept, count(*) FILTER (gone AND NOT weak) AS tried FROM eff WHERE comdat IS NOT NULL GROUP BY ALL)"""
+SQL_UNIT = """own AS (SELECT l_orderkey AS unit, CASE WHEN l_partkey % 29 = 0 THEN '__cxa_pure_virtual' ELSE l_linenumber || '-' || l_partkey || '-' || l_suppkey END AS name,
+  CASE WHEN l_returnflag = 'N' THEN 'ELIM' WHEN l_returnflag = 'A' THEN 'LOCAL' WHEN l_partkey % 2 = 0 THEN 'HIDDEN' END AS class, l_suppkey % 5 = 0 AS weak, l_linenumber % 6 <> 5 AS pub, CASE WHEN l_partkey % 3 = 0 THEN l_linestatus END AS comdat, l_orderkey % 11 = 0 AS toplevel FROM lineitem),
+eff AS (SELECT *, coalesce(class IN ('ELIM', 'LOCAL') AND NOT (toplevel AND class <> 'ELIM'), false) AS gone, coalesce(class = 'HIDDEN' AND NOT toplevel, false) AS hid FROM own),
+grp AS (SELECT unit, comdat, count(*) FILTER (NOT gone) AS kept, count(*) FILTER (gone AND pub AND NOT weak) AS tried FROM eff WHERE comdat IS NOT NULL GROUP BY ALL)"""
 
 
 def unit_symbols(spark, sf_dir) -> DataFrame:
+    part = F.col("l_partkey")
+    name = F.when(part % 29 == 0, "__cxa_pure_virtual").otherwise(F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey"))
+    kind = F.when(F.col("l_returnflag") == "N", "ELIM").when(F.col("l_returnflag") == "A", "LOCAL").when(part % 2 == 0, "HIDDEN")
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("unit"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("name"), F.when(F.col("l_returnflag") == "N", "ELIM").when(F.col("l_returnflag") == "A", "LOCAL").alias("class"),
-        F.lit(True).alias("public"), (F.col("l_suppkey") % 5 == 0).alias("weak"), F.when(F.col("l_partkey") % 3 == 0, F.col("l_linestatus")).alias("comdat"), (F.col("l_orderkey") % 11 == 0).alias("toplevel_asm"))
+        F.col("l_orderkey").alias("unit"), name.alias("name"), kind.alias("class"), (F.col("l_linenumber") % 6 != 5).alias("public"), (F.col("l_suppkey") % 5 == 0).alias("weak"),
+        F.when(part % 3 == 0, F.col("l_linestatus")).alias("comdat"), (F.col("l_orderkey") % 11 == 0).alias("toplevel_asm"))
 
 
-@query("WITH " + SQL_UNIT + """ SELECT e.unit, e.name, CASE WHEN e.comdat IS NULL AND gone AND NOT weak OR e.comdat IS NOT NULL AND tried > 0 AND kept = 0 THEN 'local' WHEN gone THEN 'hidden' ELSE 'keep' END AS action FROM eff e LEFT JOIN grp g ON g.unit = e.unit AND g.comdat = e.comdat""")
+@query("WITH " + SQL_UNIT + """ SELECT e.unit, e.name, CASE WHEN e.comdat IS NULL AND gone AND pub AND NOT weak OR e.comdat IS NOT NULL AND tried > 0 AND kept = 0 THEN 'local'
+  WHEN (gone AND pub OR hid) AND e.name <> '__cxa_pure_virtual' THEN 'hidden' ELSE 'keep' END AS action FROM eff e LEFT JOIN grp g ON g.unit = e.unit AND g.comdat = e.comdat""")
 def comdat_all_or_nothing(spark, sf_dir):
     return classify.applied(unit_symbols(spark, sf_dir)).select("unit", "name", "action")
 
