@@ -33,9 +33,9 @@ from reachlens.llm.text import runs
 SAMPLE, LONGEST, LAYOUTS, STEPS = 300, 1 << 14, 1_000, 180
 THRESHOLD = 0.5
 DIM = 1 << 15
-#: Words of texts of at most so many words are features.
+#: In texts of at most so many words, words of the layouts' vocabulary are features.
 SHORT = 8
-#: A hashed feature of fewer labelled pages has no weight: words of single texts tell nothing.
+#: A hashed feature of fewer labelled pages has no weight: names of single pages tell nothing.
 LEAST_PAGES = 12
 #: The kinds of nodes whose edges to their parents have a table of potentials each.
 TELLING, PLAIN, LEAF = range(3)
@@ -117,7 +117,7 @@ class Batch:
                     ends[node] = 1 + (text[-1] in ".!?:;\"”»…")
                     own, below, under = ((),) * 3
                     if text.count(" ") < SHORT:
-                        own = [column("w=" + w) for w in {w.strip(".,:;!?|()").lower() for w in text.split(" ")}]
+                        own = [column("w=" + w) for w in {w.strip(".,:;!?|()").lower() for w in text.split(" ")} & layouts.VOCABULARY]
                 else:
                     own, below, under, label = _named("div" if hide and tag in layouts.TELLING else tag, "" if hide else attrs) if len(attrs) < 512 else named(tag, "" if hide else attrs)
                     if label is not None:

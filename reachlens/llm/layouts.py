@@ -45,6 +45,9 @@ WORDS = {
     "tags": "Tags:,Previous,Next,Page 2,Filed under,Older posts",
 }
 
+#: The words of these texts: the only ones that are features, as those of a table's own texts tell only what was said.
+VOCABULARY = frozenset(w.strip(".,:;!?|()").lower() for text in WORDS.values() for w in text.replace(",", " ").split())
+
 
 class Page:
     """One made-up page."""
@@ -104,7 +107,10 @@ class Page:
         return "".join(f"<div>{x}</div>" for x in own) if shape == "div" else self.rng.choice([" | ", " ", " &middot; "]).join(own)
 
     def prose(self, tag: str = "p") -> str:
-        text = escape(self.para() if self.rng.random() < 0.9 else self.some(1, 6), quote=self.rng.random() < 0.5)
+        text = self.para() if self.rng.random() < 0.9 else self.some(1, 6)
+        if self.rng.random() < 0.08:  # articles use such words too
+            text = self.one(WORDS[self.rng.choice(sorted(WORDS))], ",")
+        text = escape(text, quote=self.rng.random() < 0.5)
         if self.rng.random() < 0.15:
             text = f"<b>{text}</b>" if self.rng.random() < 0.7 else f"<b>{text}"
         if self.rng.random() < 0.15:
