@@ -148,15 +148,24 @@ def unsound_marks(spark, sf_dir):
     return classify.unmarked_names(world, None, broken).select("module_id", "name").distinct()
 
 
-@query("""WITH RECURSIVE j AS (SELECT DISTINCT 'f' || s_suppkey AS src, 'f' || (s_suppkey // 400 * 400 + s_suppkey * 7 % 400) AS dst FROM supplier UNION SELECT 'g' || c_custkey, 'f' || (c_custkey // 3000 * 400 + c_custkey % 300) FROM customer),
+SQL_CYCLES = """WITH RECURSIVE j AS (SELECT DISTINCT 'f' || s_suppkey AS src, 'f' || (s_suppkey // 400 * 400 + s_suppkey * 7 % 400) AS dst FROM supplier UNION SELECT 'g' || c_custkey, 'f' || (c_custkey // 3000 * 400 + c_custkey % 300) FROM customer),
 far AS (SELECT src AS a, dst AS b FROM j UNION SELECT f.a, j.dst FROM far f JOIN j ON j.src = f.b),
-nodes AS (SELECT src AS node FROM j UNION SELECT dst FROM j)
-SELECT node, least(node, min(m.b)) AS component FROM nodes LEFT JOIN (SELECT x.a, x.b FROM far x JOIN far y ON y.a = x.b AND y.b = x.a) m ON m.a = node GROUP BY node""")
+nodes AS (SELECT src AS node FROM j UNION SELECT dst FROM j),
+component AS (SELECT node, least(node, min(m.b)) AS component FROM nodes LEFT JOIN (SELECT x.a, x.b FROM far x JOIN far y ON y.a = x.b AND y.b = x.a) m ON m.a = node GROUP BY node)"""
+
+
+@query(SQL_CYCLES + " SELECT node, component FROM component")
 def jump_components(spark, sf_dir):
     """The strong components of the functions that hand arguments on to each other: cycles of forwarders."""
     return closure.strong_components(jumps(spark, sf_dir).select(F.col("from_name").alias("src"), F.col("to_name").alias("dst")))
 
 
+@query(SQL_CYCLES + " SELECT n AS size, count(*) AS components FROM (SELECT component, count(*) AS n FROM component GROUP BY component) GROUP BY n")
+def jump_component_sizes(spark, sf_dir):
+    """How many strong components of each size the forwarding functions have."""
+    return jump_components(spark, sf_dir).groupBy("component").agg(F.count("*").alias("n")).groupBy(F.col("n").alias("size")).agg(F.count("*").alias("components"))
+
+
 @query()
 def symbol_weights(spark, sf_dir):
     """The size of the text sections that every section and name of the world holds, the heaviest twenty exactly, the others within the sketches' error."""
