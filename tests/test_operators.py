@@ -62,6 +62,27 @@ def test_retained_weight(spark):
     assert pairs(closure.retained_weight(edges, spark.createDataFrame([(1,), (3,)], "node long"), weights), "source", "weight") == {(1, 35), (3, 5)}
 
 
+def test_many_sources_go_along_as_masks(spark):
+    """200 sources that meet in a chain with a cycle: rows are nodes times blocks of 64 sources, not nodes times sources, and the sums are those of plain search."""
+    steps = [(1000 + k, k % 5) for k in range(200)] + [(k, k + 1) for k in range(40)] + [(40, 38), (7, 2000)]
+    edges, nodes = spark.createDataFrame(steps, "src long, dst long"), sorted({x for e in steps for x in e})
+    sources = spark.createDataFrame([(f"m{k % 150:03}", 1000 + k) for k in range(200)] + [("none", None)], "source string, node long")
+    bits, found = closure.reach_masks(edges, sources)
+    assert bits.count() == 150 and found.groupBy("node", "block").count().count() <= len(nodes) * 3 and found.count() < 2_000
+    after = {a: [b for x, b in steps if x == a] for a in nodes}
+    want = set()
+    for m in range(150):
+        seen, todo = set(), [1000 + k for k in range(200) if k % 150 == m]
+        while todo:
+            a = todo.pop()
+            if a not in seen:
+                seen.add(a)
+                todo += after[a]
+        want.add((f"m{m:03}", sum(a * 3 for a in seen)))
+    got = closure.retained_weight(edges, sources, spark.createDataFrame([(a, a * 3) for a in nodes], "node long, weight long"))
+    assert pairs(got, "source", "weight") == want
+
+
 def test_winner(spark):
     seen = ["U", "W1", "C", "W2", "D3", "D4"]
     rows = [("f", "DCWU".index(x[0]), i, x) for i, x in enumerate(seen)] + [("g", 2, 0, "W1"), ("g", 2, 1, "W2")]
