@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from reachlens.functions import names
-from reachlens.operators import closure, fingerprint, lattice, resolve
-from reachlens.plans import catalog
+from reachlens.operators import closure, fingerprint, graph, lattice, resolve
+from reachlens.plans import catalog, synth
 from reachlens.sources import render, text
 from reachlens.streaming import ingest
 
@@ -44,6 +44,23 @@ def test_large_edge_tables_are_bucketed(spark, monkeypatch):
     assert spark.catalog.listTables() == before
 
 
+def test_rounds_beyond_small_tables(spark, monkeypatch):
+    """What was seen is too large to broadcast from the third node on, and what a round leads to too, or not."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(6)] + [(k, 100 + k % 3) for k in range(6)] + [(6, 0), (102, 3)], "src long, dst long")
+    want = {(k,) for k in [*range(7), 100, 101, 102]}
+    for small in (0, 2):
+        monkeypatch.setattr(closure, "SMALL_ROWS", small)
+        assert pairs(closure.reach(edges, spark.createDataFrame([(0,)], "node long")), "node") == want
+
+
+def test_edges_deal_the_world_out_few_times(spark):
+    """The symbols meet the references once for both kinds of edges, and few tables aren't dealt at all: with the exporters' grouping these are all exchanges of the large ones."""
+    world = synth.world(spark, "/root/testdata/sf0.001")
+    plan = graph.section_edges(world, once=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 5, plan
+    assert world.refs.inputFiles() == world.sections.inputFiles()
+
+
 def test_strong_components(spark):
     edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (7, 7), (6, 8), (2, 9), (9, 10), (10, 9), (9, 2)]
     got = pairs(closure.strong_components(spark.createDataFrame(edges, "src long, dst long")), "node", "component")
