@@ -88,17 +88,9 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(cols), np.concatenate(vals)) if cols else (np.zeros(0, np.int32), np.zeros(0, np.float32))
 
 
-def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """rows, cols, vals, y of the sample, and the slots that MIN_DOCS documents have, which ``cols`` number. Texts stay on
-    the executors; the slots of rarer n-grams go before the documents' features are put together."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [features(x) for x in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.tobytes() for c, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], ["_id", "_y", "cols", "vals"])
-
-    kind = sample.schema["_id"].dataType.simpleString()
-    got = sample.select("_id", "_text", F.col("_y0").alias("_y")).mapInArrow(run, f"_id {kind}, _y int, cols binary, vals binary").toArrow()
+def sample_features(got: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """rows, cols, vals, y of a sample's features (_id, _y, cols, vals), and the slots that MIN_DOCS documents have, which ``cols`` number; the slots of
+    rarer n-grams go before the documents' features are put together."""
     got = got.take(np.lexsort((got["_y"].to_numpy(), got["_id"].to_numpy())))
     y, seen = got["_y"].to_numpy() > 0, np.zeros(KINDS << BITS, np.int32)
     for x in got["cols"]:
@@ -117,9 +109,9 @@ def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return join(rows, np.int32), join(cols, np.int32), join(vals, np.float32), y.astype(float), slots
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """The model, or None without labels of both kinds."""
-    rows, cols, vals, y, slots = sample_features(linear.labelled_sample(docs, labels, [label], sample, id_col, text_col))
+def fitted(sample: pa.Table) -> Model | None:
+    """The model of a sample's features, or None without labels of both kinds."""
+    rows, cols, vals, y, slots = sample_features(sample)
     if len(y) < 2 * FOLDS or not 0 < y.mean() < 1:
         return None
     fold, out = linear.folds(len(y), FOLDS), np.zeros(len(y))
@@ -135,6 +127,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     return Model(weights, b, *linear.platt(out, y))
 
 
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """The model, or None without labels of both kinds. The sample's features are made where its texts are and fitted on by one task, as they
+    are bounded; the driver gets the weights alone."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [features(x) for x in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(made), pa.int32()), batch.column(0), batch.column(2), pa.array([c.tobytes() for c, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], ["_all", "_id", "_y", "cols", "vals"])
+
+    def learn(own: pa.Table) -> pa.Table:
+        memo.only("quality")
+        model = fitted(own)
+        found = [] if model is None else [(model.weights.tobytes(), model.bias, model.slope, model.offset)]
+        return pa.table([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.binary(), pa.float64(), pa.float64(), pa.float64()))], ["weights", "bias", "slope", "offset"])
+
+    some = linear.labelled_sample(docs, labels, [label], sample, id_col, text_col).select("_id", "_text", F.col("_y0").alias("_y"))
+    made = some.mapInArrow(run, f"_all int, _id {some.schema['_id'].dataType.simpleString()}, _y int, cols binary, vals binary")
+    for x in made.groupBy("_all").applyInArrow(learn, "weights binary, bias double, slope double, offset double").collect():
+        return Model(np.frombuffer(bytes(x.weights), np.float32), x.bias, x.slope, x.offset)
+    return None
+
+
 def repeated_words(words: list[bytes], h: np.ndarray) -> int:
     """Words in 3-word windows that occur twice or more, each word position once."""
     if len(words) < 4:

@@ -301,3 +301,11 @@ def test_no_labels_no_model(spark):
     docs, labels = data.frame(spark), data.labels(spark)
     assert quality.fit(docs, labels.limit(0)) is None and toxicity.fit(docs, labels.filter("toxic = 0")) is None
     assert toxicity.toxicity(docs, None).filter("is_toxic or p_toxic > 0").count() == 0
+
+
+def test_the_driver_does_not_fit(spark, monkeypatch):
+    """Features are put together and fitted on by a task: the driver's memory holds the weights alone."""
+    docs, labels = data.frame(spark, data.rows(120)), data.labels(spark, 120)
+    monkeypatch.setattr(quality, "sample_features", lambda *_: pytest.fail("the driver fits"))
+    model = quality.fit(docs, labels)
+    assert model.weights.shape == (quality.KINDS << quality.BITS,) and model.weights.dtype == np.float32 and model.slope
