@@ -17,6 +17,7 @@ further columns aren't read, so they can't clash.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -38,6 +39,8 @@ POOL, STEP = 1 << 16, 1 << 13
 #: Words remembered by a worker at most, and characters of them; further ones are encoded again in each slice of texts, of about so many bytes, that has them.
 MEMO, MEMO_CHARS, SLICE = 100_000, 2_000_000, 1 << 20
 END_ID = 0
+#: Words whose parts are known: Latin letters, a mark, a line's end and the same again.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]?)(?:\n([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]?))?")
 
 
 class Ids:
@@ -50,8 +53,8 @@ class Ids:
         # words can be taken alone only where the library itself parts texts before " word"
         parts = [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("a b\n c")] if self.tokenizer.pre_tokenizer else []
         self.by_word = self.tokenizer.normalizer is None and [x[:1] for x in parts] == ["a", "Ġ", "Ċ", "Ġ"]
-        self.model, parts = self.tokenizer.model, [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("a bC Def")] if parts else []
-        self.by_letters = self.by_word and parts == ["a", "ĠbC", "ĠDef"]
+        self.model, parts = self.tokenizer.model, [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("a bC, éa.\nEf")] if parts else []
+        self.by_letters = self.by_word and parts == ["a", "ĠbC", ",", "ĠÃ©a", ".", "Ċ", "Ef"]
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "")[:1] == "Ġ" for i in range(self.tokenizer.get_vocab_size())])
         # a merge across a space gives one of these tokens (here: spaces and no-break spaces in turn), so texts that hold one are encoded whole
         tokens = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -61,24 +64,42 @@ class Ids:
         self.by_word = self.by_word and all(x.encode() in inner and " " in x[1:] for x in self.across)
         self.number: dict[str, int] = {}  # the words remembered
         self.chars = 0  # and their characters
+        self.parts: dict[str, list[int]] = {}
         # their ids, where each one's begin, and how many they are
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def single(self, part: str) -> list[int]:
+        """The ids of a mark or a line's end, remembered."""
+        if part not in self.parts:
+            self.parts[part] = [t.id for t in self.model.tokenize(part)]
+        return self.parts[part]
+
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of words that each follow a space; where each one's begin among them, and how many they are. A word of ASCII letters is
-        one pre-token, so the merges alone give its ids. Of others many go in one call; the ids that open a word (they hold
-        its space) tell them apart, unless neighbours have merged."""
-        plain = np.fromiter((self.by_letters and w.isascii() and w.isalpha() for w in words), bool, len(words))
-        merge, got, sizes = self.model.tokenize, [], np.zeros(len(words), np.int64)
-        simple = np.flatnonzero(plain)
-        for i in range(0, len(simple), 5000):  # the library's token objects are large
-            some = simple[i : i + 5000]
-            tokens = [merge("Ġ" + words[k]) for k in some.tolist()]
-            sizes[some] = [len(x) for x in tokens]
-            got.append(np.array([t.id for x in tokens for t in x], np.uint32))
+        """The ids of words that each follow a space; where each one's begin among them, and how many they are. Of words of Latin letters, with a mark
+        at their end or one more such word on the next line (``SIMPLE``), it is known where the library parts them, so the merges of these parts alone give their ids. Of
+        others many go in one call; the ids that open a word (they hold its space) tell them apart, unless neighbours have merged."""
+        merge, met, got, sizes = self.model.tokenize, SIMPLE.fullmatch, [], np.zeros(len(words), np.int64)
+        for i in range(0, len(words) if self.by_letters else 0, 5000):
+            flat, many = [], []
+            for w in words[i : i + 5000]:
+                before, m = len(flat), met(w)
+                if m:
+                    head, mark, tail, last = m.groups()
+                    flat += [t.id for t in merge("Ġ" + (head if head.isascii() else spelled(head)))]
+                    if mark:
+                        flat += self.single(mark)
+                    if tail:
+                        flat += self.single("Ċ")
+                        flat += [t.id for t in merge(tail if tail.isascii() else spelled(tail))]
+                        if last:
+                            flat += self.single(last)
+                many.append(len(flat) - before)
+            sizes[i : i + 5000] = many
+            got.append(np.array(flat, np.uint32))
+        plain = sizes > 0
         rest, found = [words[k] for k in np.flatnonzero(~plain).tolist()], [np.zeros(0, np.int64)]
         for i in range(0, len(rest), 50):
             some = rest[i : i + 50]
@@ -138,6 +159,13 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+_SPELL = byte_characters()
+
+
+def spelled(word: str) -> str:
+    return word.encode().decode("latin-1").translate(_SPELL)
+
+
 @functools.lru_cache(2)
 def ids_of(path: str) -> Ids:
     return Ids(path)

@@ -309,3 +309,13 @@ def test_the_driver_does_not_fit(spark, monkeypatch):
     monkeypatch.setattr(quality, "sample_features", lambda *_: pytest.fail("the driver fits"))
     model = quality.fit(docs, labels)
     assert model.weights.shape == (quality.KINDS << quality.BITS,) and model.weights.dtype == np.float32 and model.slope
+
+
+def test_simple_words_take_no_call_of_the_library(spark, monkeypatch):
+    """Words of Latin letters, a mark at their end, and the same on the next line: the merges of their parts give the ids that whole texts have."""
+    ids = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    words = ["and,", "éa.", "es.\nThon", "Ünder!\nöß?", "plain", "ɏé"]
+    want = ids.encode(["x " + " ".join(words)])[0][1:].tolist()
+    monkeypatch.setattr(ids, "encode", lambda *_: pytest.fail("encoded by the library"))
+    flat, starts, sizes = ids.words(words)
+    assert [k for lo, n in zip(starts, sizes, strict=True) for k in flat[lo : lo + n].tolist()] == want
