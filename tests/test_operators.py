@@ -222,3 +222,27 @@ def test_the_rest_works_without_the_training_part():
     code = "import sys; sys.modules['reachlens.llm'] = None; import __spark_entry__ as e; assert 'verdict_counts' in e.queries() and not any(__import__('re').match('op[0-9]+_', k) for k in e.queries()); e.oracle_sql()"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
+
+
+def test_edges_known_to_be_large_are_written_once(spark, monkeypatch):
+    monkeypatch.setattr(closure, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(closure, "BUCKETS", 2)
+    monkeypatch.setattr(closure, "materialize", lambda df: pytest.fail("written twice"))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 1)], "src long, dst long")
+    assert pairs(closure.reach(edges, spark.createDataFrame([(1,)], "node long"), at_least=3), "node") == {(1,), (2,), (3,)}
+
+
+def test_verdicts_beyond_broadcasts(spark, monkeypatch):
+    """Without broadcasts: undefined symbols meet the needed names, definitions the needed sections, and what is left the references."""
+    from reachlens import runtime
+    from reachlens.operators import classify
+
+    want = pairs(classify.classes(synth.world(spark, "/root/testdata/sf0.001")), "module_id", "name", "class")
+    for module in (runtime, classify, closure):
+        monkeypatch.setattr(module, "SMALL_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = classify.classes(synth.world(spark, "/root/testdata/sf0.001"))
+        assert pairs(found, "module_id", "name", "class") == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
