@@ -137,13 +137,15 @@ def option_signatures(options: DataFrame) -> DataFrame:
 def verdict_blocks(spark: SparkSession, paths: str | list[str], linkid: str | None = None) -> DataFrame:
     """(file, linkid, b: head and lines) of verdict files. Of equal link ids in a file the first block counts; with ``linkid``, only its block."""
     whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    # a block begins at a line of four counts and an id
-    blocks = whole.select("file", F.posexplode(F.split("value", r"(?m)(?=^\d+ \d+ \d+ \d+ \S+$)")).alias("at", "block")).filter(F.length(F.trim("block")) > 0)
+    # a block begins at a line of four counts and an id; a file's own rows tell which come first, so that no text is dealt out
+    whole = whole.select("file", F.filter(F.split("value", r"(?m)(?=^\d+ \d+ \d+ \d+ \S+$)"), lambda x: F.length(F.trim(x)) > 0).alias("blocks"))
+    ids = F.transform("blocks", lambda x: F.split(F.substring_index(x, "\n", 1), " ")[4])
+    whole = whole.withColumn("ids", ids).withColumn("once", F.size(F.array_distinct("ids")) == F.size("ids"))
+    first = F.filter("blocks", lambda x, i: F.array_position("ids", F.get("ids", i)) == i + 1)
+    blocks = whole.select("file", F.explode(F.when(F.col("once"), F.col("blocks")).otherwise(first)).alias("block"))
     head = F.split(F.substring_index("block", "\n", 1), " ")
-    blocks = blocks.select("file", "at", head[4].alias("linkid"), head.alias("head"), F.filter(F.split("block", "\n"), lambda x: x != "").alias("lines"))
-    if linkid is not None:
-        blocks = blocks.filter(F.col("linkid") == linkid)
-    return blocks.groupBy("file", "linkid").agg(F.min_by(F.struct("head", "lines"), "at").alias("b"))
+    blocks = blocks.select("file", head[4].alias("linkid"), F.struct(head.alias("head"), F.filter(F.split("block", "\n"), lambda x: x != "").alias("lines")).alias("b"))
+    return blocks if linkid is None else blocks.filter(F.col("linkid") == linkid)
 
 
 def read_verdicts(spark: SparkSession, paths: str | list[str], linkid: str | None = None) -> DataFrame:

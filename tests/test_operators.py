@@ -246,3 +246,13 @@ def test_verdicts_beyond_broadcasts(spark, monkeypatch):
         assert pairs(found, "module_id", "name", "class") == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_verdict_files_are_read_without_dealing_texts(spark, tmp_path):
+    """Of equal link ids the first block counts, in a file with repeated ones and in one without."""
+    (tmp_path / "a.txt").write_text("1 0 0 0 x\no:s:1:_:one\n\n\n\n\n1 0 0 0 y\no:s:1:_:two\n\n\n\n\n0 1 0 0 x\n\no:s:1:_:three\n\n\n\n")
+    (tmp_path / "b.txt").write_text("0 0 0 1 x\n\n\n\n-:f:-1:_:four\n\n")
+    blocks = text.verdict_blocks(spark, str(tmp_path))
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
+    assert pairs(text.block_rows(blocks), "linkid", "class", "name") == {("x", "ELIM", "one"), ("y", "ELIM", "two"), ("x", "UNDEF", "four")}
+    assert pairs(text.read_verdicts(spark, str(tmp_path), "y"), "name") == {("two",)}
