@@ -227,7 +227,7 @@ def test_the_rest_works_without_the_training_part():
 def test_edges_known_to_be_large_are_written_once(spark, monkeypatch):
     monkeypatch.setattr(closure, "BUCKET_ROWS", 3)
     monkeypatch.setattr(closure, "BUCKETS", 2)
-    monkeypatch.setattr(closure, "materialize", lambda df: pytest.fail("written twice"))
+    monkeypatch.setattr(closure, "packed", lambda df: pytest.fail("written twice"))
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 1)], "src long, dst long")
     assert pairs(closure.reach(edges, spark.createDataFrame([(1,)], "node long"), at_least=3), "node") == {(1,), (2,), (3,)}
 
