@@ -126,17 +126,20 @@ def parse_questions(lines: DataFrame) -> DataFrame:
 
 def replies(questions: DataFrame, verdicts: DataFrame, agreed: DataFrame) -> DataFrame:
     """(kind, id, class, name, and the questions' carried columns): a row for each verdict of each question; one with a null class for
-    a module or source that the snapshot doesn't hold."""
+    a module or source that the snapshot doesn't hold. Questions with a column ``asked`` stand for so many equal ones, and so do their rows."""
     known = verdicts.select(F.lit("E").alias("kind"), F.col("linkid").alias("id"), "class", "name").unionByName(agreed.select(F.lit("S").alias("kind"), F.col("srcid").alias("id"), "class", "name"))
     return questions.join(known, ["kind", "id"], "left")
 
 
 def answer(spark: SparkSession, folder: str, verdicts: DataFrame, agreed: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
     """Answers the questions that landed in ``folder``/ask out of a frozen snapshot; reads what is there, then stops. A restart goes on after the last
-    answered batch, and a batch that is repeated after a failure replaces its own replies, so each question is answered once."""
+    answered batch, and a batch that is repeated after a failure replaces its own replies, so each question is answered once. Equal questions of one
+    file, which no column tells apart, are answered together: their verdicts are written once, with their number as ``asked``."""
 
     def reply(batch: DataFrame, number: int) -> None:
-        replies(parse_questions(batch), verdicts, agreed).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+        questions = parse_questions(batch)
+        alike = questions.groupBy(*questions.columns).agg(F.count("*").alias("asked"))
+        replies(alike, verdicts, agreed).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
 
     return landed(spark, folder, "ask").writeStream.foreachBatch(reply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

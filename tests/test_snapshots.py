@@ -83,6 +83,22 @@ def test_questions_are_answered_once(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/replies").count() == 5
 
 
+def test_equal_questions_are_answered_together(spark, tmp_path):
+    """Questions that no column tells apart share their rows, which have their number; those of another file or batch have rows of their own."""
+    own = world(spark, tmp_path, "own", w.APP, w.LIB)
+    verdicts, agreed = ingest.freeze(spark, lambda: own, f"{tmp_path}/at", hidden_only=False)
+    (tmp_path / "ask").mkdir()
+    run = lambda: ingest.answer(spark, str(tmp_path), verdicts, agreed, f"{tmp_path}/replies", f"{tmp_path}/state").awaitTermination(120)
+    (tmp_path / "ask" / "q0").write_text(f"E {w.B}\nE{w.B}\nE {w.C}\nE {w.B}\n")
+    (tmp_path / "ask" / "q1").write_text(f"E {w.C}\n")
+    run()
+    (tmp_path / "ask" / "q2").write_text(f"E {w.B}\n")
+    run()
+    rows = sorted((r.id, r["class"] or "", r._file[-2:], r.asked) for r in spark.read.parquet(f"{tmp_path}/replies").collect())
+    classes = ("ELIM", "HIDDEN", "LOCAL")
+    assert rows == sorted([(w.B, c, f, n) for c in classes for f, n in (("q0", 3), ("q2", 1))] + [(w.C, "", "q0", 1), (w.C, "", "q1", 1)])
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_marks_grow_with_new_edges(spark, seed):
     rng = random.Random(seed)
