@@ -133,12 +133,14 @@ def replies(questions: DataFrame, verdicts: DataFrame, agreed: DataFrame) -> Dat
 
 def answer(spark: SparkSession, folder: str, verdicts: DataFrame, agreed: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
     """Answers the questions that landed in ``folder``/ask out of a frozen snapshot; reads what is there, then stops. A restart goes on after the last
-    answered batch, and a batch that is repeated after a failure replaces its own replies, so each question is answered once. Equal questions of one
-    file, which no column tells apart, are answered together: their verdicts are written once, with their number as ``asked``."""
+    answered batch, and a batch that is repeated after a failure replaces its own replies, so each question is answered once. Equal questions of
+    a batch are answered together: their verdicts are written once, with the questions' number as ``asked``; which files they came in, and when, stands in
+    ``table_path``.asked."""
 
     def reply(batch: DataFrame, number: int) -> None:
         questions = parse_questions(batch)
-        alike = questions.groupBy(*questions.columns).agg(F.count("*").alias("asked"))
+        questions.write.mode("overwrite").parquet(f"{table_path}.asked/batch={number}")
+        alike = questions.groupBy("kind", "id").agg(F.count("*").alias("asked"))
         replies(alike, verdicts, agreed).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
 
     return landed(spark, folder, "ask").writeStream.foreachBatch(reply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -84,7 +84,7 @@ def test_questions_are_answered_once(spark, tmp_path):
 
 
 def test_equal_questions_are_answered_together(spark, tmp_path):
-    """Questions that no column tells apart share their rows, which have their number; those of another file or batch have rows of their own."""
+    """Equal questions of a batch share their rows, which have their number, whatever files they came in; those of another batch have rows of their own."""
     own = world(spark, tmp_path, "own", w.APP, w.LIB)
     verdicts, agreed = ingest.freeze(spark, lambda: own, f"{tmp_path}/at", hidden_only=False)
     (tmp_path / "ask").mkdir()
@@ -94,9 +94,11 @@ def test_equal_questions_are_answered_together(spark, tmp_path):
     run()
     (tmp_path / "ask" / "q2").write_text(f"E {w.B}\n")
     run()
-    rows = sorted((r.id, r["class"] or "", r._file[-2:], r.asked) for r in spark.read.parquet(f"{tmp_path}/replies").collect())
+    rows = sorted((r.batch, r.id, r["class"] or "", r.asked) for r in spark.read.parquet(f"{tmp_path}/replies").collect())
     classes = ("ELIM", "HIDDEN", "LOCAL")
-    assert rows == sorted([(w.B, c, f, n) for c in classes for f, n in (("q0", 3), ("q2", 1))] + [(w.C, "", "q0", 1), (w.C, "", "q1", 1)])
+    assert rows == sorted([(k, w.B, c, n) for c in classes for k, n in ((0, 3), (1, 1))] + [(0, w.C, "", 2)])
+    came = sorted((r.id, r._file[-2:]) for r in spark.read.parquet(f"{tmp_path}/replies.asked").collect())
+    assert came == sorted([(w.B, "q0")] * 3 + [(w.C, "q0"), (w.C, "q1"), (w.B, "q2")])
 
 
 @pytest.mark.parametrize("seed", [1, 2])
