@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachlens.runtime import discard, materialize
+from reachlens.runtime import discard, if_large, materialize
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -16,14 +16,14 @@ def connected(edges: DataFrame) -> DataFrame:
     repeated edges change nothing.
     """
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct())
-    sign = None
+    sign, rows = None, now.count()
     while True:
         both = now.select("node", F.col("root").alias("other")).unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("other")))
         least = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = both.filter("other > node").join(least, "node").select(F.col("other").alias("node"), F.col("m").alias("root")).distinct()
+        large = both.filter("other > node").join(if_large(least, rows), "node").select(F.col("other").alias("node"), F.col("m").alias("root")).distinct()
         large = materialize(large)
         small = large.groupBy("node").agg(F.min("root").alias("m"))
-        passed = large.join(small, "node").filter("root <> m").select(F.col("root").alias("node"), F.col("m").alias("root"))
+        passed = large.join(if_large(small, rows), "node").filter("root <> m").select(F.col("root").alias("node"), F.col("m").alias("root"))
         new = materialize(passed.unionByName(small.select("node", F.col("m").alias("root"))).distinct())
         discard(large)
         discard(now)
@@ -31,4 +31,4 @@ def connected(edges: DataFrame) -> DataFrame:
         now = new
         if got == sign or not got[0]:
             return now
-        sign = got
+        sign, rows = got, got[0]

@@ -116,7 +116,8 @@ def looked_up_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(nodes: DataFrame, look_up: bool) -> DataFrame:
-    """(key, fp, comp) rows of a (fp, comp) table."""
+    """(key, fp, comp) rows of a (fp, comp) table. Spark takes them for as many as there are fingerprints, of which a look-up makes some 87 rows
+    each, so the hint keeps it from sending them through the driver to be broadcast."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo.only("simhash")
@@ -130,7 +131,7 @@ def keyed(nodes: DataFrame, look_up: bool) -> DataFrame:
                     keys, who = own.reshape(-1), np.repeat(np.arange(len(fps)), own.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, fps[who], comp[who])], ["key", "fp", "comp"])
 
-    return nodes.select("fp", "comp").mapInArrow(run, "key long, fp long, comp long")
+    return nodes.select("fp", "comp").mapInArrow(run, "key long, fp long, comp long").hint("merge")
 
 
 def near(a: str, b: str):
@@ -151,7 +152,7 @@ def links(nodes: DataFrame, close: Column | None = None) -> DataFrame:
     good = (F.col("lf") < F.col("rf")) & (F.col("lc") != F.col("rc")) & (near("lf", "rf") if close is None else close)
 
     def met(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
-        left, right = left.alias("l"), right.alias("r")
+        left, right = left.alias("l").hint("merge"), right.alias("r").hint("merge")  # what keys were joined to is as much too low
         same = F.lit(True)
         for c in on:
             same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
+from reachlens import runtime
 from reachlens.llm import components, exchange, simhash, suffix_dedup
 from tests.llm import data
 
@@ -120,6 +121,20 @@ def test_strangers_in_a_dense_group(spark):
     assert len(got) == 20_000 + 1 and got[max(near_one, strangers[0])] == min(near_one, strangers[0]) and strangers[1] not in got
 
 
+def test_looked_up_keys_are_not_broadcast(spark):
+    fps = np.unique(np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 20_000))
+    nodes = simhash.materialize(spark.createDataFrame([(int(x), int(x)) for x in fps], "fp long, comp long"))
+    plan = simhash.links(nodes)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_components_of_many_links(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 200)], "a long, b long")
+    expected = sorted([(k, 0) for k in range(1, 41)] + [(200, 100)])
+    monkeypatch.setattr(runtime, "SMALL_ROWS", 10)
+    assert sorted(map(tuple, components.connected(edges).collect())) == expected
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (7, 7), (300, 7)]
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
