@@ -79,6 +79,27 @@ def test_strong_components(spark):
     assert got == {(a, min(b for b in reach[a] if a in reach[b])) for a in reach}
 
 
+def test_followed(spark):
+    steps = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 1), (9, 2)], "_k long, _to long")
+    assert pairs(closure.followed(steps, spark.createDataFrame([(9,)], "node long")), "_k", "_to") == {(2, 3), (9, 1), (9, 2), (1, 2)}
+
+
+@pytest.mark.parametrize("small", [0, 3, 40])
+def test_masks_of_many_rounds(spark, monkeypatch, small):
+    edges = [(k, k + 1) for k in range(12)] + [(k, 0) for k in (5, 9)] + [(50, 3), (51, 50), (99, 51)]
+    sources = [(k, k) for k in (0, 3, 8, 50, 70)]
+    with monkeypatch.context() as m:
+        m.setattr(closure, "SMALL_ROWS", small)
+        bits, found = closure.reach_masks(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(sources, "source long, node long"))
+        rows = found.collect()
+    number = {r.source: r.bit for r in bits.collect()}
+    assert len({r.block for r in rows}) == 1
+    got = {s: {r.node for r in rows if r.mask >> b & 1} for s, b in number.items()}
+    ring = set(range(13))
+    assert got == {0: ring, 3: ring, 8: ring, 50: ring | {50}, 70: {70}}
+    assert sum(bin(r.mask & (1 << 64) - 1).count("1") for r in rows) == sum(map(len, got.values()))  # each bit of a node comes once
+
+
 def test_retained_weight(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src long, dst long")
     weights = spark.createDataFrame([(1, 10), (2, 20), (3, 5)], "node long, weight long")
