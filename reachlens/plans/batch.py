@@ -59,8 +59,8 @@ def main(argv: list[str] | None = None) -> None:
             messages = ingest.stored(spark, args.captured)
             verdicts, agreed = merged(ingest.world(messages), not args.class_mode)
             render.signature_lines(ingest.signatures(messages)).write.text(f"{args.out}/sign")
-        for texts, name in ((verdicts, "merged.vis"), (agreed, "merged.vis.gcc")):
-            texts.select(render.block_lines(F.col("value"))).write.text(f"{args.out}/{name}")
+        for texts, name, most in ((verdicts, "merged.vis", render.FILE_BLOCKS), (agreed, "merged.vis.gcc", render.FILE_SOURCES)):
+            render.write_blocks(texts, f"{args.out}/{name}", most)
     else:
         render.signature_lines(signatures(spark, args.base, args.jfunc)).write.text(args.out)
 

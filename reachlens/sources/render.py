@@ -13,6 +13,15 @@ def lines(*parts: Column, sep: str = " ") -> Column:
     return F.concat_ws(sep, *(p.cast("string") for p in parts)).alias("value")
 
 
+#: Blocks in a file, of modules and of sources. Readers take files whole, so a file stays some megabytes however much a task writes.
+FILE_BLOCKS, FILE_SOURCES = 256, 4_096
+
+
+def write_blocks(texts: DataFrame, folder: str, most: int = FILE_BLOCKS) -> None:
+    """Write blocks (column value) into files of at most so many."""
+    texts.select(block_lines(F.col("value"))).write.option("maxRecordsPerFile", most).text(folder)
+
+
 def block_lines(text: Column) -> Column:
     """A block of lines as one value of ``write.text``, which ends each value with a newline itself."""
     return F.regexp_replace(text, r"\n\z", "").alias("value")

@@ -193,3 +193,23 @@ def test_module_stream_keeps_file_and_arrival(spark, tmp_path):
     ingest.start(spark, str(tmp_path / "land"), "deps", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     row = ingest.stored(spark, str(tmp_path / "out")).first()
     assert row.linkid == w.B and row.file.endswith("deps-0") and row._arrived is not None and len(row.symbols) == 4
+
+
+def test_a_task_writes_many_small_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(render, "FILE_BLOCKS", 3)
+    blocks = [f"1 0 0 0 {k:032x}\no.o:{k:032x}:1:_:name{k}\n\n\n\n" for k in range(10)]
+    render.write_blocks(spark.createDataFrame([(b,) for b in blocks], "value string").coalesce(1), str(tmp_path / "vis"), render.FILE_BLOCKS)
+    assert len(list((tmp_path / "vis").glob("*.txt"))) == 4
+    back = text.read_verdicts(spark, str(tmp_path / "vis")).collect()
+    assert sorted((r.linkid, r["class"], r.name) for r in back) == [(f"{k:032x}", "ELIM", f"name{k}") for k in range(10)]
+
+
+def test_verdict_files_of_queries_are_small(spark, tmp_path, monkeypatch):
+    from reachlens.plans import catalog
+
+    monkeypatch.setattr(catalog, "scratch", lambda spark: str(tmp_path / "vis"))
+    monkeypatch.setattr(render.write_blocks, "__defaults__", (7,))
+    rows = catalog.queries()["merge_text"](spark, "/root/testdata/sf0.001").count()
+    files = [p.read_text() for p in (tmp_path / "vis").glob("*.txt")]
+    heads = [sum(1 for x in f.split("\n") if len(x.split(" ")) == 5) for f in files]
+    assert rows > 0 and sum(heads) == 10 and max(heads) <= 7
