@@ -72,7 +72,7 @@ def world_of(modules: DataFrame, forces: DataFrame | None = None, lookups: DataF
     named = modules.withColumn("is_force", F.lit(False))
     if forces is not None:
         named = named.unionByName(forces.withColumn("is_force", F.lit(True)))
-    # a link id may repeat, so a module is told by its file
+    # a link id may repeat, so a module is told by its file; the parser numbers its sections and symbols, so equal numbers meet in one list only
     named = named.withColumn("module_id", F.col("file"))
     objects = named.select("module_id", F.posexplode("objects").alias("obj_ix", "o"))
     sections = objects.select("module_id", "obj_ix", F.explode("o.sections").alias("s"))
@@ -81,9 +81,9 @@ def world_of(modules: DataFrame, forces: DataFrame | None = None, lookups: DataF
         modules=named.select("module_id", "kind", "name", "entrypoint", "linkid", "is_force"),
         objects=objects.select("module_id", "obj_ix", "o.path", "o.offset", "o.srcid"),
         sections=sections.select("module_id", "s.uid", "obj_ix", "s.name", "s.size", "s.used"),
-        deps=sections.select("module_id", "s.uid", F.explode("s.deps").alias("to_uid")).distinct(),
+        deps=sections.select("module_id", "s.uid", F.explode(F.array_distinct("s.deps")).alias("to_uid")),
         symbols=symbols.select("module_id", "y.sym_ix", strip_version(F.col("y.name")).alias("name"), "y.weak", "y.vis", "y.tls", "y.def_uid"),
-        refs=symbols.select("module_id", "y.sym_ix", F.explode("y.revdeps").alias("uid")).distinct(),
+        refs=symbols.select("module_id", "y.sym_ix", F.explode(F.array_distinct("y.revdeps")).alias("uid")),
         lookups=lookups,
     )
 

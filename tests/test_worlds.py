@@ -213,3 +213,13 @@ def test_verdict_files_of_queries_are_small(spark, tmp_path, monkeypatch):
     files = [p.read_text() for p in (tmp_path / "vis").glob("*.txt")]
     heads = [sum(1 for x in f.split("\n") if len(x.split(" ")) == 5) for f in files]
     assert rows > 0 and sum(heads) == 10 and max(heads) <= 7
+
+
+def test_references_of_a_module_file_are_dealt_nowhere(spark, tmp_path):
+    symbols = [("Dd_", 0, "one", [1, 1, 2]), ("Ud_", -1, "two", [2, 2])]
+    body = w.module("E", "app", "one", w.A, [("/tmp/a.o", w.S1, [(".text.a", 1, 1, [2, 2]), (".text.b", 0, 1, []), (".text.c", 0, 1, [0])])], symbols)
+    found = world(spark, tmp_path, {"app": body})
+    assert sorted((r.sym_ix, r.uid) for r in found.refs.collect()) == [(0, 1), (0, 2), (1, 2)]
+    assert sorted((r.uid, r.to_uid) for r in found.deps.collect()) == [(0, 2), (2, 0)]
+    for rows in (found.refs, found.deps):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
