@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reachlens.operators import classify, closure, consensus
-from reachlens.runtime import discard, materialize, publish, published
+from reachlens.runtime import discard, publish, published
 from reachlens.schema import World
 from reachlens.sources import text
 
@@ -101,12 +101,10 @@ def freeze(spark: SparkSession, evaluate: Callable[[], World], at: str, hidden_o
     chosen = published(spark, f"{at}/manifest")
     if chosen is None:
         own, attempt = evaluate(), f"attempt-{uuid.uuid4().hex}"
-        found = materialize(classify.verdicts(own))
-        verdicts = found.join(own.modules.select("module_id", "linkid"), "module_id")
-        agreed = consensus.consensus(found, consensus.source_totals(own.objects), hidden_only)
-        for part, rows in (("verdicts", verdicts), ("consensus", agreed)):
-            rows.write.parquet(f"{at}/{attempt}/{part}")
-        discard(found)
+        verdicts = classify.verdicts(own).join(own.modules.select("module_id", "linkid"), "module_id")
+        verdicts.write.parquet(f"{at}/{attempt}/verdicts")
+        found = spark.read.schema(verdicts.schema).parquet(f"{at}/{attempt}/verdicts")  # written once, for its readers and the consensus
+        consensus.consensus(found, consensus.source_totals(own.objects), hidden_only).write.parquet(f"{at}/{attempt}/consensus")
         chosen = publish(spark, f"{at}/manifest", attempt)
         if chosen != attempt:
             verdicts._reachlens_path = f"{at}/{attempt}"

@@ -135,3 +135,12 @@ def test_reply_as_assembly(spark, tmp_path):
     assert [r.value for r in render.reply_assembly(blocks, w.C).collect()] == list(render.ASSEMBLY_HEAD)
     with pytest.raises(PySparkException, match="could not find linkid"):
         render.reply_assembly(blocks, "9" * 32).collect()
+
+
+def test_snapshots_of_one_reading(spark, monkeypatch):
+    from reachlens.plans import catalog, synth
+
+    read = []
+    monkeypatch.setattr(synth, "table", lambda spark, at, name, plain=synth.table: read.append(name) or plain(spark, at, name))
+    catalog.queries()["verdicts_by_snapshot"](spark, "/root/testdata/sf0.001")
+    assert read.count("lineitem") == 1
